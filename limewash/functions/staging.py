@@ -7,12 +7,22 @@ the whole chain inside one code-generated stage.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Count the rows that pass.
+
+    The optimiser moves no filter across such a counter. Without it, a filter on a cleaned column
+    would be rewritten in terms of the raw one, copying the whole chain of steps several times over.
+    """
+    return df.observe(f"cells-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 class Cells:
     """Intermediate columns for a set of cells, keyed by (step, cell position)."""
 
@@ -40,4 +50,4 @@ class Cells:
         if not self.targets:
             return self.df
         out = {name: build(i) for i, name in enumerate(self.targets)}
-        return self.df.withColumns(out).drop(*self._temporaries)
+        return settle(self.df.withColumns(out).drop(*self._temporaries))
