@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from limewash.functions.constants import INT_LIKE_PATTERN, NULL_SENTINELS, WHITESPACE
 
 
+_SENTINEL_STARTS = sorted({ord(x) if x else 0 for s in NULL_SENTINELS for x in (s[:1].lower(), s[:1].upper())})
+
+
 def quoted(name: str) -> Column:
     """Column by literal name, also when the name holds dots, spaces or back-ticks."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -28,9 +31,14 @@ def blank_to_null(trimmed: Column) -> Column:
 
 
 def null_if_sentinel(c: Column, trimmed: Column | None = None) -> Column:
-    """Null for blank or null-like text, otherwise the cell as it is."""
-    key = F.lower(trim(c) if trimmed is None else trimmed)
-    return F.when(~key.isin(*NULL_SENTINELS), c)
+    """Null for blank or null-like text, otherwise the cell as it is.
+
+    Only the few first letters that null-like words have lead to the comparison of whole words.
+    """
+    key = trim(c) if trimmed is None else trimmed
+    return F.when(~F.ascii(key).isin(*_SENTINEL_STARTS), c).when(
+        ~F.lower(key).isin(*NULL_SENTINELS), c
+    )
 
 
 def title_case(c: Column) -> Column:

@@ -17,6 +17,7 @@ from limewash.operators.melting import is_numeric, is_temporal, is_text
 from limewash.operators.rows import duplicate_count
 
 LITERAL_MAP_SIZE = 200
+COPIES = "copies"  # log entry counted over whole rows, not over one column
 LOG_SCHEMA = """
     step int, action string, column string, rows_removed bigint, filled_count bigint, value string,
     target_type string, source string, error string
@@ -89,10 +90,10 @@ def apply_actions(df: DataFrame, actions: Iterable[Action]) -> tuple[DataFrame,
     return out, log
 
 
-def _apply_one(df: DataFrame, action: Action, column: str | None) -> tuple[DataFrame, dict, dict]:
-    """The new table, aggregates to count for the log, and fixed log entries."""
+def _apply_one(df: DataFrame, action: Action, column: str | None) -> tuple[DataFrame, dict | str, dict]:
+    """The new table, what to count for the log, and fixed log entries."""
     if action.kind == "drop_duplicate_rows":
-        return df.dropDuplicates(), {"rows_removed": "duplicates"}, {}
+        return df.dropDuplicates(), COPIES, {}
     known = ("drop_rows_where_missing", "drop_column", "fillna_constant", "cast_type")
     if action.kind not in known or column is None:
         return df, {}, {"error": "unsupported_action"}
@@ -115,8 +116,8 @@ def _apply_one(df: DataFrame, action: Action, column: str | None) -> tuple[DataF
     return cast_column(df, column, target), {}, {"target_type": target}
 
 
-def _log_row(df: DataFrame, step: int, counts: dict, notes: dict) -> DataFrame:
-    if counts.get("rows_removed") == "duplicates":
+def _log_row(df: DataFrame, step: int, counts: dict | str, notes: dict) -> DataFrame:
+    if counts == COPIES:
         row = duplicate_count(df).select(F.col("duplicate_rows").alias("rows_removed"))
     elif counts:
         row = df.agg(*[c.alias(k) for k, c in counts.items()])

@@ -9,6 +9,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from limewash.functions import constants as K
 from limewash.functions.numbers import to_loose_number
@@ -84,15 +85,21 @@ def column_counts(df: DataFrame) -> DataFrame:
 
 
 def _present_cells(df: DataFrame) -> DataFrame:
-    flags = df.select(*[quoted(c).isNotNull().alias(c) for c in df.columns])
-    cells = flags.unpivot([], [quoted(c) for c in df.columns], "column", "present")
-    return cells.groupBy("column").agg(
-        F.count(F.lit(1)).alias("cells"), F.count_if("present").alias("present")
-    )
+    """(column, cells, present) from one global aggregate, a row per column."""
+    names = df.columns
+    counts = [F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]
+    row = df.agg(F.count(F.lit(1)).alias("cells"), *counts)
+    entries = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("present")) for i, c in enumerate(names)
+    ])
+    return row.select("cells", F.inline(entries))
+
 
+def infer_types(df: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """(column, inferred_type): numeric, datetime, categorical or text.
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """(column, inferred_type): numeric, datetime, categorical or text."""
+    ``kinds`` are known distinct counts (column, distinct_values), counted here if not given.
+    """
     spark = df.sparkSession
     fixed = [
         (f.name, "numeric" if is_numeric(f.dataType) else "datetime")
@@ -113,7 +120,8 @@ def infer_types(df: DataFrame) -> DataFrame:
             F.lit(0).cast("bigint").alias("fractions"),
         )
         evidence = counts if evidence is None else evidence.unionByName(counts)
-    kinds = distinct_counts(df, open_)
+    if kinds is None:
+        kinds = distinct_counts(df, open_)
     judged = evidence.join(F.broadcast(kinds), "column", "left").withColumn(
         "kinds", F.coalesce("distinct_values", F.lit(0))
     )
@@ -131,12 +139,14 @@ def outlier_stats(
     cells = values.columns
     moments = in_chunks(values, [
         agg(F.col(c)) for c in cells
-        for agg in (F.count, F.avg, F.stddev_pop, F.min, F.max)
+        for agg in (F.count, F.avg, F.stddev_pop, F.min, F.max, F.approx_count_distinct)
     ])
-    stats = {c: moments[5 * i:5 * i + 5] for i, c in enumerate(cells)}
+    stats = {c: moments[6 * i:6 * i + 5] for i, c in enumerate(cells)}
     counts = {c: s[0] for c, s in stats.items()}
+    # the estimate only decides how the exact quantiles are found
+    kinds = {c: 2 * moments[6 * i + 5] for i, c in enumerate(cells)}
     options = {} if sortable is None else {"sortable": sortable}
-    quartiles = exact_quantiles(values, cells, [0.25, 0.75], counts, **options)
+    quartiles = exact_quantiles(values, cells, [0.25, 0.75], counts, kinds, **options)
     filled = [c for c in cells if counts[c]]
     bounds, outside = {}, []
     for c in filled:
@@ -246,12 +256,15 @@ def missingness_patterns(
 
 
 def redundant_pairs(
-    df: DataFrame, columns: Sequence[str] | None = None, min_correlation: float = K.MIN_CORRELATION
+    df: DataFrame, columns: Sequence[str] | None = None, min_correlation: float = K.MIN_CORRELATION,
+    complete: Sequence[str] = (),
 ) -> DataFrame:
     """Pairs of numeric columns whose correlation is close to 1 or -1, on rows that have both.
 
     Built from covariance and spread, because the built-in correlation fails on a constant.
+    Columns known to be ``complete`` (no missing value) share one spread over all their pairs.
     """
+    whole = set(complete)
     names = list(columns or numeric_columns(df))
     values = df.select(*[clean_double(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)])
     pairs = list(combinations(range(len(names)), 2))
@@ -259,8 +272,9 @@ def redundant_pairs(
     for i, j in pairs:
         a, b = F.col(f"n{i}"), F.col(f"n{j}")
         terms += [
-            F.covar_pop(a, b), F.stddev_pop(F.when(b.isNotNull(), a)),
-            F.stddev_pop(F.when(a.isNotNull(), b)),
+            F.covar_pop(a, b),
+            F.stddev_pop(a if names[j] in whole else F.when(b.isNotNull(), a)),
+            F.stddev_pop(b if names[i] in whole else F.when(a.isNotNull(), b)),
         ]
     found = in_chunks(values, terms) if terms else []
     rows = []
@@ -299,7 +313,12 @@ def profile_dataset(df: DataFrame) -> Profile:
     """Full profile. Every job returns at most one row per column (or per correlated pair)."""
     spark: SparkSession = df.sparkSession
     counts = {r["column"]: r for r in column_counts(df).collect()}
-    inferred = {r["column"]: r["inferred_type"] for r in infer_types(df).collect()}
+    kinds = spark.createDataFrame(
+        [(c, n["cardinality"]) for c, n in counts.items()], "column string, distinct_values bigint"
+    )
+    inferred = {r["column"]: r["inferred_type"] for r in infer_types(df, kinds).collect()}
+    floats = {f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))}
+    complete = [c for c in df.columns if not counts[c]["missing_count"] and c not in floats]
     numbers = numeric_view(df, inferred)
     spread = {s["column"]: s for s in outlier_stats(numbers)} if numbers.columns else {}
     gappy = [c for c in df.columns if counts[c]["missing_pct"] >= 5.0 and counts[c]["missing_count"] >= 10]
@@ -328,7 +347,7 @@ def profile_dataset(df: DataFrame) -> Profile:
         columns=len(df.columns),
         duplicate_rows=copies["duplicate_rows"],
         column_profiles=spark.createDataFrame(rows, PROFILE_SCHEMA),
-        redundant_pairs=redundant_pairs(df),
+        redundant_pairs=redundant_pairs(df, complete=complete),
     )
 
 

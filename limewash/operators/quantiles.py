@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from limewash.functions.text import quoted
 
 SORTABLE = 200_000
+PER_JOB = 1_000_000
 SKETCH = 10_000
 
 
@@ -45,18 +46,24 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     counts: dict[str, int],
+    kinds: dict[str, int] | None = None,
     sortable: int = SORTABLE,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column; ``counts`` are the non-null counts."""
-    small = [c for c in columns if 0 < counts[c] <= sortable]
-    large = [c for c in columns if counts[c] > sortable]
+    """Linearly interpolated quantiles per column.
+
+    ``counts`` are the non-null counts and ``kinds``, if known, the distinct counts; the smaller of
+    the two bounds the memory of ranking a column directly.
+    """
+    weight = {c: min(counts[c], (kinds or counts)[c]) for c in columns}
+    small = [c for c in columns if counts[c] and weight[c] <= sortable]
+    large = [c for c in columns if weight[c] > sortable]
     out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    if small:
+    for group in _groups(small, weight):
         row = df.agg(*[
             F.percentile(clean_double(quoted(c)), list(probabilities)).alias(f"q{i}")
-            for i, c in enumerate(small)
+            for i, c in enumerate(group)
         ]).first()
-        out |= {c: row[i] for i, c in enumerate(small)}
+        out |= {c: row[i] for i, c in enumerate(group)}
     if large:
         ranks = {}
         for c in large:
@@ -69,6 +76,19 @@ def exact_quantiles(
     return out
 
 
+def _groups(columns: Sequence[str], weight: dict[str, int]) -> list[list[str]]:
+    """Columns in as few jobs as keep the values held at once within bounds."""
+    groups: list[list[str]] = []
+    held = PER_JOB
+    for c in columns:
+        if held + weight[c] > PER_JOB:
+            groups.append([])
+            held = 0
+        groups[-1].append(c)
+        held += weight[c]
+    return groups
+
+
 def _between(found: dict[tuple[str, int], float], column: str, at: float) -> float:
     low, high = math.floor(at), math.ceil(at)
     a, b = found[column, low], found[column, high]

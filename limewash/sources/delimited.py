@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -82,22 +84,22 @@ def _fragments(left: Column, right: Column) -> Column:
 def repair_thousands(df: DataFrame, width: int) -> DataFrame:
     """Rejoin numbers that a thousands comma split (``1,000``), one overflow column at a time.
 
-    Only rows that really are too long are touched. The pair of neighbours that explains most of
-    them is merged and the rest of the row moves left; an overflow column left empty is dropped.
+    Only rows that really are too long are touched. A row is joined at the pair of neighbours that
+    explains most of the long rows, or else at the next best one, and the rest of it moves left.
+    An overflow column left empty is dropped; what no pair explains is kept.
     """
     names = df.columns
-    while len(names) > width:
-        last = quoted(names[-1])
-        too_long = trim(last).isNotNull() & (trim(last) != "")
+    while len(names) > max(width, 1):
+        last = trim(quoted(names[-1]))
+        too_long = last.isNotNull() & (last != "")
         pairs = [_fragments(quoted(a), quoted(b)) & too_long for a, b in zip(names, names[1:])]
+        explained = F.coalesce(reduce(lambda a, b: a | b, pairs), F.lit(False))
         tallies = [F.count_if(p).alias(f"p{i}") for i, p in enumerate(pairs)]
-        row = df.agg(F.count_if(too_long).alias("long"), *tallies).first()
-        counts = [row[f"p{i}"] for i in range(len(pairs))]
-        best = max(range(len(pairs)), key=lambda i: (counts[i], -i)) if pairs else 0
-        keep_last = row["long"] > (counts[best] if pairs else 0)
-        if pairs and counts[best]:
-            df = _merge(df, names, best, pairs[best])
-        if keep_last:
+        row = df.agg(F.count_if(too_long & ~explained).alias("unexplained"), *tallies).first()
+        order = sorted((-row[f"p{i}"], i) for i in range(len(pairs)) if row[f"p{i}"])
+        for _, at in order:
+            df = _merge(df, names, at, pairs[at])
+        if row["unexplained"]:
             return df
         names = names[:-1]
         df = df.select(*[quoted(c) for c in names])
