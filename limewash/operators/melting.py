@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    BooleanType,
     DataType,
     DateType,
     FractionalType,
@@ -89,6 +88,14 @@ def ranked(rows: DataFrame, k: int, *order: Column, by: Sequence[str] = ("column
     return rows.withColumn("position", F.row_number().over(window)).where(F.col("position") <= k)
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One row with the columns of several one-row tables."""
+    stacked = rows[0]
+    for row in rows[1:]:
+        stacked = stacked.unionByName(row, allowMissingColumns=True)
+    return stacked.agg(*[F.first(quoted(c), ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Exact number of distinct non-null values per column: (column, distinct_values).
 
@@ -116,9 +123,3 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         out = out.unionByName(part)
     return out
 
-
-__all__ = [
-    "BooleanType", "distinct_counts", "frequencies", "is_numeric", "is_temporal", "is_text", "melt",
-    "numeric_columns", "present_values", "quoted", "ranked", "text_columns", "tidy_values",
-    "top_values", "value_frequencies",
-]

@@ -19,6 +19,7 @@ from limewash.functions.text import quoted
 
 SORTABLE = 200_000
 PER_JOB = 1_000_000
+SKETCHES_PER_JOB = 64
 SKETCH = 10_000
 
 
@@ -58,7 +59,7 @@ def exact_quantiles(
     small = [c for c in columns if counts[c] and weight[c] <= sortable]
     large = [c for c in columns if weight[c] > sortable]
     out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    for group in _groups(small, weight):
+    for group in _groups(small, [weight[c] for c in small]):
         row = df.agg(*[
             F.percentile(clean_double(quoted(c)), list(probabilities)).alias(f"q{i}")
             for i, c in enumerate(group)
@@ -76,16 +77,16 @@ def exact_quantiles(
     return out
 
 
-def _groups(columns: Sequence[str], weight: dict[str, int]) -> list[list[str]]:
-    """Columns in as few jobs as keep the values held at once within bounds."""
-    groups: list[list[str]] = []
+def _groups(items: Sequence, weights: Sequence[int]) -> list[list]:
+    """Items in as few jobs as keep the values held at once within bounds."""
+    groups: list[list] = []
     held = PER_JOB
-    for c in columns:
-        if held + weight[c] > PER_JOB:
+    for item, weight in zip(items, weights):
+        if held + weight > PER_JOB:
             groups.append([])
             held = 0
-        groups[-1].append(c)
-        held += weight[c]
+        groups[-1].append(item)
+        held += weight
     return groups
 
 
@@ -101,9 +102,12 @@ def _values_at(
     inf = float("inf")
     searches = [_Search(c, r, -inf, inf, inside=counts[c]) for c, r in ranks]
     while open_ := [s for s in searches if s.value is None]:
-        _sort_small(df, [s for s in open_ if s.inside <= sortable])
+        ready = [s for s in open_ if s.inside <= sortable]
+        for group in _groups(ready, [s.inside for s in ready]):
+            _sort_small(df, group)
         wide = [s for s in open_ if s.inside > sortable]
-        _narrow(df, wide)
+        for start in range(0, len(wide), SKETCHES_PER_JOB):
+            _narrow(df, wide[start:start + SKETCHES_PER_JOB])
     return {(s.column, s.rank): s.value for s in searches}
 
 
@@ -114,8 +118,6 @@ def _inside(s: _Search) -> Column:
 
 def _sort_small(df: DataFrame, searches: list[_Search]) -> None:
     """Pick ranks among the values strictly inside the bracket, whose number is known and small."""
-    if not searches:
-        return
     row = df.agg(*[
         F.element_at(F.sort_array(F.collect_list(_inside(s))), s.rank - s.below + 1).alias(f"v{i}")
         for i, s in enumerate(searches)
@@ -126,8 +128,6 @@ def _sort_small(df: DataFrame, searches: list[_Search]) -> None:
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
     """One sketch pass for new bracket ends, one counting pass to place the rank among them."""
-    if not searches:
-        return
     slack = 2.0 / SKETCH
     sketches = []
     for i, s in enumerate(searches):

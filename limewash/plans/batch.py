@@ -10,7 +10,7 @@ from limewash.operators.actions import automatic_rules
 from limewash.operators.issues import detect_issues, quality_score
 from limewash.operators.profiling import Profile, profile_dataset
 from limewash.plans.cleaner import Cleaner, CleanPlan
-from limewash.session import materialise
+from limewash.session import configure, materialise
 from limewash.sources.delimited import export_format, load_csv, save_csv
 from limewash.sources.report import Shape, build_report, write_report
 
@@ -42,7 +42,7 @@ def run(
 
     The cleaned table is written once to shared storage, because profiling reads it several times.
     """
-    raw, sep = load_csv(spark, input_path)
+    raw, sep = load_csv(configure(spark), input_path)
     plan = (cleaner or Cleaner()).fit(raw)
     cleaned = materialise(plan.transform(raw), "cleaned")
     before = profile_dataset(cleaned)

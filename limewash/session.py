@@ -17,7 +17,6 @@ def configure(spark: SparkSession) -> SparkSession:
     would be larger run as separate, compiled operators instead.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limewash.operators.melting import side_by_side
 from limewash.operators.profiling import Profile
 
 ACTION_SCHEMA = "action string, column string, rows_removed bigint, safe boolean"
@@ -26,7 +27,7 @@ def profile_row(profile: Profile) -> DataFrame:
     pairs = profile.redundant_pairs.agg(
         F.sort_array(F.collect_list(F.struct("col_a", "col_b", "correlation"))).alias("redundant_pairs")
     )
-    return profile.summary().crossJoin(F.broadcast(columns)).crossJoin(F.broadcast(pairs))  # one row each
+    return side_by_side(profile.summary(), columns, pairs)
 
 
 def profile_json(profile: Profile) -> DataFrame:
@@ -56,9 +57,7 @@ def build_report(
     score = quality.select(F.struct("*").alias("quality"))
     first = profile_row(before).select(F.struct("*").alias("profile_before"))
     second = profile_row(after or before).select(F.struct("*").alias("profile_after"))
-    joined = first
-    for part in (second, log, found, score):  # one row each
-        joined = joined.crossJoin(F.broadcast(part))
+    joined = side_by_side(first, second, log, found, score)
     summary = F.struct(
         F.lit(shape_before.rows).alias("rows_before"),
         F.lit(shape_after.rows).alias("rows_after"),

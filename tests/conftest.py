@@ -25,7 +25,7 @@ def frame(spark):
 
     def build(schema: str | None = None, **columns):
         names = list(columns)
-        schema = schema or ", ".join(f"`{n}` string" for n in names)
+        schema = schema or ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
         return spark.createDataFrame(list(zip(*columns.values())), schema)
 
     return build
