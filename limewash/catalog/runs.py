@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limewash.catalog.cells import _PRICE_SQL, _TITLE_SQL, _WORD_CASE, sql_clean, sql_trim
-from limewash.catalog.messy import messy, spread, table, with_view
+from limewash.catalog.messy import messy, spread, stored, table, with_view
 from limewash.catalog.registry import query
 from limewash.operators import actions as A
 from limewash.operators import recommendations as R
@@ -301,7 +301,7 @@ def _(spark, sf):
     for i, c in enumerate(("country", "segment"))
 )))
 def _(spark, sf):
-    df = messy(spark, sf, "messy_codes")
+    df = stored(spark, sf, "messy_codes")
     found = actionable_issues(detect_issues(profile_dataset(df)), df)
     rows = R.issue_payload(found, df)
     return rows.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limewash.catalog.cells import CODE_TEXT, _ID_SQL, sql_clean, sql_trim
-from limewash.catalog.messy import VIEWS, messy, table, with_view
+from limewash.catalog.messy import VIEWS, messy, stored, with_view
 from limewash.catalog.registry import query
 from limewash.operators import rows as R
 from limewash.operators.issues import actionable_issues, detect_issues, issue_batch, quality_score
@@ -90,7 +90,7 @@ def _iqr_sql(c: str) -> str:
 
 @query("outliers_iqr", with_view("messy_numeric", " UNION ALL ".join(_iqr_sql(c) for c in NUMBERS)))
 def _(spark, sf):
-    found = outliers(messy(spark, sf, "messy_numeric"))
+    found = outliers(stored(spark, sf, "messy_numeric"))
     rounded = [F.round(c, 4).alias(c) for c in ("q1", "q3", "lower_bound", "upper_bound")]
     return found.select("column", *rounded, "count_below", "count_above")
 
@@ -105,7 +105,7 @@ def _z_sql(c: str) -> str:
 
 @query("outliers_zscore", with_view("messy_numeric", " UNION ALL ".join(_z_sql(c) for c in NUMBERS)))
 def _(spark, sf):
-    found = outliers(messy(spark, sf, "messy_numeric"))
+    found = outliers(stored(spark, sf, "messy_numeric"))
     return found.select("column", "z_threshold", "z_count", F.round("max_abs_z", 6).alias("max_abs_z"))
 
 
@@ -173,7 +173,7 @@ _DATASET_SQL = " UNION ALL ".join(
 
 @query("profile_dataset", with_view("messy_numeric", _DATASET_SQL))
 def _(spark, sf):
-    p = profile_dataset(messy(spark, sf, "messy_numeric"))
+    p = profile_dataset(stored(spark, sf, "messy_numeric"))
     return p.column_profiles.select(
         "column", "dtype", "inferred_type", "missing_count", "missing_pct", "cardinality",
         F.lit(p.rows).cast("bigint").alias("row_count"), F.lit(p.duplicate_rows).cast("bigint").alias("duplicate_rows"),
@@ -182,7 +182,7 @@ def _(spark, sf):
 
 @query("profile_json")
 def _(spark, sf):
-    return profile_json(profile_dataset(messy(spark, sf, "messy_codes")))
+    return profile_json(profile_dataset(stored(spark, sf, "messy_codes")))
 
 
 _CUSTOMER_DTYPES = {"id": "bigint", **{c: "string" for c in (
@@ -345,7 +345,7 @@ def _issues_cte() -> str:
 
 @query("detect_issues", _issues_cte() + "SELECT * FROM iss")
 def _(spark, sf):
-    found = detect_issues(profile_dataset(messy(spark, sf, "messy_numeric")))
+    found = detect_issues(profile_dataset(stored(spark, sf, "messy_numeric")))
     return found.select("id", "category", "severity", "column")
 
 
@@ -358,7 +358,7 @@ def _(spark, sf):
         100.0 - 100.0 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM m))) / count(*) AS uniqueness FROM m)
 """)
 def _(spark, sf):
-    p = profile_dataset(messy(spark, sf, "messy_numeric"))
+    p = profile_dataset(stored(spark, sf, "messy_numeric"))
     return quality_score(p, detect_issues(p))
 
 
@@ -367,7 +367,7 @@ def _(spark, sf):
     WHERE (SELECT count(*) FROM m) >= 10
 """))
 def _(spark, sf):
-    df = messy(spark, sf, "messy_codes")
+    df = stored(spark, sf, "messy_codes")
     return actionable_issues(detect_issues(profile_dataset(df)), df).select("id", "priority")
 
 

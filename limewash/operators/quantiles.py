@@ -129,22 +129,32 @@ def _sort_small(df: DataFrame, searches: list[_Search]) -> None:
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
     """One sketch pass for new bracket ends, one counting pass to place the rank among them."""
     slack = 2.0 / SKETCH
+    # searches within the same bracket share one sketch
+    shared: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        shared.setdefault((s.column, s.low, s.high), []).append(s)
     sketches = []
-    for i, s in enumerate(searches):
-        p = (s.rank - s.below) / s.inside
-        ends = [max(0.0, p - slack), min(1.0, p + slack)]
-        sketches.append(F.percentile_approx(_inside(s), ends, SKETCH).alias(f"e{i}"))
-    ends = df.agg(*sketches).first()
+    for i, group in enumerate(shared.values()):
+        points = []
+        for s in group:
+            p = (s.rank - s.below) / s.inside
+            points += [max(0.0, p - slack), min(1.0, p + slack)]
+        sketches.append(F.percentile_approx(_inside(group[0]), points, SKETCH).alias(f"e{i}"))
+    found = df.agg(*sketches).first()
+    ends = {
+        id(s): found[i][2 * j:2 * j + 2]
+        for i, group in enumerate(shared.values()) for j, s in enumerate(group)
+    }
     tallies = []
     for i, s in enumerate(searches):
-        v, (low, high) = _inside(s), ends[i]
+        v, (low, high) = _inside(s), ends[id(s)]
         tallies += [
             F.count_if(v < low).alias(f"a{i}"), F.count_if(v == low).alias(f"b{i}"),
             F.count_if((v > low) & (v < high)).alias(f"c{i}"), F.count_if(v == high).alias(f"d{i}"),
         ]
     row = df.agg(*tallies).first()
     for i, s in enumerate(searches):
-        low, high = ends[i]
+        low, high = ends[id(s)]
         under, on_low, within, on_high = (row[f"{x}{i}"] for x in "abcd")
         at = s.rank - s.below
         if low == high:
