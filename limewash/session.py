@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -37,20 +38,37 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where nothing is set (a local session) a folder of this machine is used.
+    Executors of a cluster share no local folder, so there the setting must exist. A local session
+    without it (tests) uses one temporary folder of its own machine.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        base = tempfile.mkdtemp(prefix="limewash-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+        base = _local_base()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="limewash-")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several later jobs read, and read it back.
 
     The table lives in shared storage, so a lost executor costs a re-read and not a recomputation.
+    ``release`` removes it once nothing reads it any more.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` returned; nothing may read them afterwards."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
