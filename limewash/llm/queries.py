@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limewash.catalog.registry import query
-from limewash.llm import chat, packing, sharding
+from limewash.llm import chat, decontamination, packing, sharding
 from limewash.llm.common import documents
 
 SHARDS = 40
@@ -22,6 +22,34 @@ def op1_sharding(spark, sf):
     return sharding.shard(docs, "doc_id", SHARDS, grown={SHARDS: 1.0})
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op2_decontamination", f"""
+    WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+    b AS (SELECT item_id, w, least(13, len(w)) AS l FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS g
+        FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM b)),
+    dw AS (SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS g
+        FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM bw) WHERE len(w) >= l)),
+    hit AS (SELECT doc_id, item_id, i, l FROM dw JOIN bw USING (l, g)),
+    n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hit) GROUP BY 1),
+    k AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY 1)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+        coalesce(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+""")
+def op2_decontamination(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    found = decontamination.find_passages(docs, documents(spark, sf, "benchmark"), keep_text=False)
+    return found.select(
+        "doc_id", "n_words", decontamination.n_hit(F.col("hits")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontamination.contaminated().alias("contaminated"),
+    )
+
+
 _ESCAPED = "replace(replace({0}, '<!', '<!!'), '<|', '<!|')"
 
 
