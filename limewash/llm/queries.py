@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limewash.catalog.registry import query
-from limewash.llm import chat, decontamination, packing, sharding
+from limewash.llm import chat, decontamination, minhash, packing, sharding
 from limewash.llm.common import documents
 
 SHARDS = 40
@@ -89,6 +89,11 @@ def op3_chat_formatting(spark, sf):
     )
 
 
+@query("op7_minhash")
+def op7_minhash(spark, sf):
+    return minhash.near_duplicates(documents(spark, sf).select("doc_id", "text"))
+
+
 @query("op8_packing")
 def op8_packing(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
