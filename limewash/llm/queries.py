@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limewash.catalog.registry import query
-from limewash.llm import chat, decontamination, minhash, packing, sharding
+from limewash.llm import chat, decontamination, minhash, packing, sharding, suffixes
 from limewash.llm.common import documents
 
 SHARDS = 40
@@ -98,3 +98,16 @@ def op7_minhash(spark, sf):
 def op8_packing(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
     return packing.pack(docs, "doc_id", packing.word_count(F.col("text")))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    found = suffixes.repeated_passages(docs)
+    own = docs.select("doc_id", found.doc.alias("doc"), found.twin.alias("twin"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("whole"))
+    cut = found.cut.select("doc__", "twin__", "n_removed", "n_spans", F.sha2("kept", 256).alias("left"))
+    joined = own.join(cut, (F.col("doc") == F.col("doc__")) & (F.col("twin") == F.col("twin__")), "left")
+    return joined.select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("left", "whole").alias("kept_sha256"),
+    )
