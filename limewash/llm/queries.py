@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limewash.catalog.registry import query
-from limewash.llm import chat, decontamination, minhash, packing, sharding, suffixes
+from limewash.llm import chat, decontamination, extraction, minhash, packing, sharding, suffixes, topk, url_filter
 from limewash.llm.common import documents
 
 SHARDS = 40
@@ -89,6 +89,36 @@ def op3_chat_formatting(spark, sf):
     )
 
 
+@query("op4_html_extraction")
+def op4_html_extraction(spark, sf):
+    pages = documents(spark, sf, "pages").select("page_id", "url", "html")
+    return extraction.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+RULES = (
+    url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
+)
+
+
+@query("op5_url_filter")
+def op5_url_filter(spark, sf):
+    pages = documents(spark, sf, "pages").select("page_id", "url", "html")
+    return url_filter.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+@query("op6_topk", """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s QUALIFY rank <= 5
+""")
+def op6_topk(spark, sf):
+    return topk.top_k(documents(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op7_minhash")
 def op7_minhash(spark, sf):
     return minhash.near_duplicates(documents(spark, sf).select("doc_id", "text"))
