@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limewash.catalog.registry import query
-from limewash.llm import chat, decontamination, extraction, minhash, packing, sharding, suffixes, topk, url_filter
+from limewash.llm import chat, decontamination, extraction, minhash, packing, sharding, suffixes, topk, toxicity, url_filter
 from limewash.llm.common import documents
 
 SHARDS = 40
@@ -130,6 +130,19 @@ def op8_packing(spark, sf):
     return packing.pack(docs, "doc_id", packing.word_count(F.col("text")))
 
 
+REJECT = 0.3
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    model = toxicity.train(docs, documents(spark, sf, "labels").select("doc_id", "toxic"))
+    return toxicity.tag(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"),
+        F.size("toxic_spans").alias("n_spans"),
+    )
+
+
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
