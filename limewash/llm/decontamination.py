@@ -209,19 +209,15 @@ def contaminated(share: int = 20):
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", action: str = "documents", share: int = 20, **options) -> DataFrame:
     """``df`` without contaminated documents, or (``action="spans"``) with the hit spans cut out of
     every contaminated document. Same columns, same rules for nulls and repeats as ``find_passages``."""
-    names = df.columns
-    found = find_passages(df.withColumns({fresh("n"): F.lit(0)}) if not names else df, benchmark, text, **options)
-    if set(names) & {"n_words", "hits", "items"}:
-        raise ValueError("n_words, hits and items are names of results")
+    names = {c: f"c{i}__" for i, c in enumerate(df.columns)}
+    own = names[text]
+    found = find_passages(df.select(*[col(c).alias(n) for c, n in names.items()]), benchmark, own, **options)
     if action == "documents":
-        return found.where(~contaminated(share)).select(*[col(c) for c in names])
-    raw = col(text).cast("binary")
-    cut = F.transform(
-        F.sequence(F.lit(0), F.size("hits")),
-        lambda i: F.substring(
-            raw, F.coalesce(F.get("hits", i - 1)["end"], F.lit(0)) + 1,
-            F.coalesce(F.get("hits", i)["start"], F.octet_length(col(text))) - F.coalesce(F.get("hits", i - 1)["end"], F.lit(0)),
-        ),
-    )
-    left = F.decode(F.aggregate(cut, F.lit("").cast("binary"), lambda a, x: F.concat(a, x)), "UTF-8")
-    return found.withColumn(text, F.when(contaminated(share), left).otherwise(col(text))).select(*[col(c) for c in names])
+        return found.where(~contaminated(share)).select(*[F.col(n).alias(c) for c, n in names.items()])
+    raw = F.col(own).cast("binary")
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("hits", i - 1)["end"])
+    end = lambda i: F.coalesce(F.get("hits", i)["start"], F.octet_length(raw))
+    kept = F.transform(F.sequence(F.lit(0), F.size("hits")), lambda i: F.substring(raw, begin(i) + 1, end(i) - begin(i)))
+    left = F.decode(F.aggregate(kept, F.lit("").cast("binary"), lambda a, x: F.concat(a, x)), "UTF-8")
+    found = found.withColumn(own, F.when(contaminated(share), left).otherwise(F.col(own)))
+    return found.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -34,6 +34,9 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 BLOCKY = set("address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 PUNCTUATION = re.compile(r"[.,;:!?、。，！？؟।]")
 SPACES = re.compile(r"\s+")
+#: Labels of elements that name themselves the article, and elements that are only pieces of one.
+CONTENT = re.compile(r"^(?:article|main)\b|(?:^|[.\s_-])(?:main|article|content|post|entry|story)(?:$|[\s_-](?:main|body|content|text|article)\b)")
+PIECES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr ul ol dl table blockquote pre figure".split())
 #: A container goes on to hold the content of a page as long as one child has this share of it.
 SHARE = 0.75
 
@@ -134,28 +137,35 @@ def ratios(blocks: list[tuple[tuple[str, ...], bool, str]]) -> np.ndarray:
 def main_text(page: str) -> str:
     """The article of one page: blocks joined by one space, in page order.
 
-    Paths whose score reaches the spread of all scores hold content. From the root on, the element
-    that has most of the content is followed down as long as one child holds SHARE of it; all its
-    blocks that are not set apart are the article, so short paragraphs and headings stay with it.
+    Paths whose score reaches the spread of all scores hold content. The article is the outermost
+    element that names itself so and holds SHARE of the content; without one, the element where the
+    content is: from the root on, the child with SHARE of it, as long as it is not a sole paragraph
+    or heading. All blocks of the element that are not set apart belong to the article, so short
+    paragraphs and headings stay with it.
     """
     blocks = blocks_of(page)
     if not any(not b[1] for b in blocks):
         return ""
     score = ratios(blocks)
     chosen = np.where(score >= min(score.std(), score.max()), score, 0)
-    weight: dict[tuple[str, ...], float] = defaultdict(float)
+    weight: dict[tuple[str, ...], int] = defaultdict(int)
     for (path, _, text), s in zip(blocks, chosen):
         if s > 0:
             for k in range(len(path) + 1):
                 weight[path[:k]] += len(text)
     at: tuple[str, ...] = ()
-    parents = {path[:k] for path, apart, _ in blocks if not apart for k in range(len(path))}
-    while True:
-        children = [p for p in weight if len(p) == len(at) + 1 and p[: len(at)] == at and p in parents]
-        best = max(children, key=lambda p: (weight[p], p), default=None)
-        if best is None or weight[best] < SHARE * weight[at] or weight[best] <= 0:
-            break
-        at = best
+    named = [p for p in weight if p and CONTENT.search(p[-1]) and weight[p] >= SHARE * weight[()]]
+    if named:
+        at = min(named, key=lambda p: (len(p), -weight[p], p))
+    else:
+        children = defaultdict(set)
+        for p in weight:
+            children[p[:-1]].add(p)
+        while True:
+            best = max(children[at] - {at}, key=lambda p: (weight[p], p), default=None)
+            if best is None or weight[best] < SHARE * weight[at] or best[-1].split(".")[0] in PIECES:
+                break
+            at = best
     return " ".join(text for path, apart, text in blocks if not apart and path[: len(at)] == at)
 
 

@@ -66,12 +66,12 @@ def pack(
     columns are left out. Bounds are multiples of ``step``, or ``budget``; so the histogram that
     comes to the driver has at most budget / step + 1 rows, whatever the size of the input.
     """
-    n, piece, bound, place = fresh("n"), "piece", fresh("bound"), fresh("place")
-    rows = df.select(col(key), F.coalesce(tokens, F.lit(0)).cast("long").alias(n))
+    n, own, piece, bound, place = fresh("n"), fresh("key"), "piece", fresh("bound"), fresh("place")
+    rows = df.select(col(key).alias(own), F.coalesce(tokens, F.lit(0)).cast("long").alias(n))
     pieces = rows.withColumn(piece, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(col(n) / budget) - 1, F.lit(0)).cast("int"))))
     start = F.col(piece).cast("long") * budget
     pieces = pieces.select(
-        col(key), piece, start.alias("start"), F.least(col(n) - start, F.lit(budget)).cast("int").alias("n_tokens")
+        own, piece, start.alias("start"), F.least(col(n) - start, F.lit(budget)).cast("int").alias("n_tokens")
     )
     rounded = F.least(F.greatest(F.ceil(F.col("n_tokens") / step), F.lit(1)) * step, F.lit(budget)).cast("int")
     histogram = sorted(tuple(r) for r in pieces.groupBy(rounded.alias("l")).count().collect())
@@ -82,6 +82,6 @@ def pack(
     placed = numbered(pieces.withColumn(bound, padded.cast("int")), bound, place)
     rows_per_batch = F.floor(F.lit(budget) / col(bound)).cast("long")
     return placed.select(
-        col(key), piece, "start", "n_tokens", col(bound).alias("padded"),
+        col(own).alias(key), piece, "start", "n_tokens", col(bound).alias("padded"),
         F.floor(col(place) / rows_per_batch).cast("long").alias("batch"), (col(place) % rows_per_batch).cast("int").alias("slot"),
     )

@@ -58,21 +58,22 @@ def spread(edges: DataFrame, hosts: DataFrame, seed: str, damping: float, rounds
     )
     rank = hosts.select("host", F.col(seed).alias("seed"), F.col(seed).alias("rank"))
     last = None
-    for k in range(rounds):
+    for _ in range(rounds):
         sent = (
             share.join(rank.select(F.col("host").alias("at"), "rank"), F.col("src") == F.col("at"))
             .groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         )
-        rank = rank.join(sent, F.col("host") == F.col("to"), "left").select(
-            "host", "seed", (F.lit(1 - damping) * F.col("seed") + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank")
+        rank = materialise(  # cuts the lineage
+            rank.join(sent, F.col("host") == F.col("to"), "left").select(
+                "host", "seed", (F.lit(1 - damping) * F.col("seed") + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank")
+            ),
+            "rank",
         )
-        if k % 4 == 3 or k == rounds - 1:  # cuts the lineage
-            rank = materialise(rank, "rank")
-            lost = 1 - (rank.agg(F.sum("rank")).first()[0] or 0.0)
-            rank = rank.withColumn("rank", F.col("rank") + F.greatest(F.lit(lost), F.lit(0.0)) * F.col("seed"))
-            if last is not None:
-                release(last)
-            last = rank
+        seeds, kept = rank.agg(F.sum("seed"), F.sum("rank")).first()
+        if last is not None:
+            release(last)
+        last = rank
+        rank = rank.withColumn("rank", F.col("rank") + F.lit((seeds or 0.0) - (kept or 0.0)) * F.col("seed"))
     release(share)
     return rank.select("host", "rank")
 
