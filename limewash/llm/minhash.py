@@ -24,6 +24,8 @@ CUT = 0.5
 ROOM = 4096
 #: Documents compared with one centre by one task.
 SPAN = 256
+#: Shingles that a block of documents holds in memory.
+BLOCK_SHINGLES = 2_000_000
 
 _random = np.random.default_rng(20240607)
 _XOR = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64) * U(2) + _random.integers(0, 2, HASHES, dtype=np.uint64)
@@ -157,20 +159,88 @@ def _stars(cut: float):
     return run
 
 
-def _across(cut: float):
-    """Within each (bucket, part, part): likely similar pairs of members of different components."""
+def _ties(cut: float):
+    """Within each (bucket, part, part): pairs of likely similar members of different components, such
+    that every member that has such a partner is in one, and that they connect whatever components
+    all such pairs connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 3):
             ids, codes, comps = np.asarray(group.column("id")), _codes(group.column("codes")), np.asarray(group.column("component"))
-            left = np.asarray(group.column("part")) == np.asarray(group.column("p1"))
-            right = np.asarray(group.column("part")) == np.asarray(group.column("p2"))
-            i, j = np.flatnonzero(left), np.flatnonzero(right)
-            for x in range(0, len(i), 256):
-                at = i[x : x + 256]
-                alike = (similarity(codes[at][:, None, :], codes[j][None, :, :]) >= cut) & (comps[at][:, None] != comps[j][None, :])
-                p, q = np.nonzero(alike)
-                yield _pairs([(ids[at[p]], ids[j[q]])])
+            sides = [np.flatnonzero(np.asarray(group.column("part")) == np.asarray(group.column(p))) for p in ("p1", "p2")]
+            _, comp = np.unique(comps, return_inverse=True)
+            label = np.arange(comp.max() + 1)
+            found: list[tuple[int, int]] = []
+            for own, others in (sides, sides[::-1])[: 1 + (len(sides[0]) < len(ids))]:
+                for x in range(0, len(own), 256):
+                    at = own[x : x + 256]
+                    alike = similarity(codes[at][:, None, :], codes[others][None, :, :]) >= cut
+                    alike &= comp[at][:, None] != comp[others][None, :]
+                    for k in np.flatnonzero(alike.any(axis=1)):
+                        partners = others[alike[k]]
+                        labels, first = np.unique(label[comp[partners]], return_index=True)
+                        mine = label[comp[at[k]]]
+                        new = labels != mine
+                        found += [(ids[at[k]], ids[p]) for p in (partners[first[new]] if new.any() else partners[:1])]
+                        label[np.isin(label, labels)] = mine
+            yield _pairs([(np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64))])
+
+    return run
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets have in common."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small):
+        return 0
+    place = np.searchsorted(large, small)
+    return int((large[np.minimum(place, len(large) - 1)] == small).sum())
+
+
+def _linked(x: np.ndarray, y: np.ndarray, least: int) -> bool:
+    both = _shared(x, y)
+    return both > 0 and 100 * both >= least * (len(x) + len(y) - both)
+
+
+def _meet(cut: float, least: int):
+    """Within each (cluster, block): links between the block's documents (kind 0, which come first)
+    and all documents of the cluster (kind 1), as many as join components that are still apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, []
+        joined: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while joined.get(c, c) != c:
+                joined[c] = c = joined.get(joined[c], joined[c])
+            return c
+
+        for batch in small_batches(batches, "text"):
+            cluster, part, kind, ids, comps, codes = (batch.column(k) for k in range(6))
+            hashes, at = shingle_sets(batch.column(6))
+            codes, ids, comps = _codes(codes), np.asarray(ids), np.asarray(comps)
+            keys = list(zip(cluster.to_pylist(), part.to_pylist()))
+            kinds = np.asarray(kind)
+            cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+            found: list[tuple[int, int]] = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if keys[a] != now:
+                    now, block, joined = keys[a], [], {}
+                for k in range(a, b):
+                    if kinds[k] == 0:
+                        block.append((int(ids[k]), int(comps[k]), codes[k], hashes[at[k] : at[k + 1]].copy()))
+                others = np.arange(a, b)[kinds[a:b] == 1]
+                for x in range(0, len(block), 256):
+                    some = block[x : x + 256]
+                    alike = similarity(np.stack([s[2] for s in some])[:, None, :], codes[others][None, :, :])
+                    i, j = np.nonzero((alike >= cut) & (np.array([s[1] for s in some])[:, None] != comps[others][None, :]))
+                    for k in np.argsort(-alike[i, j], kind="stable"):
+                        own, other = some[i[k]], others[j[k]]
+                        p, q = find(own[1]), find(int(comps[other]))
+                        if p != q and _linked(own[3], hashes[at[other] : at[other + 1]], least):
+                            joined[max(p, q)] = min(p, q)
+                            found.append((own[0], int(ids[other])))
+            yield _pairs([(np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64))])
 
     return run
 
@@ -190,13 +260,8 @@ def _verify(least: int):
                 if kind == 0:
                     own.append(mine.copy())
                     continue
-                for other in own:
-                    small, large = (mine, other) if len(mine) < len(other) else (other, mine)
-                    place = np.searchsorted(large, small)
-                    both = int((large[np.minimum(place, len(large) - 1)] == small).sum()) if len(small) else 0
-                    if both and 100 * both >= least * (len(mine) + len(other) - both):
-                        found.append((a, b))
-                        break
+                if any(_linked(mine, other, least) for other in own):
+                    found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
@@ -217,6 +282,32 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInArrow(_verify(least), "a bigint, b bigint")
 
 
+def _across(near: DataFrame, first: DataFrame, sets: DataFrame, texts: DataFrame, cut: float, least: int) -> DataFrame:
+    """Links between components. Clusters are components that ``near`` ties together. All documents
+    of a cluster that have a likely partner in another component are read next to a block of those
+    outside its largest component; a block's sets hold some ``BLOCK_SHINGLES``."""
+    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    ids = ids.join(first.withColumnRenamed("node", "m"), F.col("id") == F.col("m"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    ids = materialise(ids, "members")
+    clusters = components(near.unionByName(ids.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    clusters = clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster"))
+    sizes = sets.select(F.col("id").alias("s"), "n_shingles", F.col("s.codes").alias("codes"))
+    ids = materialise(
+        ids.join(clusters, F.col("id") == F.col("c")).join(sizes, F.col("id") == F.col("s")).select("cluster", "id", "component", "codes", "n_shingles"), "members"
+    )
+    main = ids.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("cluster").alias("k")).agg(F.max_by("component", "n").alias("main"))
+    outside = ids.join(main, F.col("cluster") == F.col("k")).where("component <> main")
+    blocks = outside.groupBy(F.col("cluster").alias("o")).agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    named = ["cluster", "block", "kind", "id", "component", "codes"]
+    own = outside.join(blocks, F.col("cluster") == F.col("o")).withColumns({"block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "kind": F.lit(0)})
+    every = ids.join(blocks, F.col("cluster") == F.col("o")).withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "kind": F.lit(1)})
+    wanted = own.select(*named).unionByName(every.select(*named))
+    rows = wanted.join(texts.withColumnRenamed("id", "t"), F.col("id") == F.col("t")).select(*named, "text")
+    return (
+        rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "kind").mapInArrow(_meet(cut, least), "a bigint, b bigint")
+    )
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 75, cut: float = CUT) -> DataFrame:
     """Per row of ``df``: ``key``, n_shingles, component_id (the least key that can be reached over
     links, the row's own included) and kept (whether that is the row's own key).
@@ -231,8 +322,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     whose packed 2-bit codes give a corrected estimate of at least ``cut``. At a similarity of 0.75 a
     pair shares no band with probability 5e-6. Large buckets are searched in two rounds: first every
     member is compared with its bucket's least member and with the one nearest to the majority; then
-    only pairs that are still in different components are looked for, block by block, so that a
-    group of alike documents never gives all its pairs.
+    documents outside the main component of such a cluster are read, block by block, next to all of
+    it, and only those still apart are compared. So a group of alike documents never gives all its
+    pairs as rows.
     """
     sketched = materialise(sketch(df, key, text), "sketches")
     full = sketched.where("n_shingles > 0 AND id IS NOT NULL")
@@ -270,12 +362,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     meetings = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "bucket", F.least("part", "other").alias("p1"), F.greatest("part", "other").alias("p2"), "part", "id", "codes", "component"
     )
-    rest = (
-        meetings.repartition("bucket", "p1", "p2").sortWithinPartitions("bucket", "p1", "p2")
-        .mapInArrow(_across(cut), "a bigint, b bigint").where("a < b").distinct()
-        .join(tested, ["a", "b"], "left_anti")
+    near = materialise(
+        meetings.repartition("bucket", "p1", "p2").sortWithinPartitions("bucket", "p1", "p2").mapInArrow(_ties(cut), "a bigint, b bigint").distinct(), "near"
     )
-    more = materialise(_confirmed(materialise(rest, "pairs"), texts, least), "confirmed")
+    more = materialise(_across(near, first, sets, texts, cut, least), "confirmed")
     reps = full.select("id", "n_shingles", "print1", "print2").join(
         sets.select("print1", "print2", "n_shingles", F.col("id").alias("rep")), ["print1", "print2", "n_shingles"]
     ).select("id", "n_shingles", "rep")
