@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from limewash.catalog.messy import messy, table, with_view
 from limewash.catalog.registry import query
 from limewash.functions import text
-from limewash.functions.constants import NULL_SENTINELS, number_words
+from limewash.functions.constants import NULL_SENTINELS, NUMBER_WORDS
 from limewash.functions.dates import add_dates
 from limewash.functions.headers import clean_headers
 from limewash.functions.numbers import add_number_text, to_loose_number, to_number, word_numbers
@@ -72,7 +72,7 @@ def _(spark, sf):
     return add_dates(df, {c: F.col(c) for c in ("order_date", "ship_date")})
 
 
-_WORD_CASE = " ".join(f"WHEN '{w}' THEN '{n}'" for w, n in number_words().items())
+_WORD_CASE = " ".join(f"WHEN '{w}' THEN '{n}'" for w, n in NUMBER_WORDS.items())
 
 
 @query("word_numbers", with_view(

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limewash.functions.constants import NUMBER_PATTERN, number_words
+from limewash.functions.constants import NUMBER_PATTERN, NUMBER_WORDS
 from limewash.functions.staging import Cells
 from limewash.functions.text import trim
 
@@ -21,7 +21,7 @@ INNER_DASH = r"[^-+\s].*-\s*[^-\s]"
 FOUR_PARTS = r"^\d+(\.\d+){3}$"
 DOT_AND_THREE = r"^\d+\.\d{3}$"
 
-_WORDS = number_words()
+_WORDS = NUMBER_WORDS
 _LONGEST_WORD = max(map(len, _WORDS))
 
 

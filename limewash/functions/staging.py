@@ -7,20 +7,30 @@ the whole chain inside one code-generated stage.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Count the rows that pass.
+def sealed(df: DataFrame, cells: Mapping[str, Column]) -> DataFrame:
+    """``df`` with these columns added or replaced, in such a way that no filter moves below them.
 
-    The optimiser moves no filter across such a counter. Without it, a filter on a cleaned column
-    would be rewritten in terms of the raw one, copying the whole chain of steps several times over.
+    They leave the chain of steps as the fields of one generated row. A filter on another column
+    still moves down to the scan, while one on a cell stays above; rewritten in terms of the raw
+    column it would copy all steps several times over.
     """
-    return df.observe(f"cells-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+    if not cells:
+        return df
+    fields = {name: f"__cell_{i}_{name}" for i, name in enumerate(cells)}
+    done = F.inline(F.array(F.struct(*[cells[name].alias(field) for name, field in fields.items()])))
+    kept = [_named(name) for name in df.columns if name not in cells]
+    names = [*df.columns, *[name for name in cells if name not in df.columns]]
+    return df.select(*kept, done).select(*[_named(fields[n]).alias(n) if n in fields else _named(n) for n in names])
+
+
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 class Cells:
@@ -29,7 +39,6 @@ class Cells:
     def __init__(self, df: DataFrame, tag: str, sources: Mapping[str, Column]):
         self.df, self.tag = df, tag
         self.targets = list(sources)
-        self._keep = [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
         self._temporaries: list[str] = []
         self.step("in", lambda i: list(sources.values())[i])
 
@@ -49,5 +58,5 @@ class Cells:
         """Add the targets, replacing columns of the same name, and drop the intermediates."""
         if not self.targets:
             return self.df
-        out = {name: build(i) for i, name in enumerate(self.targets)}
-        return settle(self.df.withColumns(out).drop(*self._temporaries))
+        done = sealed(self.df, {name: build(i) for i, name in enumerate(self.targets)})
+        return done.drop(*self._temporaries)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,10 +19,9 @@ from limewash.operators.detectors import category_or_text, parse_type, type_evid
 from limewash.operators.melting import (
     distinct_counts, is_numeric, is_temporal, is_text, melt, numeric_columns, text_columns,
 )
-from limewash.operators.quantiles import clean_double, exact_quantiles
+from limewash.operators.quantiles import AGGREGATES_PER_JOB, clean_double, exact_quantiles, in_chunks
 from limewash.operators.rows import duplicate_count
 
-AGGREGATES_PER_JOB = 400
 PATTERN_KINDS = 80
 
 PROFILE_SCHEMA = """
@@ -54,15 +54,6 @@ class Profile:
         )
 
 
-def in_chunks(df: DataFrame, aggregates: Sequence[Column], size: int = AGGREGATES_PER_JOB) -> list:
-    """Values of many global aggregates, a bounded number of them per job."""
-    values: list = []
-    for start in range(0, len(aggregates), size):
-        part = aggregates[start:start + size]
-        values += list(df.agg(*[a.alias(f"a{i}") for i, a in enumerate(part)]).first())
-    return values
-
-
 def column_counts(df: DataFrame) -> DataFrame:
     """(ordinal, column, dtype, missing_count, missing_pct, cardinality, non_null_count), lazily."""
     spark = df.sparkSession
@@ -155,10 +146,11 @@ def outlier_stats(
         low, high = (q1, q3) if iqr == 0 else (q1 - K.IQR_FACTOR * iqr, q3 + K.IQR_FACTOR * iqr)
         bounds[c] = (low, high)
         v = F.col(c)
+        # Spark holds NaN above every number, so bounds and z-scores that are NaN are left out here.
         outside += [
-            F.count_if(v < low) if iqr else F.lit(0),
-            F.count_if(v > high) if iqr else F.lit(0),
-            F.count_if(F.abs((v - mean) / spread) > K.Z_THRESHOLD) if spread else F.lit(0),
+            F.count_if(v < low) if iqr and not math.isnan(low) else F.lit(0),
+            F.count_if(v > high) if iqr and not math.isnan(high) else F.lit(0),
+            F.count_if(F.abs((v - mean) / spread) > K.Z_THRESHOLD) if _scalable(mean, spread) else F.lit(0),
         ]
     tallies = in_chunks(values, outside) if outside else []
     out = []
@@ -171,11 +163,16 @@ def outlier_stats(
             "lower_bound": bounds[c][0], "upper_bound": bounds[c][1],
             "count_below": below, "count_above": above,
             "z_threshold": K.Z_THRESHOLD, "z_count": far,
-            "max_abs_z": max(most - mean, mean - least) / spread if spread else 0.0,
+            "max_abs_z": max(most - mean, mean - least) / spread if _scalable(mean, spread) else 0.0,
         })
     return out
 
 
+def _scalable(mean: float, spread: float) -> bool:
+    """Whether z-scores exist: not with a spread of zero, nor with an infinite value in the column."""
+    return math.isfinite(mean) and math.isfinite(spread) and spread > 0
+
+
 OUTLIER_SCHEMA = """
     column string, q1 double, q3 double, lower_bound double, upper_bound double, count_below bigint,
     count_above bigint, z_threshold double, z_count bigint, max_abs_z double

@@ -21,6 +21,7 @@ SORTABLE = 200_000
 PER_JOB = 1_000_000
 SKETCHES_PER_JOB = 64
 SKETCH = 10_000
+AGGREGATES_PER_JOB = 400
 
 
 @dataclass
@@ -36,6 +37,15 @@ class _Search:
     inside: int | None = None
 
 
+def in_chunks(df: DataFrame, aggregates: Sequence[Column], size: int = AGGREGATES_PER_JOB) -> list:
+    """Values of many global aggregates, a bounded number of them per job."""
+    values: list = []
+    for start in range(0, len(aggregates), size):
+        part = aggregates[start:start + size]
+        values += list(df.agg(*[a.alias(f"a{i}") for i, a in enumerate(part)]).first())
+    return values
+
+
 def clean_double(c: Column) -> Column:
     """The column as DOUBLE with NaN as null."""
     d = c.cast("double")
@@ -91,16 +101,25 @@ def _groups(items: Sequence, weights: Sequence[int]) -> list[list]:
 
 
 def _between(found: dict[tuple[str, int], float], column: str, at: float) -> float:
+    """The weighted mean of the two values around ``at``, as Spark's ``percentile`` forms it."""
     low, high = math.floor(at), math.ceil(at)
     a, b = found[column, low], found[column, high]
-    return a + (b - a) * (at - low)
+    return a if low == high or a == b else (high - at) * a + (at - low) * b
 
 
 def _values_at(
     df: DataFrame, ranks: list[tuple[str, int]], counts: dict[str, int], sortable: int
 ) -> dict[tuple[str, int], float]:
     inf = float("inf")
-    searches = [_Search(c, r, -inf, inf, inside=counts[c]) for c, r in ranks]
+    names = list(dict.fromkeys(c for c, _ in ranks))
+    ends = in_chunks(df, [F.count_if(clean_double(quoted(c)) == v) for c in names for v in (-inf, inf)])
+    ends = {c: ends[2 * i:2 * i + 2] for i, c in enumerate(names)}
+    searches = []
+    for c, r in ranks:  # infinities are counted; the brackets hold finite values only
+        least, most = ends[c]
+        s = _Search(c, r, -inf, inf, below=least, inside=counts[c] - least - most)
+        s.value = -inf if r < least else inf if r >= counts[c] - most else None
+        searches.append(s)
     while open_ := [s for s in searches if s.value is None]:
         ready = [s for s in open_ if s.inside <= sortable]
         for group in _groups(ready, [s.inside for s in ready]):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from limewash.functions.dates import add_dates
 from limewash.functions.headers import clean_headers
 from limewash.functions.numbers import add_number_text, to_number, to_whole_number
-from limewash.functions.staging import settle
+from limewash.functions.staging import sealed
 from limewash.functions.text import int_like_text, null_if_sentinel, sentence_case, title_case, trim
 from limewash.operators.detectors import column_evidence, decide, name_value_check
 from limewash.operators.melting import is_text, tidy_values
@@ -142,7 +142,8 @@ class CleanPlan:
         out = add_number_text(out, {c.position: F.col(c.position) for c in numeric}, dot3=self.dot3)
         dates = [c for c in text if c.target == "timestamp_ntz"]
         out = add_dates(out, {c.position: F.col(c.position) for c in dates})
-        return settle(out.select(*[self._final(c).alias(c.name) for c in kept]))
+        out = sealed(out, {c.position: self._final(c) for c in text})
+        return out.select(*[F.col(c.position).alias(c.name) for c in kept])
 
     def _shaped(self, c: ColumnPlan) -> Column:
         value = F.col(c.position)

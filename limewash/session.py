@@ -12,7 +12,8 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Settings the cell programs profit from; safe for any other query of the session.
+    """Settings the cell programs profit from; safe for any other query of the session. Call it
+    yourself: no other function of the library changes a session.
 
     The virtual machine does not compile methods beyond 8,000 bytes. Stages whose fused code
     would be larger run as separate, compiled operators instead.

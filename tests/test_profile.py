@@ -35,6 +35,27 @@ def test_outliers(spark):
     assert (constant["lower_bound"], constant["upper_bound"], constant["max_abs_z"]) == (5.0, 5.0, 0.0)
 
 
+@pytest.mark.parametrize("below, above", [(0, 3), (10, 0), (90, 0), (40, 70), (150, 150)])
+def test_infinities_count_alike_on_every_path(spark, below, above):
+    rng = random.Random(5)
+    values = [rng.uniform(-9, 9) for _ in range(203)] + [float("-inf")] * below + [float("inf")] * above + [float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    n = {"v": 203 + below + above}
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    direct = exact_quantiles(df, ["v"], probabilities, n, sortable=10**6)["v"]
+    ranked = sorted(v for v in values if v is not None and v == v)
+    for p, got in zip(probabilities, direct):
+        if (p * (n["v"] - 1)).is_integer():
+            assert got == ranked[int(p * (n["v"] - 1))]
+    for sortable in (3, 40, 250):
+        assert repr(exact_quantiles(df, ["v"], probabilities, n, sortable=sortable)["v"]) == repr(direct)
+    stats = outlier_stats(df)[0]
+    low, high = stats["lower_bound"], stats["upper_bound"]
+    finite = [v for v in values if v is not None]
+    assert stats["count_below"] == sum(v < low for v in finite) and stats["count_above"] == sum(v > high for v in finite)
+    assert (stats["z_count"], stats["max_abs_z"]) == (0, 0.0)
+
+
 def test_constant_column_has_no_pair(spark):
     df = spark.createDataFrame([(i, 2 * i, 1, None if i % 3 else i) for i in range(30)], "a int, b int, c int, d int")
     pairs = {(r.col_a, r.col_b): r.correlation for r in redundant_pairs(df).collect()}
