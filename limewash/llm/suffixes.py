@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -330,6 +331,14 @@ class Repeats:
         return df.join(cut, (self.doc == F.col("doc__")) & (self.twin == F.col("twin__")), "left")
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"doc": "doc__", "twin": "twin__"})
+
+
+def _equal(keys: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(k) == F.col(f"{k}__") for k in keys])
+
+
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> Repeats:
     """Find the bytes of all texts that a string of LENGTH bytes covers which also starts earlier.
 
@@ -348,12 +357,16 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         .groupBy("doc", "twin").agg(F.collect_list("mark").alias("marks"))
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = marks.select(F.col("doc").alias("d"), F.col("twin").alias("t"), "marks")
-    marked = rows.join(marks, (F.col("doc") == F.col("d")) & (F.col("twin") == F.col("t"))).select("doc", "twin", "text", "marks")
-    # Rows that repeat a key and its text are judged once. Bucketed, so that the marks that come later join without the texts being dealt out again.
+    # A constant second key must be no part of keys, or Spark would deal the texts out again.
+    keys = ["doc", "twin"] if twin_matters else ["doc"]
+    marks = _apart(marks).repartition(parts, *[f"{k}__" for k in keys])
+    texts = rows.repartition(parts, *keys)
+    # Rows that repeat a key and its text are judged once.
+    texts = texts.dropDuplicates(keys) if twin_matters else texts
+    marked = texts.join(marks, _equal(keys)).select("doc", "twin", "text", "marks")
+    # Bucketed as they lie, so that the texts are dealt out once; the marks that come later join them there.
     name = f"marked_{uuid.uuid4().hex}"
-    marked = marked.repartition(parts, "doc", "twin").dropDuplicates(["doc", "twin"]) if twin_matters else marked.repartition(parts, "doc", "twin")
-    marked.write.bucketBy(parts, "doc", "twin").option("path", scratch_path(spark, name)).format("parquet").saveAsTable(name)
+    marked.write.bucketBy(parts, *keys).option("path", scratch_path(spark, name)).format("parquet").saveAsTable(name)
     marked = spark.table(name)
     contexts = marked.mapInArrow(_contexts, "anchor bigint, doc bigint, twin bigint, start bigint, bytes binary")
     factors = materialise(
@@ -365,12 +378,12 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     least = hot.groupBy(F.col("h1").alias("x1"), F.col("h2").alias("x2")).agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least < most")
     later = hot.join(least, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))).where("at > least")
     spans = factors.where("h1 IS NULL").select("doc", "twin", "first", "last").unionByName(later.select("doc", "twin", "first", "last"))
-    spans = spans.groupBy(F.col("doc").alias("d"), F.col("twin").alias("t")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    full = marked.join(spans, (F.col("doc") == F.col("d")) & (F.col("twin") == F.col("t")), "left").select(
+    spans = _apart(spans.groupBy("doc", "twin").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
+    full = marked.join(spans, _equal(keys), "left").select(
         "doc", "twin", "text", "marks", F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("spans")
     )
     cut = full.mapInArrow(_cut, "doc bigint, twin bigint, n_removed bigint, n_spans bigint, kept binary")
-    return Repeats(doc, twin, cut.withColumnsRenamed({"doc": "doc__", "twin": "twin__"}))
+    return Repeats(doc, twin, _apart(cut))
 
 
 def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
