@@ -15,7 +15,7 @@ from limewash.operators.profiling import profile_dataset
 from limewash.plans.batch import analyse, run
 from limewash.plans.cleaner import Cleaner
 from limewash.session import scratch_path
-from limewash.sources.delimited import detect_separator, load_csv, save_csv
+from limewash.sources.delimited import detect_separator, load_csv, rejected_lines, save_csv
 
 KEEP_ALL = dict(headers=False, drop_empty=False)
 STEP_OFF = dict(KEEP_ALL, int_like=False, number_text=False, email=False, coerce=False)
@@ -358,20 +358,38 @@ def customer_file(spark, sf, sep: str, name: str) -> str:
 
 
 @query("csv_sniff", """
-    SELECT sep, CAST(count(*) AS BIGINT) AS n FROM customer, (VALUES (';'), (',')) AS s(sep) GROUP BY 1
+    SELECT ';' AS sep, count(*) FILTER (c_custkey % 20 <> 0 OR c_custkey % 23 = 1) AS n FROM customer
+    UNION ALL SELECT ',', count(*) FROM customer
 """)
 def _(spark, sf):
-    n = F.count(F.lit(1)).alias("n")
     out = None
     for sep in (";", ","):
         path = customer_file(spark, sf, sep, "sniff")
-        part = load_csv(spark, path, ";")[0].agg(n) if sep == ";" else spark.read.text(path).where("value not like 'id,%'").agg(n)
-        rows = table(spark, sf, "customer").agg(n) if sep == ";" else part
-        row = rows.select(F.lit(detect_separator(spark, path)).alias("sep"), "n")
+        found = detect_separator(spark, path)
+        row = load_csv(spark, path, found)[0].agg(F.count(F.lit(1)).alias("n")).select(F.lit(found).alias("sep"), "n")
         out = row if out is None else out.unionByName(row)
     return out
 
 
+@query("csv_rejected", """
+    SELECT concat_ws(';', c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '"' || c_name || ' x"' WHEN c_custkey % 13 = 0 THEN 'N/A'
+            WHEN c_custkey % 17 = 0 THEN '' ELSE c_name END, '1', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'), c_mktsegment) AS line, 5 AS fields
+    FROM customer WHERE c_custkey % 20 = 0 AND c_custkey % 23 <> 1
+""")
+def _(spark, sf):
+    return rejected_lines(spark, customer_file(spark, sf, ";", "rejected")).select("line", "fields")
+
+
+@query("csv_prose", """
+    SELECT CAST(doc_id AS VARCHAR) AS id, nullif(text, '') AS body FROM documents
+""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"))
+    path = scratch_path(spark, "prose")
+    save_csv(spread(docs), path, ",")
+    return load_csv(spark, path, ",")[0]
+
+
 _NAME_SQL = """CASE WHEN c_custkey % 11 = 0 THEN c_name || ' x' WHEN c_custkey % 13 = 0 THEN 'N/A'
     WHEN c_custkey % 17 = 0 THEN NULL ELSE c_name END"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,20 +28,54 @@ def detect_separator(spark: SparkSession, path: str) -> str:
     return sniff_separator(first["value"] if first else "")
 
 
-def scan_lines(spark: SparkSession, path: str, sep: str) -> tuple[int, bool]:
-    """(most fields in any line, whether all bytes are UTF-8), in one pass over the raw lines."""
-    row = spark.read.text(path).agg(
-        F.max(F.size(F.split("value", "\\" + sep))).alias("width"),
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-    ).first()
-    return row["width"] or 0, row["utf8"] is not False
+QUOTED = '"(?:[^"]|"")*"'
+
+
+def fields_of(line: Column, sep: str) -> Column:
+    """The number of fields of a line; separators inside quotes do not count."""
+    return F.length(F.regexp_replace(F.regexp_replace(line, QUOTED, ""), "[^" + sep + "]", "")) + 1
+
+
+@dataclass
+class Batch:
+    """Files of one header and one encoding."""
+
+    header: str
+    utf8: bool
+    files: list[str]
+    widths: dict[str, int]
+    broken: bool  # some line ends inside quotes
+
+
+def survey(spark: SparkSession, path: str) -> list[Batch]:
+    """What the files under a path look like, in one pass over their raw lines.
+
+    Files are told apart by header and by whether all their bytes are UTF-8. Only one row per kind of
+    file comes to the driver, with the names of its files.
+    """
+    line, meta = F.col("value"), "_metadata.file_path"
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"')))
+    lines = spark.read.text(path).select(
+        F.col(meta).alias("file"), line, at.alias("at"), F.is_valid_utf8(line).alias("valid"),
+        *[fields_of(line, sep).alias(f"w{i}") for i, sep in enumerate(";,")], (quotes % 2 == 1).alias("odd"),
+    )
+    files = lines.groupBy("file").agg(
+        F.min_by("value", "at").alias("header"), F.bool_and("valid").alias("utf8"), F.max("w0").alias("w0"), F.max("w1").alias("w1"), F.bool_or("odd").alias("odd")
+    )
+    decoded = F.when(F.col("utf8"), F.col("header")).otherwise(F.decode(F.col("header").cast("binary"), "ISO-8859-1"))
+    kinds = files.withColumn("header", F.regexp_replace(decoded, "^\\uFEFF|\\r$", "")).groupBy("header", "utf8").agg(
+        F.sort_array(F.collect_list("file")).alias("files"), F.max("w0").alias("w0"), F.max("w1").alias("w1"), F.bool_or("odd").alias("odd")
+    )
+    found = [Batch(r.header, r.utf8, list(r.files), {";": r.w0, ",": r.w1}, r.odd) for r in kinds.collect()]
+    return sorted(found, key=lambda batch: batch.files[0])
 
 
 def header_names(line: str, sep: str) -> list[str]:
     """Names of the header line: unnamed fields numbered, repeated names suffixed."""
     names: list[str] = []
-    for i, raw in enumerate(line.rstrip("\r\n").split(sep)):
-        name = raw.strip().strip('"') or f"Unnamed: {i}"
+    for i, raw in enumerate(next(csv.reader([line.rstrip("\r\n")], delimiter=sep), [])):
+        name = raw.strip() or f"Unnamed: {i}"
         base, n = name, 0
         while name in names:
             n += 1
@@ -48,76 +84,101 @@ def header_names(line: str, sep: str) -> list[str]:
     return names
 
 
-def load_csv(spark: SparkSession, path: str, sep: str | None = None) -> tuple[DataFrame, str]:
+def load_csv(spark: SparkSession, path: str, sep: str | None = None, latin1: bool = True) -> tuple[DataFrame, str]:
     """All columns as text; null-like words are kept, blank cells are null.
 
     Lines that are too short are padded. Lines that are too long widen a comma file, where a
-    thousands comma is then repaired, and are skipped in any other file. Files that are not UTF-8
-    are read as Latin-1.
+    thousands comma is then repaired; in any other file they are left out, and ``rejected_lines``
+    returns them. A file that is not UTF-8 is read as Latin-1, or with ``latin1=False`` as UTF-8 with
+    replacement characters; other files of the folder are not affected. Files may order their columns
+    differently or lack some. Where a record goes on behind a line break inside quotes, the files
+    are read whole, one task each. The number of jobs does not depend on the width.
     """
-    first = spark.read.text(path).first()
-    line = first["value"] if first else ""
-    sep = sep or sniff_separator(line)
-    width, utf8 = scan_lines(spark, path, sep)
-    if not utf8:
-        latin = spark.read.option("encoding", "ISO-8859-1").option("header", False).csv(path, sep="\x01")
-        line = latin.first()[0]
-    names = header_names(line, sep)
-    extra = [f"Unnamed_{i}" for i in range(max(0, width - len(names)))] if sep == "," else [OVERFLOW]
-    schema = StructType([StructField(n, StringType()) for n in names + extra])
-    df = (
+    batches = survey(spark, path)
+    sep = sep or sniff_separator(batches[0].header if batches else "")
+    if not batches:
+        return spark.createDataFrame([], "`Unnamed: 0` string"), sep
+    parts = [_read(spark, batch, path if len(batches) == 1 else batch.files, sep, latin1) for batch in batches]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), sep
+
+
+def _reader(spark: SparkSession, batch: Batch, schema: StructType, sep: str, latin1: bool):
+    return (
         spark.read.schema(schema)
         .option("header", True).option("enforceSchema", True).option("sep", sep)
-        .option("mode", "PERMISSIVE").option("escape", '"')
-        .option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
-        .csv(path)
+        .option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", batch.broken)
+        .option("encoding", "UTF-8" if batch.utf8 or not latin1 else "ISO-8859-1")
     )
-    if sep != ",":
-        return df.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW), sep
-    return repair_thousands(df, len(names)), sep
 
 
-def _fragments(left: Column, right: Column) -> Column:
-    return trim(left).rlike(r"^\d{1,3}$") & trim(right).rlike(r"^\d{3}$")
+def _read(spark: SparkSession, batch: Batch, paths: str | list[str], sep: str, latin1: bool) -> DataFrame:
+    names = header_names(batch.header, sep)
+    width = batch.widths[sep] if sep in batch.widths else len(names)
+    extra = [f"Unnamed_{i}" for i in range(max(0, width - len(names)))] if sep == "," else [OVERFLOW]
+    schema = StructType([StructField(n, StringType()) for n in names + extra])
+    df = _reader(spark, batch, schema, sep, latin1).csv(paths)
+    if sep != ",":
+        return df.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
+    return repair_thousands(df, len(names))
+
+
+def rejected_lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """(file, fields, line) of the lines that ``load_csv`` leaves out: those with more fields than
+    the header in a file that is not parted by commas."""
+    batches = survey(spark, path)
+    sep = sep or sniff_separator(batches[0].header if batches else "")
+    out = spark.createDataFrame([], "file string, fields int, line string")
+    if sep == ",":
+        return out
+    for batch in batches:
+        width = len(header_names(batch.header, sep))
+        lines = spark.read.text(path if len(batches) == 1 else batch.files)
+        lines = lines.select(F.col("_metadata.file_path").alias("file"), fields_of(F.col("value"), sep).alias("fields"), F.col("value").alias("line"))
+        out = out.unionByName(lines.where(F.col("fields") > width))
+    return out
 
 
 def repair_thousands(df: DataFrame, width: int) -> DataFrame:
-    """Rejoin numbers that a thousands comma split (``1,000``), one overflow column at a time.
+    """Rejoin numbers that a thousands comma split (``1,000``) in rows that really are too long.
 
-    Only rows that really are too long are touched. A row is joined at the pair of neighbours that
-    explains most of the long rows, or else at the next best one, and the rest of it moves left.
-    An overflow column left empty is dropped; what no pair explains is kept.
+    One pass counts, for every pair of neighbours, the long rows where it looks like a split number.
+    A row is then joined at as many of its pairs as it has fields too many, the pairs that explain
+    most rows first, and the rest of it moves left. Columns left empty are dropped; what no pair
+    explains is kept.
     """
     names = df.columns
-    while len(names) > max(width, 1):
-        last = trim(quoted(names[-1]))
-        too_long = last.isNotNull() & (last != "")
-        pairs = [_fragments(quoted(a), quoted(b)) & too_long for a, b in zip(names, names[1:])]
-        explained = F.coalesce(reduce(lambda a, b: a | b, pairs), F.lit(False))
-        tallies = [F.count_if(p).alias(f"p{i}") for i, p in enumerate(pairs)]
-        row = df.agg(F.count_if(too_long & ~explained).alias("unexplained"), *tallies).first()
-        order = sorted((-row[f"p{i}"], i) for i in range(len(pairs)) if row[f"p{i}"])
-        for _, at in order:
-            df = _merge(df, names, at, pairs[at])
-        if row["unexplained"]:
-            return df
-        names = names[:-1]
-        df = df.select(*[quoted(c) for c in names])
-    return df
-
-
-def _merge(df: DataFrame, names: list[str], at: int, hit: Column) -> DataFrame:
-    hit = F.coalesce(hit, F.lit(False))
-    out = []
-    for i, name in enumerate(names):
-        own = quoted(name)
-        if i < at:
-            out.append(own)
-            continue
-        following = quoted(names[i + 1]) if i + 1 < len(names) else F.lit(None).cast("string")
-        new = F.concat(trim(own), trim(following)) if i == at else following
-        out.append(F.when(hit, new).otherwise(own).alias(name))
-    return df.select(*out)
+    if len(names) <= max(width, 1):
+        return df
+    fields = F.array(*[trim(quoted(c)) for c in names])
+    used = F.array_max(F.transform(fields, lambda x, i: F.when(x.isNotNull() & (x != ""), i + 1).otherwise(0)))
+    rows = df.withColumns({"__f": F.array(*[quoted(c) for c in names]), "__t": fields, "__n": F.greatest(used - width, F.lit(0))})
+    pair = lambda i: F.get("__t", i).rlike(r"^\d{1,3}$") & F.get("__t", i + 1).rlike(r"^\d{3}$")
+    places = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 2)), lambda i: F.coalesce(pair(i), F.lit(False)))
+    rows = rows.withColumn("__p", F.when(F.col("__n") > 0, places).otherwise(F.array().cast("array<int>")))
+    left_over = F.when(F.col("__n") > F.size("__p"), F.col("__n") - F.size("__p")).otherwise(0)
+    tally = (
+        rows.where("__n > 0").select(F.explode(F.concat(F.array(-1 - left_over), F.col("__p"))).alias("at"))
+        .groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()
+    )
+    kept = len(names) if any(r["at"] < -1 for r in tally) else width
+    order = [r["at"] for r in sorted((r for r in tally if r["at"] >= 0), key=lambda r: (-r["n"], r["at"]))]
+    if order:
+        best = F.filter(F.array(*[F.lit(i) for i in order]), lambda i: F.array_contains("__p", i))
+        rows = rows.withColumn("__m", F.slice(best, 1, F.col("__n")))
+        joins = F.transform("__f", lambda x, i: F.struct(x.alias("x"), F.array_contains("__m", i - 1).alias("on")))
+        empty = F.array().cast("array<string>")
+        merged = F.aggregate(
+            joins, empty,
+            lambda done, s: F.when(
+                s["on"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(trim(F.element_at(done, -1)), trim(s["x"]))))
+            ).otherwise(F.concat(done, F.array(s["x"]))),
+        )
+        rows = rows.withColumn("__f", F.when(F.size("__m") > 0, merged).otherwise(F.col("__f")))
+    done = rows.select(*[F.get("__f", F.lit(i)).alias(c) for i, c in enumerate(names[:kept])])
+    if kept > width:  # how far the rows that stay too long reach
+        filled = [F.max(F.when(F.coalesce(trim(quoted(names[i])), F.lit("")) != "", i + 1)) for i in range(width, kept)]
+        kept = max([width, *[n for n in done.agg(*[c.alias(f"c{i}") for i, c in enumerate(filled)]).first() if n]])
+    return done.select(*[quoted(c) for c in names[:kept]])
 
 
 def export_format(df: DataFrame) -> DataFrame:

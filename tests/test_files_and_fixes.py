@@ -9,7 +9,7 @@ from limewash import Cleaner
 from limewash.operators import actions as A
 from limewash.operators import recommendations as R
 from limewash.plans.batch import run
-from limewash.sources.delimited import export_format, header_names, load_csv, preview, save_csv, sniff_separator
+from limewash.sources.delimited import export_format, header_names, load_csv, preview, rejected_lines, save_csv, sniff_separator
 from limewash.streaming.clean_stream import clean_stream
 
 
@@ -57,6 +57,44 @@ def test_latin_1(spark, tmp_path):
     assert df.columns == ["Größe", "b"] and rows(df) == [("é", "2")]
 
 
+def test_quotes_decide_width_header_and_records(spark, tmp_path):
+    prose = ", ".join(f"w{i}" for i in range(41))
+    path = write(tmp_path, "a.csv", f'"last, first",age\n"Roe, Jo",7\n"{prose}",8\n"two\nlines",9\n')
+    df, sep = load_csv(spark, path)
+    assert sep == "," and df.columns == ["last, first", "age"]
+    assert rows(df) == rows(spark.createDataFrame([("Roe, Jo", "7"), (prose, "8"), ("two\nlines", "9")], "a string, b string"))
+
+
+def test_encoding_is_judged_per_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_bytes("n;v\né;1\n".encode())
+    (tmp_path / "in" / "b.csv").write_bytes("v;n\n2;ü\n".encode("latin-1"))
+    path = str(tmp_path / "in")
+    df, _ = load_csv(spark, path)
+    assert df.columns == ["n", "v"] and rows(df) == [("é", "1"), ("ü", "2")]
+    assert rows(load_csv(spark, path, latin1=False)[0]) == [("é", "1"), ("\ufffd", "2")]
+
+
+def test_rejected_lines_are_returned(spark, tmp_path):
+    path = write(tmp_path, "a.csv", 'a;b\n1;2\n3;4;5\n"x;y";6\n')
+    assert load_csv(spark, path)[0].count() == 2
+    assert [(r.fields, r.line) for r in rejected_lines(spark, path).collect()] == [(3, "3;4;5")]
+    assert rejected_lines(spark, write(tmp_path, "b.csv", "a,b\n1,2,3\n")).count() == 0
+
+
+def test_jobs_of_loading_do_not_depend_on_the_width(spark, tmp_path):
+    def jobs(extra):
+        line = "1," + ",".join(["x"] * extra) + ",2"
+        path = write(tmp_path, f"w{extra}.csv", "a,b\n" + "\n".join([line] * 5) + "\n")
+        group = f"width-{extra}"
+        spark.sparkContext.setJobGroup(group, group)
+        load_csv(spark, path)
+        spark.sparkContext.setJobGroup("", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(2) == jobs(60)
+
+
 def test_save_and_export(spark, tmp_path):
     df = spark.sql("select timestamp_ntz'2024-02-14 10:00:00' as t, 'a;b' as s union all select null, null")
     save_csv(export_format(df), str(tmp_path / "out"), ";")
