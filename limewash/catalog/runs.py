@@ -15,7 +15,7 @@ from limewash.operators.profiling import profile_dataset
 from limewash.plans.batch import analyse, run
 from limewash.plans.cleaner import Cleaner
 from limewash.session import scratch_path
-from limewash.sources.delimited import detect_separator, load_csv, rejected_lines, save_csv
+from limewash.sources.delimited import detect_separator, load_csv, preview, rejected_lines, save_csv
 
 KEEP_ALL = dict(headers=False, drop_empty=False)
 STEP_OFF = dict(KEEP_ALL, int_like=False, number_text=False, email=False, coerce=False)
@@ -31,6 +31,29 @@ def clean_customers(spark, sf):
     return Cleaner().fit(df).transform(df)
 
 
+def _shown(name: str, text: str) -> str:
+    return f"""coalesce({text}, '') AS "{name}\""""
+
+
+@query("preview", with_view("messy_customer", "SELECT " + ", ".join([
+    *[_shown(c, f'CAST("{c}" AS VARCHAR)') for c in ("Id", "Name", "Segment", "Email", "Phone", "Nation")],
+    _shown("Balance", """'$' || format('{:,}', "Balance")"""),
+]) + f" FROM ({_CLEAN_CUSTOMER}) AS c"))
+def _(spark, sf):
+    df = messy(spark, sf, "messy_customer")
+    plan = Cleaner().fit(df)
+    return preview(plan.transform(df), plan.currency_columns)
+
+
+@query("report_shape", with_view("messy_customer", """
+    SELECT CAST((SELECT count(*) FROM customer) AS BIGINT) AS rows_before, CAST((SELECT count(*) FROM customer) AS BIGINT) AS rows_after,
+        4 AS columns_before, 4 AS columns_after, CAST(0 AS BIGINT) AS duplicate_rows_before
+"""))
+def _(spark, sf):
+    summary = batch_run(spark, sf).report.select("summary.*")
+    return summary.select("rows_before", "rows_after", "columns_before", "columns_after", "duplicate_rows_before")
+
+
 @query("clean_orders", with_view("messy_orders", """
     SELECT id, true_date AS order_date, CASE WHEN id % 50 = 0 THEN '1984-02-34' WHEN id % 30 = 0 THEN NULL
         ELSE strftime(true_date, '%Y-%m-%d') END AS ship_date, CAST(age AS BIGINT) AS age, status, priority, true_date FROM m

@@ -18,7 +18,7 @@ from limewash.operators.suspicious import (
     RULES, id_like_columns, suspicious_values, text_frequencies,
 )
 from limewash.plans.cleaner import Cleaner
-from limewash.sources.delimited import export_format, preview
+from limewash.sources.delimited import export_format
 from limewash.sources.report import profile_json
 
 DTYPES = {
@@ -223,13 +223,6 @@ def _(spark, sf):
     return export_format(messy(spark, sf, "messy_orders").select("id", "priority", "true_date"))
 
 
-@query("preview")
-def _(spark, sf):
-    df = messy(spark, sf, "messy_customer")
-    plan = Cleaner().fit(df)
-    return preview(plan.transform(df), plan.currency_columns)
-
-
 # --- suspicious values -------------------------------------------------------------------------
 
 def _text_freq(view: str, columns: list[str]) -> str:

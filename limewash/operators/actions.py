@@ -16,7 +16,8 @@ from limewash.operators.detectors import parse_type, type_evidence
 from limewash.operators.melting import is_numeric, is_temporal, is_text
 from limewash.operators.rows import duplicate_count
 
-LITERAL_MAP_SIZE = 200
+BROADCAST_ROWS = 50_000
+SALTS = 16
 COPIES = "copies"  # log entry counted over whole rows, not over one column
 LOG_SCHEMA = """
     step int, action string, column string, rows_removed bigint, filled_count bigint, value string,
@@ -90,6 +91,7 @@ def apply_actions(df: DataFrame, actions: Iterable[Action]) -> tuple[DataFrame,
     return out, log
 
 
+# Action kinds and error codes below are fixed values.
 def _apply_one(df: DataFrame, action: Action, column: str | None) -> tuple[DataFrame, dict | str, dict]:
     """The new table, what to count for the log, and fixed log entries."""
     if action.kind == "drop_duplicate_rows":
@@ -167,25 +169,30 @@ def automatic_rules(df: DataFrame) -> tuple[DataFrame, list[dict]]:
 def map_values(df: DataFrame, column: str, mappings: Mapping[str, Any] | DataFrame) -> DataFrame:
     """Replace whole values; a mapping to null empties the cell.
 
-    A short mapping becomes a literal; a long one, or one that is a table (value, replacement),
-    is joined, and Spark chooses how by its size.
+    A dictionary is a literal of the plan; of keys that are the same as text the last counts. A table
+    (value, replacement) may be of any length; of rows with one value the least replacement counts.
+    It is broadcast up to ``BROADCAST_ROWS`` rows; beyond that each row is joined ``SALTS`` times, so
+    that a value with a large share of the data is spread over as many tasks.
     """
     value = quoted(column)
-    if isinstance(mappings, Mapping) and len(mappings) <= LITERAL_MAP_SIZE:
+    if isinstance(mappings, Mapping):
         if not mappings:
             return df
-        pairs = [F.lit(None if x is None else str(x)).cast("string") for kv in mappings.items() for x in kv]
-        lookup = F.create_map(*pairs)
+        texts = {str(k): None if v is None else str(v) for k, v in mappings.items()}
+        lookup = F.create_map(*[F.lit(x).cast("string") for kv in texts.items() for x in kv])
         hit = F.map_contains_key(lookup, value.cast("string"))
         new = F.when(hit, F.try_element_at(lookup, value.cast("string"))).otherwise(value.cast("string"))
         return replace_column(df, column, new)
-    if isinstance(mappings, Mapping):
-        rows = [(str(k), None if v is None else str(v)) for k, v in mappings.items()]
-        mappings = df.sparkSession.createDataFrame(rows, "value string, replacement string")
-    table = mappings.select(
-        F.col("value").alias("__value"), F.col("replacement").alias("__replacement"), F.lit(True).alias("__hit")
-    )
-    joined = df.join(table, value.cast("string") == F.col("__value"), "left")
+    table = mappings.groupBy(F.col("value").cast("string").alias("__value")).agg(
+        F.min(F.col("replacement").cast("string")).alias("__replacement"), F.lit(True).alias("__hit")
+    ).where("__value IS NOT NULL")
+    on = value.cast("string") == F.col("__value")
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = df.join(F.broadcast(table), on, "left")
+    else:
+        table = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = df.withColumn("__salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+        joined = salted.join(table, on & (F.col("__salt") == F.col("__part")), "left")
     new = F.when(F.col("__hit"), F.col("__replacement")).otherwise(value.cast("string"))
     return joined.select(*[new.alias(c) if c == column else quoted(c) for c in df.columns])
 

@@ -23,10 +23,6 @@ ITEM = (
     "struct<issue_id: string, inferred_domain: string, recommended_action: string, reasoning: string, "
     "fix_params: struct<mappings: map<string,string>, target_type: string>>"
 )
-_TEXT = r'"(?:[^"\\]|\\.)*+"'
-_LEAF = rf'\{{(?:[^{{}}"]|{_TEXT})*+\}}'
-_MIDDLE = rf'\{{(?:[^{{}}"]|{_TEXT}|{_LEAF})*+\}}'
-OBJECT = rf'\{{(?:[^{{}}"]|{_TEXT}|{_MIDDLE})*+\}}'
 SAMPLES = 4
 TOP_COUNTS = 3
 
@@ -41,14 +37,13 @@ def parse_responses(responses: DataFrame, key: str = "response_id", text: str =
     start, end = F.instr(bare, "["), F.length(bare) - F.instr(F.reverse(bare), "]") + 1
     closed = (F.instr(bare, "]") > 0) & (end > start)
     body = F.when(start > 0, F.when(closed, F.substr(bare, start, end - start + 1)).otherwise(F.substr(bare, start)))
-    rows = responses.select(quoted(key).alias("response_id"), body.alias("body"))
+    rest = F.when(start > 0, F.substr(bare, start))  # a broken array may end inside an inner one
+    rows = responses.select(quoted(key).alias("response_id"), body.alias("body"), rest.alias("rest"))
     array = F.from_json("body", f"array<{ITEM}>", {"mode": "PERMISSIVE"})
     rows = rows.withColumn("items", array)
     # a broken array parses to null, or to a list whose last item was cut
     rows = rows.withColumn("sound", F.col("items").isNotNull() & F.col("body").isNotNull())
-    salvaged = F.transform(
-        F.regexp_extract_all("body", F.lit(OBJECT), F.lit(0)), lambda x: F.from_json(x, ITEM)
-    )
+    salvaged = F.transform(_objects(F.col("rest")), lambda x: F.from_json(x, ITEM))
     complete = F.filter(salvaged, lambda x: x["issue_id"].isNotNull())
     whole = F.when(F.forall("items", lambda x: x["issue_id"].isNotNull()), F.col("items"))
     items = F.when(F.col("sound"), whole).otherwise(complete)
@@ -66,6 +61,31 @@ def parse_responses(responses: DataFrame, key: str = "response_id", text: str =
     )
 
 
+def _objects(body: Column) -> Column:
+    """The complete outermost objects of a text, whatever their depth: one walk over its characters
+    that counts braces outside quoted strings."""
+    begin = F.struct(
+        F.lit(1).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("start"),
+        F.array().cast("array<struct<start:int,end:int>>").alias("found"),
+    )
+
+    def walk(s, c):
+        text = s["quoted"]
+        up, down = ~text & (c == "{"), ~text & (c == "}") & (s["depth"] > 0)
+        depth = s["depth"] + up.cast("int") - down.cast("int")
+        closed = down & (depth == 0)
+        quote = (c == '"') & ~s["escaped"] & (s["depth"] > 0)
+        return F.struct(
+            (s["at"] + 1).alias("at"), depth.alias("depth"), (text != quote).alias("quoted"),
+            (text & (c == "\\") & ~s["escaped"]).alias("escaped"),
+            F.when(up & (s["depth"] == 0), s["at"]).otherwise(s["start"]).alias("start"),
+            F.when(closed, F.concat(s["found"], F.array(F.struct(s["start"].alias("start"), s["at"].alias("end"))))).otherwise(s["found"]).alias("found"),
+        )
+
+    found = F.aggregate(F.split(body, ""), begin, walk, lambda s: s["found"])
+    return F.transform(found, lambda s: F.substring(body, s["start"], s["end"] - s["start"] + 1))
+
+
 def match_recommendations(recommendations: DataFrame, issues: DataFrame) -> DataFrame:
     """Recommendations for known issues only; for each issue the last one."""
     known = recommendations.join(issues.select(F.col("id").alias("issue_id")).distinct(), "issue_id", "left_semi")

@@ -196,8 +196,9 @@ def save_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.option("header", True).option("sep", sep).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def preview(df: DataFrame, currency: list[str] | None = None, rows: int = K.PREVIEW_ROWS) -> DataFrame:
-    """The first rows as display text: whole dollars for currency, blanks for missing values."""
+def preview(df: DataFrame, currency: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Rows as display text: whole dollars for currency, blanks for missing values. All rows, or
+    ``rows`` of them (a screen shows ``PREVIEW_ROWS``; which ones is up to Spark)."""
     shown = []
     for f in df.schema:
         c = quoted(f.name)
@@ -207,6 +208,6 @@ def preview(df: DataFrame, currency: list[str] | None = None, rows: int = K.PREV
             text = c.cast("string")
         blank = F.lower(trim(text)).isin(*K.PREVIEW_BLANKS)
         shown.append(F.when(~blank, text).otherwise("").alias(f.name))
-    return df.limit(rows).select(*shown)
+    return (df if rows is None else df.limit(rows)).select(*shown)
 
 

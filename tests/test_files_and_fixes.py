@@ -9,6 +9,8 @@ from limewash import Cleaner
 from limewash.operators import actions as A
 from limewash.operators import recommendations as R
 from limewash.plans.batch import run
+from limewash.operators import actions
+from limewash.operators.recommendations import parse_responses
 from limewash.sources.delimited import export_format, header_names, load_csv, preview, rejected_lines, save_csv, sniff_separator
 from limewash.streaming.clean_stream import clean_stream
 
@@ -212,3 +214,21 @@ def test_plan_on_a_stream(spark, frame, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert rows(spark.table("cleaned")) == [("x", 1000), ("y", 2500)]
+
+
+def test_a_repeated_key_of_a_mapping_multiplies_no_row(spark, frame, monkeypatch):
+    df = frame(v=["1", "1", "x", None])
+    table = spark.createDataFrame([("1", "b"), ("1", "a"), ("x", None), (None, "z")], "value string, replacement string")
+    want = sorted([("a",), ("a",), (None,), (None,)], key=str)
+    assert rows(actions.map_values(df, "v", table)) == want
+    monkeypatch.setattr(actions, "BROADCAST_ROWS", 0)
+    assert rows(actions.map_values(df, "v", table)) == want
+    assert rows(actions.map_values(df, "v", {1: "q", "1": "w"})) == sorted([("w",), ("w",), ("x",), (None,)], key=str)
+
+
+def test_broken_answers_of_any_depth_are_salvaged(spark):
+    deep = '{"issue_id": "deep", "fix_params": {"mappings": {"a": "}{\\"", "b": "x"}, "more": {"c": {"d": [1, {"e": {}}]}}}}'
+    text = "noise [" + deep + ', {"issue_id": "two", "reasoning": "{"}, {"issue_id": "cut", '
+    got = parse_responses(spark.createDataFrame([(1, text), (2, None), (3, "[")], "response_id int, response string")).collect()
+    assert [(r.response_id, r.issue_id) for r in got] == [(1, "deep"), (1, "two")]
+    assert got[0].fix_params.mappings["a"] == '}{"'
