@@ -236,17 +236,14 @@ def _text_freq(view: str, columns: list[str]) -> str:
         "keyed AS (SELECT *, lower(trim(regexp_replace(value, '[^A-Za-z0-9 ]', '', 'g'))) AS k FROM f) "
 
 
-def _top(where: str, k: int = 5, source: str = "f") -> str:
-    return (
-        f"SELECT \"column\", value, n FROM {source} WHERE {where} "
-        f"QUALIFY row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) <= {k}"
-    )
+def _all(where: str, source: str = "f") -> str:
+    return f"SELECT \"column\", value, n FROM {source} WHERE {where}"
 
 
 SUSPICIOUS_SQL = {
-    "mojibake": _top("regexp_matches(value, 'Ã[\\x{80}-\\x{bf}]')"),
-    "hex_byte": _top("regexp_matches(value, '[A-Za-z] ([89][0-9A-Fa-f]|[A-Fa-f][0-9]) [A-Za-z]')"),
-    "stray_digits": _top(
+    "mojibake": _all("regexp_matches(value, 'Ã[\\x{80}-\\x{bf}]')"),
+    "hex_byte": _all("regexp_matches(value, '[A-Za-z] ([89][0-9A-Fa-f]|[A-Fa-f][0-9]) [A-Za-z]')"),
+    "stray_digits": _all(
         "regexp_matches(value, '^[A-Za-z ]+[0-9]+$|^[0-9]+[A-Za-z ]+$') AND \"column\" IN "
         "(SELECT c FROM tot WHERE digits > 0 AND digits < 0.3)"
     ),
@@ -257,8 +254,8 @@ SUSPICIOUS_SQL = {
         JOIN (SELECT "column", k, sum(n) AS t FROM keyed GROUP BY 1, 2) AS l ON l."column" = s."column"
             AND length(l.k) > length(s.k) AND starts_with(l.k, s.k)
         WHERE length(s.k) BETWEEN 2 AND 3 GROUP BY 1, 2, s.t HAVING max(l.t) >= 3 * s.t)""",
-    "rare": _top(
-        "kinds <= 200 AND n <= greatest(1, floor(0.01 * total))", 10, "(SELECT * FROM f JOIN tot ON \"column\" = c)"
+    "rare": _all(
+        "kinds <= 200 AND n <= greatest(1, floor(0.01 * total))", "(SELECT * FROM f JOIN tot ON \"column\" = c)"
     ),
 }
 _SUS_VIEWS = {

@@ -158,7 +158,7 @@ def issue_values(issues: DataFrame, df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     out = spark.createDataFrame([], "column string, value string, kind string, category string")
     if text:
-        odd = suspicious_values(df, text)
+        odd = suspicious_values(df, text, short=True)
         out = out.unionByName(odd.select(
             "column", "value", F.lit("suspicious").alias("kind"), F.lit("text_quality").alias("category")
         ))

@@ -15,6 +15,7 @@ from limewash.functions import constants as K
 from limewash.operators.melting import frequencies, present_values, ranked, text_columns
 from limewash.session import materialise
 
+# The lengths of short lists, and the distinct values up to which a column has rare ones.
 SHOWN = 5
 RARE_SHOWN = 10
 RARE_KINDS = 200
@@ -75,27 +76,28 @@ def text_consistency(freq: DataFrame) -> DataFrame:
     return joined.select("column", (structured | ~varied).alias("is_consistent"))
 
 
-def _most_frequent(freq: DataFrame, k: int) -> DataFrame:
-    top = ranked(freq, k, F.desc("n"), F.asc("value"))
+def _most_frequent(freq: DataFrame, k: int | None) -> DataFrame:
+    """All rows, or the k most frequent per column."""
+    top = freq if k is None else ranked(freq, k, F.desc("n"), F.asc("value"))
     return top.select("column", "value", "n")
 
 
-def mojibake(freq: DataFrame) -> DataFrame:
-    """Double-encoded text, the five most frequent values per column."""
-    return _most_frequent(freq.where(F.col("value").rlike(K.MOJIBAKE_PATTERN)), SHOWN)
+def mojibake(freq: DataFrame, k: int | None = None) -> DataFrame:
+    """Double-encoded text."""
+    return _most_frequent(freq.where(F.col("value").rlike(K.MOJIBAKE_PATTERN)), k)
 
 
-def hex_bytes(freq: DataFrame) -> DataFrame:
-    """A leaked byte code between words, the five most frequent values per column."""
-    return _most_frequent(freq.where(F.col("value").rlike(K.HEX_BYTE_PATTERN)), SHOWN)
+def hex_bytes(freq: DataFrame, k: int | None = None) -> DataFrame:
+    """A leaked byte code between words."""
+    return _most_frequent(freq.where(F.col("value").rlike(K.HEX_BYTE_PATTERN)), k)
 
 
-def stray_digits(freq: DataFrame) -> DataFrame:
+def stray_digits(freq: DataFrame, k: int | None = None) -> DataFrame:
     """Digits at the edge of words, in columns where digits are unusual."""
     share = F.col("digit_share")
     unusual = column_totals(freq).where((share > 0) & (share < 0.3)).select("column")
     marked = freq.where(F.col("value").rlike(K.STRAY_DIGIT_PATTERN))
-    return _most_frequent(marked.join(F.broadcast(unusual), "column", "left_semi"), SHOWN)
+    return _most_frequent(marked.join(F.broadcast(unusual), "column", "left_semi"), k)
 
 
 def _bare(value: Column) -> Column:
@@ -138,15 +140,17 @@ def short_codes(freq: DataFrame) -> DataFrame:
     return keyed.join(weak, ["column", "key"]).select("column", "value", "n")
 
 
-def rare_values(freq: DataFrame) -> DataFrame:
-    """Values of at most one percent, for columns of at most 200 distinct values."""
-    totals = column_totals(freq).where(F.col("kinds") <= RARE_KINDS).select(
+def rare_values(freq: DataFrame, k: int | None = None, most_kinds: int = RARE_KINDS) -> DataFrame:
+    """Values of at most one percent, for columns of at most ``most_kinds`` distinct values."""
+    totals = column_totals(freq).where(F.col("kinds") <= most_kinds).select(
         "column", F.greatest(F.lit(1), F.floor(F.col("total") * 0.01)).alias("limit")
     )
     rare = freq.join(F.broadcast(totals), "column").where(F.col("n") <= F.col("limit"))
-    return _most_frequent(rare, RARE_SHOWN)
+    return _most_frequent(rare, k)
 
 
+#: Length of a rule's short list per column; the other rules have none.
+SHORT = {"mojibake": SHOWN, "hex_byte": SHOWN, "stray_digits": SHOWN, "rare": RARE_SHOWN}
 RULES = {
     "mojibake": mojibake,
     "hex_byte": hex_bytes,
@@ -157,8 +161,9 @@ RULES = {
 }
 
 
-def suspicious_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, n, rule): each value once, under the first rule it meets.
+def suspicious_values(df: DataFrame, columns: Sequence[str] | None = None, short: bool = False) -> DataFrame:
+    """(column, value, n, rule): each value once, under the first rule it meets; all of them, or
+    the short lists that are shown to a reader.
 
     Identifier columns are skipped. The frequencies are written once because every rule reads them.
     """
@@ -167,7 +172,8 @@ def suspicious_values(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     freq = freq.join(F.broadcast(ids), "column", "left_anti")
     found = None
     for position, (rule, find) in enumerate(RULES.items()):
-        part = find(freq).withColumns({"position": F.lit(position), "rule": F.lit(rule)})
+        found_here = find(freq, SHORT[rule]) if short and rule in SHORT else find(freq)
+        part = found_here.withColumns({"position": F.lit(position), "rule": F.lit(rule)})
         found = part if found is None else found.unionByName(part)
     return found.groupBy("column", "value").agg(
         F.max("n").alias("n"), F.min_by("rule", "position").alias("rule")
