@@ -121,14 +121,14 @@ def _(spark, sf):
     return numeric_codes(column_counts(df), infer_types(df))
 
 
-_FEW = ["qty", "qty_x2", "constant", "discount", "status", "flag"]
+_CELLS = list(DTYPES["messy_numeric"])
 _PATTERN_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", when_column, when_value, round(rate, 1) AS missing_rate_when, "
     f"round(overall, 1) AS overall_missing_pct FROM ("
     + " UNION ALL ".join(
         f"SELECT '{o}' AS when_column, {i} AS o, CAST({o} AS VARCHAR) AS when_value, "
-        f"100.0 * count_if({c} IS NULL) / count(*) AS rate FROM m WHERE {o} IS NOT NULL GROUP BY {o} HAVING count(*) >= 10"
-        for i, o in enumerate(_FEW) if o != c
+        f"100.0 * count_if({c} IS NULL) / count(*) AS rate FROM m WHERE {o} IS NOT NULL AND (SELECT count(DISTINCT {o}) FROM m) <= 80 GROUP BY {o} HAVING count(*) >= 10"
+        for i, o in enumerate(_CELLS) if o != c
     )
     + f") AS s, (SELECT 100.0 * count_if({c} IS NULL) / count(*) AS overall, count_if({c} IS NULL) AS missing FROM m) AS t "
     f"WHERE missing >= 10 AND overall >= 5 AND rate >= 20 AND rate >= 1.2 * overall AND rate - overall >= 15 "
@@ -141,7 +141,7 @@ _PATTERN_SQL = " UNION ALL ".join(
     "messy_numeric", "SELECT * FROM (" + _PATTERN_SQL.replace(" UNION ALL SELECT 'status' AS \"column\"", ") UNION ALL SELECT * FROM (SELECT 'status' AS \"column\"") + ")"
 ))
 def _(spark, sf):
-    return missingness_patterns(messy(spark, sf, "messy_numeric"), others=_FEW)
+    return missingness_patterns(messy(spark, sf, "messy_numeric"))
 
 
 _PAIRS_SQL = " UNION ALL ".join(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
@@ -45,7 +45,6 @@ class Profile:
     duplicate_rows: int
     column_profiles: DataFrame
     redundant_pairs: DataFrame
-    numbers: dict[str, Column] = field(default_factory=dict)
 
     def summary(self) -> DataFrame:
         return self.column_profiles.sparkSession.createDataFrame(
@@ -185,16 +184,17 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def missingness_patterns(
-    df: DataFrame, columns: Sequence[str] | None = None, others: Sequence[str] | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, others: Sequence[str] | None = None,
+    most_kinds: int = PATTERN_KINDS,
 ) -> DataFrame:
     """For each column with missing values, the value of another column it goes missing with.
 
-    Only columns of few distinct values are looked at, so the number of groups is bounded by
+    Only columns of at most ``most_kinds`` distinct values are looked at, so the number of groups is bounded by
     the number of columns.
     """
     targets = list(columns or df.columns)
     if others is None:
-        few = distinct_counts(df).where(F.col("distinct_values") <= PATTERN_KINDS)
+        few = distinct_counts(df).where(F.col("distinct_values") <= most_kinds)
         others = [r["column"] for r in few.select("column").collect()]
         others = [c for c in df.columns if c in set(others)]
     if not others:
