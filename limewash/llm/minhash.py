@@ -26,6 +26,8 @@ ROOM = 4096
 SPAN = 256
 #: Shingles that a block of documents holds in memory.
 BLOCK_SHINGLES = 2_000_000
+#: Documents of a cluster that one task compares with a block.
+SLICE = 512
 
 _random = np.random.default_rng(20240607)
 _XOR = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64) * U(2) + _random.integers(0, 2, HASHES, dtype=np.uint64)
@@ -285,7 +287,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
 def _across(near: DataFrame, first: DataFrame, sets: DataFrame, texts: DataFrame, cut: float, least: int) -> DataFrame:
     """Links between components. Clusters are components that ``near`` ties together. All documents
     of a cluster that have a likely partner in another component are read next to a block of those
-    outside its largest component; a block's sets hold some ``BLOCK_SHINGLES``."""
+    outside its largest component; a block's sets hold some ``BLOCK_SHINGLES``, and a large cluster
+    passes it in slices of some ``SLICE`` documents, each in a task of its own."""
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     ids = ids.join(first.withColumnRenamed("node", "m"), F.col("id") == F.col("m"), "left").select("id", F.coalesce("component", "id").alias("component"))
     ids = materialise(ids, "members")
@@ -298,9 +301,14 @@ def _across(near: DataFrame, first: DataFrame, sets: DataFrame, texts: DataFrame
     main = ids.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("cluster").alias("k")).agg(F.max_by("component", "n").alias("main"))
     outside = ids.join(main, F.col("cluster") == F.col("k")).where("component <> main")
     blocks = outside.groupBy(F.col("cluster").alias("o")).agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    slices = ids.groupBy(F.col("cluster").alias("l")).agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    cuts = blocks.join(slices, F.col("o") == F.col("l")).select("o", "blocks", "slices")
     named = ["cluster", "block", "kind", "id", "component", "codes"]
-    own = outside.join(blocks, F.col("cluster") == F.col("o")).withColumns({"block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "kind": F.lit(0)})
-    every = ids.join(blocks, F.col("cluster") == F.col("o")).withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "kind": F.lit(1)})
+    block, slice_ = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int")
+    own = outside.join(cuts, F.col("cluster") == F.col("o")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    own = own.withColumns({"block": block * F.col("slices") + F.col("at"), "kind": F.lit(0)})
+    every = ids.join(cuts, F.col("cluster") == F.col("o")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = every.withColumns({"block": F.col("at") * F.col("slices") + slice_, "kind": F.lit(1)})
     wanted = own.select(*named).unionByName(every.select(*named))
     rows = wanted.join(texts.withColumnRenamed("id", "t"), F.col("id") == F.col("t")).select(*named, "text")
     return (
