@@ -230,6 +230,7 @@ def test_near_duplicates(docs, monkeypatch):
     rows += [(500, base[3])] * 3 + [(501, rows[20][1])]
     monkeypatch.setattr(minhash, "ROOM", 16)
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(minhash, "SLICE", 7)
     out = minhash.near_duplicates(docs(rows).withColumn("component_id", F.lit("x"))).collect()
     want = brute.near_duplicates([r for r in rows if r[0] is not None])
     assert len(out) == len(rows)
