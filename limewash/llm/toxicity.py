@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +19,10 @@ PREFIXES = (3, 4, 5, 6)
 #: A chain is a sentence, or this many words of it.
 CHAIN = 64
 STEP = 1 << 19
+#: Chains that are computed side by side.
+AT_ONCE = 2048
 #: Labelled rows of either class that the model is fitted on at most, and bytes of their texts.
-SAMPLE, SAMPLE_BYTES = 1500, 20_000
+SAMPLE, SAMPLE_BYTES = 2000, 20_000
 #: Different surroundings in which a word or beginning must stand in toxic texts, and their share
 #: among all its surroundings, for it to be a toxic token.
 SURROUNDINGS, PRECISION = 12, 0.95
@@ -34,15 +37,15 @@ def features(words: Words) -> np.ndarray:
     """Hashed features of every word, one per column: the word, and its first 3 to 6 bytes (of a
     shorter word, all of it, marked)."""
     h = np.zeros(len(words.starts), U)
-    columns = [words.hashes]
+    columns = [(mix(words.hashes) >> U(64 - BITS)).astype(np.int32)]
     last = max(len(words.data) - 1, 0)
     for k in range(max(PREFIXES)):
         place = words.starts + k
         letter = np.where(place < words.ends, LOWER[words.data[np.minimum(place, last)]] if len(words.data) else 0, 256)
         h = h + _LETTER[k][letter]
         if k + 1 in PREFIXES:
-            columns.append(h.copy())
-    return np.stack([mix(c + U(i)) >> U(64 - BITS) for i, c in enumerate(columns)], axis=1).astype(np.int32)
+            columns.append((mix(h + U(k + 1)) >> U(64 - BITS)).astype(np.int32))
+    return np.stack(columns, axis=1)
 
 
 def chains(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +75,12 @@ class Model:
         """The probability of every word to be toxic; with tags also the gradient of moves and first."""
         out = np.zeros(len(chain))
         grad, grad_first = np.zeros((2, 2)), 0.0
-        emit = np.exp(np.clip(self.weights[feature].sum(axis=1), -30, 30))
+        emit = np.zeros(len(chain))
+        for k in range(feature.shape[1]):
+            emit += self.weights[feature[:, k]]
+        emit = np.exp(np.clip(emit, -30, 30))
         step = np.exp(self.moves)
-        bounds = np.searchsorted(chain, np.arange(0, (chain[-1] if len(chain) else -1) + 8193, 8192))
+        bounds = np.searchsorted(chain, np.arange(0, (chain[-1] if len(chain) else -1) + AT_ONCE + 1, AT_ONCE))
         for a, b in zip(bounds[:-1], bounds[1:]):
             if a == b:
                 continue
@@ -192,7 +198,8 @@ def train(
     sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES,
 ) -> Model:
     """Fit on at most ``sample`` labelled documents of either class, none of them held out and none
-    of more than ``sample_bytes`` bytes; so the sample that comes to the driver is bounded.
+    of more than ``sample_bytes`` bytes. So the sample is bounded, and one task does the fitting; only
+    the model comes to the driver.
 
     They are the first in the order of a hash of their ids. A document with several labels counts
     as toxic if any is; null ids and labels are left out. Without two classes there is nothing to
@@ -210,9 +217,15 @@ def train(
         return fit([], [])
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "pick__ bigint")
     rows = docs.join(F.broadcast(ids), col(key).cast("long") == F.col("pick__")).where(F.octet_length(col(text)) <= sample_bytes)
-    rows = rows.groupBy("pick__").agg(F.min(col(text)).alias("text__")).collect()
-    rows = sorted((r[0], r[1]) for r in rows)
-    return fit([r[1] for r in rows], [chosen[r[0]] for r in rows])
+    rows = rows.groupBy("pick__").agg(F.min(col(text)).alias("text__"))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampled = sorted((i, t) for batch in batches for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        model = fit([t for _, t in sampled], [chosen[i] for i, _ in sampled])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = rows.coalesce(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(bytes(found[0])) if found else fit([], [])
 
 
 def tag(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
