@@ -37,8 +37,6 @@ SPACES = re.compile(r"\s+")
 #: Labels of elements that name themselves the article, and elements that are only pieces of one.
 CONTENT = re.compile(r"^(?:article|main)\b|(?:^|[.\s_-])(?:main|article|content|post|entry|story)(?:$|[\s_-](?:main|body|content|text|article)\b)")
 PIECES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr ul ol dl table blockquote pre figure".split())
-#: A container goes on to hold the content of a page as long as one child has this share of it.
-SHARE = 0.75
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
@@ -137,38 +135,34 @@ def ratios(blocks: list[tuple[tuple[str, ...], bool, str]]) -> np.ndarray:
 def main_text(page: str) -> str:
     """The article of one page: blocks joined by one space, in page order.
 
-    Paths whose score reaches the spread of all scores hold content. The article is the outermost
-    element that names itself so and holds SHARE of the content; without one, the element where the
-    content is: from the root on, the child with SHARE of it, as long as it is not a sole paragraph
-    or heading. All blocks of the element that are not set apart belong to the article, so short
-    paragraphs and headings stay with it.
+    Blocks whose score reaches the spread of all scores hold content. The article is the outermost
+    element around all of them that names itself so; without one, the innermost element around all
+    of them that is more than a paragraph, heading or the like. All blocks of the element that are
+    not set apart belong to the article, so short paragraphs and headings stay with it.
     """
     blocks = blocks_of(page)
     if not any(not b[1] for b in blocks):
         return ""
     score = ratios(blocks)
-    chosen = np.where(score >= min(score.std(), score.max()), score, 0)
-    weight: dict[tuple[str, ...], int] = defaultdict(int)
-    for (path, _, text), s in zip(blocks, chosen):
-        if s > 0:
-            for k in range(len(path) + 1):
-                weight[path[:k]] += len(text)
-    at: tuple[str, ...] = ()
-    named = [p for p in weight if p and CONTENT.search(p[-1]) and weight[p] >= SHARE * weight[()]]
-    if named:
-        at = min(named, key=lambda p: (len(p), -weight[p], p))
-    else:
-        children = defaultdict(set)
-        for p in weight:
-            children[p[:-1]].add(p)
-        while True:
-            best = max(children[at] - {at}, key=lambda p: (weight[p], p), default=None)
-            if best is None or weight[best] < SHARE * weight[at] or best[-1].split(".")[0] in PIECES:
-                break
-            at = best
+    least = min(score.std(), score.max())
+    at: tuple[str, ...] | None = None
+    for (path, _, _), s in zip(blocks, score):
+        if s >= least and s > 0 and path != at:
+            at = path if at is None else at[: _shared(at, path)]
+    at = at or ()
+    while at and at[-1].split(".")[0] in PIECES:
+        at = at[:-1]
+    named = next((k for k, label in enumerate(at) if CONTENT.search(label)), None)
+    if named is not None:
+        at = at[: named + 1]
     return " ".join(text for path, apart, text in blocks if not apart and path[: len(at)] == at)
 
 
+def _shared(a: tuple[str, ...], b: tuple[str, ...]) -> int:
+    """How many labels two paths share from the root on."""
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``df`` with the main text of each page instead of its html.
 

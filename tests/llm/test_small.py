@@ -140,6 +140,19 @@ def test_long_and_deep_pages():
     assert extraction.main_text("<" * 2000 + "x") == "<" * 2000 + "x"
 
 
+def test_content_beside_the_largest_part_is_kept():
+    long = "A paragraph, with words enough; it goes on, and on, to its end. "
+    a, b = "".join(f"<p>{i} {long * 3}</p>" for i in range(4)), f"<p>fifth {long * 3}</p>"
+    want = " ".join([*(f"{i} {long * 3}".strip() for i in range(4)), f"fifth {long * 3}".strip()])
+    for page in (
+        f"<body><div class=a>{a}</div><div class=b>{b}</div></body>", f"<body><article>{a}</article><div class=part>{b}</div></body>",
+        f"<body><div><div class=x><div class=y>{a}</div></div><section>{b}</section></div><p>short</p></body>",
+        f"<body><nav>Menu</nav><main><div class=a>{a}</div><div class=b>{b}</div></main><footer>Foot, note.</footer></body>",
+    ):
+        assert extraction.main_text(page) == want
+    assert extraction.main_text(f"<body><div>Home</div><article>{a}<h2>End</h2><p>Yes.</p></article></body>").endswith("End Yes.")
+
+
 # url filters
 
 RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "bad.org", "/x"), url_filter.Rule("block", "evil.com", "/")]
