@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,21 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|di
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style textarea title noscript xmp iframe template".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Elements, and words of their class, id or role, that hold no article text.
+#: Elements, and words of names in class, id or role, that hold no article text.
 APART = set("head nav footer aside form script style textarea noscript template button select option iframe svg canvas dialog menu object audio video title".split())
 APART_WORD = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|overlay|sidebar|menu|nav\w*|breadcrumbs?"
-    r"|comments?|replies|respond|disqus|share|sharing|social|related|recommend\w*|widget|footer|masthead|site-?header|login|signup|subscribe"
-    r"|newsletter|pagination|pager|skip|hidden|complementary|contentinfo|search|toolbar|alert)(?:$|[-_\s])", re.I,
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|notice|popup|modal|overlay|sidebar|menu|nav\w*|breadcrumbs?"
+    r"|comments?|replies|respond|disqus|share|sharing|social|related|recommend\w*|widgets?|footer|masthead|siteheader|login|signup|subscribe"
+    r"|newsletter|pagination|pager|skip|hidden|complementary|contentinfo|search|toolbar|alert"
 )
+#: What may stand beside such a word in a name: places and kinds of boxes, not what is said of another element.
+BESIDE = re.compile(
+    r"site|page|posts?|articles?|entry|global|primary|secondary|main|top|bottom|left|right|upper|lower|inner|outer|mobile|desktop|sticky|fixed|google|header"
+    r"|box|bar|area|lists?|items?|wrap|wrapper|container|holder|section|block|slot|unit|panel|column|col|row|group|links?|buttons?|icons?|form|field|input"
+    r"|stories|content|body|title|text|media|message|policy|dialog|thread|trail|toggle|\d+"
+)
+#: Elements that no name sets apart.
+NEVER_APART = set("html body main article h1 h2 h3 h4 h5 h6".split())
 #: Elements that an opening tag of the kind ends, as far as an element of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 BLOCKY = set("address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -39,15 +49,37 @@ CONTENT = re.compile(r"^(?:article|main)\b|(?:^|[.\s_-])(?:main|article|content|
 PIECES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr ul ol dl table blockquote pre figure".split())
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
-    """(path from the root, whether it is set apart, text) of every block, in page order.
+@functools.lru_cache(1 << 14)
+def apart_by_names(labels: str) -> bool:
+    """Whether a class, id or role as a whole is made of words that hold no article text."""
+    for name in labels.split():
+        parts = [p for p in re.split("[-_]+", re.sub("site[-_]header", "siteheader", name)) if p]
+        words = [bool(APART_WORD.fullmatch(p)) for p in parts]
+        if any(words) and all(w or BESIDE.fullmatch(p) for w, p in zip(words, parts)):
+            return True
+    return False
+
+
+@dataclass
+class Named:
+    """An element that its name sets apart."""
+
+    path: tuple[str, ...]
+    outer: int  # the next such element around it, or -1
+
+
+def parsed(page: str) -> tuple[list[tuple[tuple[str, ...], bool, int, str]], list[Named]]:
+    """(path from the root, whether its tag or style sets it apart, the innermost element around it
+    that a name sets apart, text) of every block, in page order, and these elements.
 
     A block is the text between two block-level tags; inline elements do not part it and ``br`` is a
     space. Open elements that a tag implies to end (a paragraph before a block, an item before the
     next) end there, a closing tag ends everything opened since, and one that fits nothing is ignored.
     """
-    out: list[tuple[tuple[str, ...], bool, str]] = []
-    stack: list[tuple[str, str, bool]] = []  # element, its label in paths, set apart
+    out: list[tuple[tuple[str, ...], bool, int, str]] = []
+    marks: list[Named] = []
+    none = ("", "", False, -1)
+    stack: list[tuple[str, str, bool, int]] = []  # element, its label in paths, set apart, innermost mark
     pieces: list[str] = []
     at = 0
 
@@ -55,8 +87,10 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
         text = SPACES.sub(" ", entities.unescape("".join(pieces))).strip()
         pieces.clear()
         if text:
-            path = tuple(label for name, label, _ in stack if name not in INLINE)
-            out.append((path, bool(stack) and stack[-1][2], text))
+            out.append((path_now(), *(stack or [none])[-1][2:], text))
+
+    def path_now():
+        return tuple(label for name, label, _, _ in stack if name not in INLINE)
 
     def pop_to(names: set[str], wall: set[str]):
         for k in range(len(stack) - 1, -1, -1):
@@ -81,20 +115,19 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
         elif name in VOID and name != "hr":
             continue
         elif m[1]:
-            if any(s[0] == name for s in stack):
-                apart = stack[-1][2]
-                if name not in INLINE:
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if k is not None:
+                if name not in INLINE or stack[-1][2:] != (stack[k - 1] if k else none)[2:]:
                     close_block()
-                pop_to({name}, set())
-                if name in INLINE and apart != (bool(stack) and stack[-1][2]):
-                    pieces.clear()
+                del stack[k:]
         else:
             labels = " ".join(x for g in NAMES.findall(m[3]) for x in g if x).lower()
-            apart = bool(stack) and stack[-1][2] or name in APART or bool(APART_WORD.search(labels)) or bool(m[3] and HIDDEN.search(m[3]))
+            apart = name in APART or bool(m[3] and HIDDEN.search(m[3]))
             if name == "header" and not any(s[0] in ("article", "main") for s in stack):
                 apart = True
+            marked = name not in NEVER_APART and apart_by_names(labels)
             if name in INLINE:
-                if apart and not (stack and stack[-1][2]):
+                if apart and not (stack and stack[-1][2]) or marked:
                     close_block()
             else:
                 close_block()
@@ -108,9 +141,45 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
                 end = re.compile(f"</{name}\\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
                 continue
-            stack.append((name, f"{name}.{labels}" if labels else name, apart))
+            _, _, around, mark = (stack or [none])[-1]
+            if marked:
+                marks.append(Named((), mark))
+                mark = len(marks) - 1
+            stack.append((name, f"{name}.{labels}" if labels else name, around or apart, mark))
+            if marked:
+                marks[mark].path = path_now()
     close_block()
-    return out
+    return out, marks
+
+
+def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
+    """(path from the root, whether it is set apart, text) of every block, in page order.
+
+    A name does not set an element apart that holds more than half of the score of all blocks,
+    unless an article or main element elsewhere holds text that nothing sets apart.
+    """
+    found, marks = parsed(page)
+    apart_by_name = [True] * len(marks)
+    if marks:
+        score = ratios([(path, hard, text) for path, hard, _, text in found])
+        held = [0.0] * len(marks)
+        for (_, _, mark, _), s in zip(found, score):
+            if mark >= 0:
+                held[mark] += float(s)
+        for k in range(len(marks) - 1, -1, -1):
+            if marks[k].outer >= 0:
+                held[marks[k].outer] += held[k]
+        large = [k for k in range(len(marks)) if held[k] > score.sum() / 2]
+        if large:
+            articles = {
+                path[: k + 1] for path, hard, mark, _ in found if not hard and mark < 0
+                for k, label in enumerate(path) if label.split(".")[0] in ("article", "main")
+            }
+            for k in large:
+                apart_by_name[k] = any(marks[k].path[: len(a)] != a for a in articles)
+        for k, mark in enumerate(marks):
+            apart_by_name[k] |= mark.outer >= 0 and apart_by_name[mark.outer]
+    return [(path, hard or mark >= 0 and apart_by_name[mark], text) for path, hard, mark, text in found]
 
 
 def ratios(blocks: list[tuple[tuple[str, ...], bool, str]]) -> np.ndarray:

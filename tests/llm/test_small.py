@@ -153,6 +153,22 @@ def test_content_beside_the_largest_part_is_kept():
     assert extraction.main_text(f"<body><div>Home</div><article>{a}<h2>End</h2><p>Yes.</p></article></body>").endswith("End Yes.")
 
 
+@pytest.mark.parametrize("opened", [
+    '<body class="no-sidebar"><article>', '<body class="single has-sidebar"><div>', '<body><div class="post-content with-sidebar">', '<body><article class="has-comments post">',
+    '<body class="search"><main id="search">', '<body><div class="widget">', '<body><main><h1>Site</h1><div class="widget"><div class="alert">',
+])
+def test_names_do_not_set_an_article_apart(opened):
+    text = "A paragraph, with words enough; it goes on, and on, to its end."
+    body = f'<h2 id="related-work">Related work</h2><p>{text}</p><p>{text}</p><div class="ad">Buy, now.</div><span class="share-buttons">Share</span><p>{text}</p>'
+    assert extraction.main_text(opened + body).endswith(" ".join(["Related work", *[text] * 3]))
+
+
+def test_names_set_apart_what_is_no_article():
+    page = '<body><div class="ad">An advertisement that is longer, much longer, than the article.</div><article><h1>Hm</h1><p>Hm.</article>'
+    page += "".join(f'<div class="{c}">Not this, please.</div>' for c in ("site-footer", "main-nav", "cookie-notice", "x comments-area", "sidebar_left", "ad-slot-2"))
+    assert extraction.main_text(page) == "Hm Hm."
+
+
 # url filters
 
 RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "bad.org", "/x"), url_filter.Rule("block", "evil.com", "/")]
