@@ -12,6 +12,10 @@ from limewash.llm.common import col, fresh
 from limewash.session import materialise, release
 
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Ranks are settled once a round changes them by no more than this in all, and each by no more than
+#: this share of itself; ranks under LEAST, at the end of doubles, may change.
+TOLERANCE, RELATIVE, LEAST = 1e-9, 1e-6, 1e-300
+LOOK = 4
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^\s"'>]+)"""
 
 
@@ -49,37 +53,52 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
-def spread(edges: DataFrame, hosts: DataFrame, seed: str, damping: float, rounds: int) -> DataFrame:
+def spread(edges: DataFrame, hosts: DataFrame, seed: str, damping: float, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank: (host, rank), from ``hosts`` (host, ``seed``: weights that sum to 1 or
-    are all 0) over ``edges`` (src, dst, w). What reaches a host without links goes back to the seeds."""
+    are all 0) over ``edges`` (src, dst, w). What reaches a host without links goes back to the seeds.
+
+    Rounds go on until one changes the ranks by TOLERANCE in all at most, and each by RELATIVE of
+    itself at most, so that it reaches no new host either; or for exactly ``rounds``. The total change
+    shrinks by ``damping`` each round at least. Every LOOK rounds this is looked at.
+    """
     total = edges.groupBy("src").agg(F.sum("w").alias("all_w")).withColumnRenamed("src", "from_")
     share = materialise(
         edges.join(total, F.col("src") == F.col("from_")).select("src", "dst", (F.col("w") / F.col("all_w")).alias("share")), "shares"
     )
     rank = hosts.select("host", F.col(seed).alias("seed"), F.col(seed).alias("rank"))
-    last = None
-    for _ in range(rounds):
+    last, done = None, 0
+    while rounds is None or done < rounds:
         sent = (
             share.join(rank.select(F.col("host").alias("at"), "rank"), F.col("src") == F.col("at"))
             .groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         )
         rank = materialise(  # cuts the lineage
             rank.join(sent, F.col("host") == F.col("to"), "left").select(
-                "host", "seed", (F.lit(1 - damping) * F.col("seed") + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank")
+                "host", "seed", F.col("rank").alias("before"),
+                (F.lit(1 - damping) * F.col("seed") + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"),
             ),
             "rank",
         )
         seeds, kept = rank.agg(F.sum("seed"), F.sum("rank")).first()
+        whole = F.col("rank") + F.lit((seeds or 0.0) - (kept or 0.0)) * F.col("seed")
         if last is not None:
             release(last)
-        last = rank
-        rank = rank.withColumn("rank", F.col("rank") + F.lit((seeds or 0.0) - (kept or 0.0)) * F.col("seed"))
+        last, done = rank, done + 1
+        if rounds is None and done % LOOK == 0:
+            change = F.abs(whole - F.col("before"))
+            total, open_ = rank.agg(F.sum(change), F.count_if((change > RELATIVE * whole) & (whole > LEAST))).first()
+            settled = (total or 0.0) <= TOLERANCE and not open_
+        else:
+            settled = False
+        rank = rank.select("host", "seed", whole.alias("rank"))
+        if settled:
+            break
     release(share)
     return rank.select("host", "rank")
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str | None = "html", damping: float = 0.85, rounds: int = 8, bias: float = 1.0
+    pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str | None = "html", damping: float = 0.85, rounds: int | None = None, bias: float = 1.0
 ) -> DataFrame:
     """``pages`` without ``html``, with host, path, rule (null if none fits), verdict, trust and
     distrust of its host.
@@ -88,7 +107,7 @@ def judge_urls(
     they block the blocked seeds. Trust spreads along the absolute links between hosts, distrust
     against them (a host that links to bad ones is suspect). A page without a rule is blocked if its
     host's distrust is more than ``bias`` times its trust; so a host that nothing is known about is
-    allowed.
+    allowed. Ranks are settled ones unless ``rounds`` says how many rounds to spread.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Null
     html has no links. Repeated rows are judged alike, and each counts as a page. Columns with names

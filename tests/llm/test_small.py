@@ -213,6 +213,25 @@ def test_trust_and_distrust_spread(docs):
         assert all(abs(mine[h] - rank[at[h]]) < 1e-9 for h in hosts)
 
 
+def test_ranks_settle_over_long_chains(docs):
+    n = 14
+    links = {(f"h{i}.net", f"h{i + 1}.net"): 1 for i in range(n - 1)} | {(f"h{n - 1}.net", "evil.com"): 1, ("good.org", "far.net"): 1, ("far.net", "h9.net"): 1, ("h5.net", "h2.net"): 1}
+    rows = [(i, f"http://{a}/", f'<a href="http://{b}/">x</a>') for i, (a, b) in enumerate(links)] + [(100, "http://evil.com/", None)]
+    got = {r.host: r for r in url_filter.judge_urls(docs(rows, "page_id long, url string, html string"), RULES, damping=0.5).collect()}
+    hosts = sorted({h for e in links for h in e})
+    at = {h: i for i, h in enumerate(hosts)}
+    for name, seed, turn in (("trust", "good.org", False), ("distrust", "evil.com", True)):
+        move, start = np.zeros((len(hosts), len(hosts))), np.zeros(len(hosts))
+        for a, b in links:
+            move[(at[a], at[b]) if turn else (at[b], at[a])] = 1.0
+        start[at[seed]] = 1.0
+        move[:, move.sum(axis=0) == 0] = start[:, None]  # dead ends go back to the seed
+        move /= move.sum(axis=0)
+        rank = np.linalg.solve(np.eye(len(hosts)) - 0.5 * move, 0.5 * start)
+        assert all(abs(got[h][name] - rank[at[h]]) < 1e-8 for h in hosts)
+    assert got["h0.net"].distrust > 0 and got["h0.net"].verdict == got["h1.net"].verdict == "block"
+
+
 # top-k
 
 
