@@ -23,9 +23,9 @@ STEP = 1 << 19
 AT_ONCE = 2048
 #: Labelled rows of either class that the model is fitted on at most, and bytes of their texts.
 SAMPLE, SAMPLE_BYTES = 2000, 20_000
-#: Different surroundings in which a word or beginning must stand in toxic texts, and their share
-#: among all its surroundings, for it to be a toxic token.
-SURROUNDINGS, PRECISION = 12, 0.95
+#: Share of the words and beginnings taken for toxic tokens that may be so by chance, and the share of
+#: toxic surroundings among all surroundings of one.
+CHANCE, PRECISION = 0.2, 0.95
 
 _END = np.zeros(256, np.int32)
 _END[[10, 33, 46, 63]] = 1
@@ -131,26 +131,49 @@ def summaries(prob: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.log(top / (1 - top)), np.log1p(total)], axis=1)
 
 
+def unlikely(bad: np.ndarray, clean: np.ndarray, base: float) -> np.ndarray:
+    """Which features stand in more toxic texts than chance gives, a share of CHANCE of them wrongly.
+
+    The likelihood-ratio bound on a tail of the binomial law of ``base`` weighs ``bad`` against
+    ``clean`` at any size. What chance finds at a bound counts only the features that stand in
+    enough texts to reach it.
+    """
+    n = bad + clean
+    share = bad / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(bad > 0, bad * np.log(share / base), 0) + np.where(clean > 0, clean * np.log((1 - share) / (1 - base)), 0)
+    tail = np.where((share > base) & (n > 0), np.exp(-gain), 1.0)
+    level = np.sort(tail[n > 0])
+    if not len(level):
+        return np.zeros(len(n), bool)
+    able = np.searchsorted(np.sort(base ** n[n > 0]), level * (1 + 1e-9), "right")
+    fits = level[level * able <= CHANCE * np.searchsorted(level, level, "right")]
+    return (n > 0) & (tail <= (fits[-1] if len(fits) else -1.0))
+
+
 def token_tags(feature: np.ndarray, words: Words, toxic: np.ndarray) -> np.ndarray:
     """Tags of words, learnt from labels of documents.
 
-    A feature is toxic if it stands in many different surroundings (the words before and after) of
-    toxic documents and hardly in clean ones; surroundings are counted, not occurrences, so what a
-    few much copied documents share does not count. A word of a toxic document with such a feature
-    is tagged.
+    A feature is toxic if it stands in more toxic documents than chance gives (``unlikely``) and
+    hardly in surroundings (the words before and after) of clean ones. A feature of toxic documents
+    counts once per document and once per surroundings, whichever are fewer, so what a few much
+    copied documents share does not count. A word of a toxic document with such a feature is tagged.
     """
     owner = owners(words.first)
     h = words.hashes
     around = mix(np.append(U(0), h[:-1]) * U(3) + np.append(h[1:], U(0)))
-    counts = np.zeros((2, 1 << BITS))
+    counts, texts = np.zeros((2, 1 << BITS)), np.zeros((2, 1 << BITS))
     for k in range(feature.shape[1]):
         for y in (0, 1):
             own = toxic[owner] == y
             pair = np.unique(mix(around[own] ^ mix(feature[own, k].astype(U))) & ~U((1 << BITS) - 1) | feature[own, k].astype(U))
             counts[y] += np.bincount((pair & U((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
+            pair = np.unique(owner[own].astype(np.int64) << BITS | feature[own, k])
+            texts[y] += np.bincount(pair & ((1 << BITS) - 1), minlength=1 << BITS)
     size = [max(1.0, float((toxic[owner] == y).sum())) for y in (0, 1)]
+    base = min(max(float(texts[1].sum() / max(texts.sum(), 1)), 1e-9), 1 - 1e-9)  # of one text and feature
     clean, bad = counts[0] * size[1] / size[0], counts[1]
-    chosen = (bad >= SURROUNDINGS) & (bad >= PRECISION * (bad + clean))
+    chosen = unlikely(np.minimum(texts[1], bad), texts[0], base) & (bad >= PRECISION * (bad + clean))
     return (chosen[feature].any(axis=1) & (toxic[owner] == 1)).astype(int)
 
 
@@ -165,6 +188,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30, rate: float = 0.5
     label = np.asarray(labels)
     feature, (chain, place) = features(words), chains(words)
     tags = token_tags(feature, words, label)
+    if not tags.any():  # no word tells the classes apart
+        none.base = float(label.mean())
+        return none
     model = Model(np.zeros(1 << BITS), np.array([[0.0, -3.0], [-1.0, 0.0]]), -3.0, np.zeros(3))
     seen, seen_moves, seen_first = np.full(1 << BITS, 1e-2), np.full((2, 2), 1.0), 1.0
     for _ in range(rounds):
@@ -201,27 +227,29 @@ def train(
     of more than ``sample_bytes`` bytes. So the sample is bounded, and one task does the fitting; only
     the model comes to the driver.
 
-    They are the first in the order of a hash of their ids. A document with several labels counts
-    as toxic if any is; null ids and labels are left out. Without two classes there is nothing to
+    Documents of one text (by a 64-bit hash) count once. They are the first in the order of a hash of
+    their ids. A document or text with several labels counts as toxic if any is; null ids and labels
+    are left out. Without two classes there is nothing to
     learn, and every score is the one label, or a half.
     """
     usable = labels.where(col(key).isNotNull() & col(label).isNotNull() & ~held_out(col(key)))
     one = usable.groupBy(col(key).cast("long").alias("id__")).agg(F.max(col(label).cast("int")).alias("label__"))
-    short = docs.where(F.octet_length(col(text)) <= sample_bytes).select(col(key).cast("long").alias("doc__")).distinct()
-    one = one.join(short, F.col("id__") == F.col("doc__"), "left_semi")
-    picked = one.where("label__ = 1").orderBy(F.xxhash64("id__"), "id__").limit(sample).unionByName(
-        one.where("label__ = 0").orderBy(F.xxhash64("id__"), "id__").limit(sample)
-    ).collect()
-    chosen = {r[0]: r[1] for r in picked}
+    short = docs.where(F.octet_length(col(text)) <= sample_bytes).select(col(key).cast("long").alias("doc__"), F.xxhash64(col(text)).alias("hash__"))
+    one = one.join(short, F.col("id__") == F.col("doc__")).groupBy("hash__").agg(F.min("id__").alias("id__"), F.max("label__").alias("label__"))
+    picked = one.where("label__ = 1").orderBy(F.xxhash64("id__"), "id__", "hash__").limit(sample).unionByName(
+        one.where("label__ = 0").orderBy(F.xxhash64("id__"), "id__", "hash__").limit(sample)
+    ).select("hash__", "id__", "label__").collect()
+    chosen = {r[0]: r[2] for r in picked}
     if not chosen:
         return fit([], [])
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "pick__ bigint")
-    rows = docs.join(F.broadcast(ids), col(key).cast("long") == F.col("pick__")).where(F.octet_length(col(text)) <= sample_bytes)
-    rows = rows.groupBy("pick__").agg(F.min(col(text)).alias("text__"))
+    ids = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in picked], "pick__ bigint, of__ bigint")
+    fits = (col(key).cast("long") == F.col("of__")) & (F.xxhash64(col(text)) == F.col("pick__"))
+    rows = docs.join(F.broadcast(ids), fits).where(F.octet_length(col(text)) <= sample_bytes)
+    rows = rows.groupBy("of__", "pick__").agg(F.min(col(text)).alias("text__"))
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampled = sorted((i, t) for batch in batches for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        model = fit([t for _, t in sampled], [chosen[i] for i, _ in sampled])
+        sampled = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        model = fit([t for _, _, t in sampled], [chosen[h] for _, h, _ in sampled])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     found = rows.coalesce(1).mapInArrow(fitted, "model binary").first()

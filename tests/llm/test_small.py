@@ -417,6 +417,32 @@ def test_marginals_are_those_of_all_tag_sequences():
     assert np.allclose(model.marginals(feature, chain, place), want)
 
 
+@pytest.mark.parametrize("n", [60, 240, 2000])
+def test_toxic_words_are_learnt_at_any_size(n):
+    rng = random.Random(n)
+    rows = []
+    for i in range(n):
+        words = prose(rng, rng.randrange(20, 60)).split()
+        if i % 8 == 0:
+            for word in BAD:
+                words.insert(rng.randrange(len(words)), word)
+        rows.append((" ".join(words), int(i % 8 == 0)))
+    texts, labels = zip(*rows)
+    words = toxicity.words_of(pa.array(texts, pa.large_string()), toxicity.ALNUM)
+    tags = toxicity.token_tags(toxicity.features(words), words, np.array(labels))
+    tagged = [words.text(k, k + 1).decode() for k in np.flatnonzero(tags)]
+    assert set(BAD) <= set(tagged) and sum(w not in BAD for w in tagged) <= 0.1 * len(tagged)
+
+
+def test_copied_texts_are_sampled_once(docs):
+    rows = [(i, t, y) for i, t, y in toxic_table(random.Random(7), 150)]
+    copies = [(1000 + i, "same bad text, copied", 1) for i in range(900)]
+    table = docs([(i, t) for i, t, _ in rows + copies])
+    model = toxicity.train(table, docs([(i, y) for i, _, y in rows + copies], "doc_id long, toxic int"), sample=80)
+    got = {r.doc_id: r.score for r in toxicity.tag(table.where("doc_id < 1000"), model).collect()}
+    assert sum((got[i] >= 0.3) == y for i, _, y in rows) >= 0.95 * len(rows)
+
+
 # suffixes
 
 
