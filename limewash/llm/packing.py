@@ -52,7 +52,7 @@ def best_boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int)
 
 
 def pack(
-    df: DataFrame, key: str, tokens: Column, budget: int = 4096, buckets: int = 12, step: int = 4
+    df: DataFrame, key: str, tokens: Column, budget: int = 4096, buckets: int = 12, step: int = 1
 ) -> DataFrame:
     """Sequences of all rows of ``df``, bucketed by length and dealt into batches.
 

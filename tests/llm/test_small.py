@@ -358,6 +358,11 @@ def test_packing(docs):
     assert packing.pack(docs([]), "doc_id", F.lit(1)).count() == 0
 
 
+def test_packing_pads_no_more_than_it_must(docs):
+    out = packing.pack(docs([(i, "x " * (5 if i % 2 else 9)) for i in range(6)]), "doc_id", packing.word_count(F.col("text")), buckets=2)
+    assert all(r.padded == r.n_tokens for r in out.collect())
+
+
 # toxicity
 
 BAD = ["grobian", "lumpazi", "schuftig"]
