@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limewash.catalog.registry import query
-from limewash.llm import chat, decontamination, extraction, minhash, packing, sharding, suffixes, topk, toxicity, url_filter
+from limewash.llm import automata, chat, decontamination, extraction, minhash, negatives, packing, periods, sharding, suffixes, topk, toxicity, url_filter
 from limewash.llm.common import documents
 
 SHARDS = 40
@@ -154,3 +154,49 @@ def op10_suffix_dedup(spark, sf):
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("left", "whole").alias("kept_sha256"),
     )
+
+
+_VECTORS = """SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+@query("op12_hard_negatives", f"""
+    WITH v AS ({_VECTORS}),
+    s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+        FROM v a JOIN v c ON a.vec_id % 100 = 0 AND (c.vec_id <> a.vec_id OR c.label <> a.label)),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+""")
+def op12_hard_negatives(spark, sf):
+    rows = documents(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf):
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = documents(spark, sf).select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("p")).otherwise(i))
+    docs = docs.withColumn("place", F.when(F.col("n") > 0, place))
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.transform("place", lambda i: F.get("words", i.cast("int"))), " ")).otherwise(F.col("text")).alias("text"))
+    found = periods.find_runs(docs).withColumn("best", periods.densest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_substring_dedup")
+def op13_substring_dedup(spark, sf):
+    found = automata.repeated_windows(documents(spark, sf).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", automata.n_removed(F.col("removed")).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
 #: Bytes of words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing: digits, letters, all beyond ASCII.
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
@@ -64,7 +65,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
     out = np.empty(len(starts), U)
     a = 0
     while a < len(starts):  # some words at a time, since each byte takes some 30 bytes here
@@ -72,14 +73,15 @@ def _hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.n
         lo, hi = starts[a], ends[b - 1]
         begin = starts[a:b] - lo
         off = np.arange(hi - lo) - np.repeat(begin, np.diff(np.append(begin, hi - lo)))
-        value = (LOWER[data[lo:hi]].astype(U) + U(1)) * powers(int(off.max()) + 1)[off]
+        value = (fold[data[lo:hi]].astype(U) + U(1)) * powers(int(off.max()) + 1)[off]
         value[~inside[lo:hi]] = 0
         out[a:b] = np.add.reduceat(value, begin)
         a = b
     return mix(out)
 
 
-def words_of(texts: pa.Array, kind: np.ndarray) -> Words:
+def words_of(texts: pa.Array, kind: np.ndarray, fold: np.ndarray = LOWER) -> Words:
+    """Words of bytes of a kind; ``fold`` says which bytes count as equal."""
     data, offsets = text_bytes(texts)
     if not len(data):
         none = np.zeros(0, np.int64)
@@ -92,7 +94,7 @@ def words_of(texts: pa.Array, kind: np.ndarray) -> Words:
     begin[cuts] = inside[cuts]
     end[cuts - 1] = inside[cuts - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), _hashes(data, inside, starts, ends))
+    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), _hashes(data, inside, starts, ends, fold))
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -112,6 +114,20 @@ def owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
+def kept_words(words: Words, kept: np.ndarray) -> list[bytes]:
+    """Of every text the words that are kept, with one space between."""
+    at = np.flatnonzero(kept)
+    size = words.ends[at] - words.starts[at] + 1
+    end = np.cumsum(size)
+    from_ = np.repeat(words.starts[at] - (end - size), size) + np.arange(int(size.sum()))
+    from_[end - 1] = 0  # the space behind each word
+    out = words.data[from_] if len(from_) else np.zeros(0, np.uint8)
+    out[end - 1] = 32
+    body = out.tobytes()
+    bounds = np.append(0, end)[np.searchsorted(at, words.first)]
+    return [body[a : max(a, b - 1)] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 def small_batches(batches, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes of text, one row at least."""
     for batch in batches:
