@@ -413,6 +413,33 @@ def _(spark, sf):
     return load_csv(spark, path, ",")[0]
 
 
+def note_lines(spark, sf) -> DataFrame:
+    """Records of customers with inch marks, doubled quotes, line breaks and fields too many, of which some are empty."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    note = F.when(k % 7 == 0, F.concat(F.lit('"'), name, F.lit(';\n""'), k.cast("string"), F.lit('""\n"')))
+    note = note.when(k % 5 == 0, F.concat(k.cast("string"), F.lit('" pipe'))).otherwise(name)
+    more = F.when(k % 9 == 0, ';;"more;\n"').when(k % 4 == 0, ";").otherwise("")
+    return spread(table(spark, sf, "customer")).select(F.concat(k.cast("string"), F.lit(";"), note, more).alias("value"))
+
+
+@query("csv_records", """
+    WITH r AS (
+        SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN c_name || ';' || chr(10) || '"' || c_custkey || '"' || chr(10)
+                WHEN c_custkey % 5 = 0 THEN c_custkey || '" pipe' ELSE c_name END AS note,
+            CASE WHEN c_custkey % 7 = 0 THEN '"' || c_name || ';' || chr(10) || '""' || c_custkey || '""' || chr(10) || '"'
+                WHEN c_custkey % 5 = 0 THEN c_custkey || '" pipe' ELSE c_name END AS raw,
+            CASE WHEN c_custkey % 9 = 0 THEN ';;"more;' || chr(10) || '"' WHEN c_custkey % 4 = 0 THEN ';' ELSE '' END AS more
+        FROM customer)
+    SELECT CAST(k AS VARCHAR) AS id, note, NULL AS line, NULL AS fields FROM r WHERE more = ''
+    UNION ALL SELECT NULL, NULL, k || ';' || raw || more, CASE WHEN k % 9 = 0 THEN 4 ELSE 3 END FROM r WHERE more <> ''
+""")
+def _(spark, sf):
+    path = scratch_path(spark, "notes")
+    with_header(note_lines(spark, sf), "id;note").write.partitionBy("part").text(path)
+    loaded = load_csv(spark, path + "/*", ";")[0]
+    return loaded.unionByName(rejected_lines(spark, path + "/*", ";").select("line", "fields"), allowMissingColumns=True)
+
+
 _NAME_SQL = """CASE WHEN c_custkey % 11 = 0 THEN c_name || ' x' WHEN c_custkey % 13 = 0 THEN 'N/A'
     WHEN c_custkey % 17 = 0 THEN NULL ELSE c_name END"""
 

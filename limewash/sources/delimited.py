@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import csv
-from dataclasses import dataclass
-from functools import reduce
+import io
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from limewash.functions import constants as K
 from limewash.functions.text import quoted, trim
 from limewash.operators.melting import is_numeric, is_temporal
-
-OVERFLOW = "_overflow"
+from limewash.sources.records import Batch, cell, records, together, widest
 
 
 def sniff_separator(first_line: str) -> str:
@@ -23,59 +21,27 @@ def sniff_separator(first_line: str) -> str:
     return "," if commas and (not semicolons or commas > semicolons) else ";"
 
 
-def detect_separator(spark: SparkSession, path: str) -> str:
-    first = spark.read.text(path).first()
-    return sniff_separator(first["value"] if first else "")
-
-
-#: A quoted stretch; a doubled quote inside only parts it in two.
-QUOTED = '"[^"]*"'
-
-
-def fields_of(line: Column, sep: str) -> Column:
-    """The number of fields of a line; separators inside quotes do not count."""
-    return F.length(F.regexp_replace(F.regexp_replace(line, QUOTED, ""), "[^" + sep + "]", "")) + 1
+#: Lines among which a header with line breaks ends.
+HEADER_LINES = 100
 
 
-@dataclass
-class Batch:
-    """Files of one header and one encoding."""
-
-    header: str
-    utf8: bool
-    files: list[str]
-    widths: dict[str, int]
-    broken: bool  # some line ends inside quotes
-
-
-def survey(spark: SparkSession, path: str) -> list[Batch]:
-    """What the files under a path look like, in one pass over their raw lines.
-
-    Files are told apart by header and by whether all their bytes are UTF-8. Only one row per kind of
-    file comes to the driver, with the names of its files.
-    """
-    line, meta = F.col("value"), "_metadata.file_path"
-    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"')))
-    lines = spark.read.text(path).select(
-        F.col(meta).alias("file"), line, at.alias("at"), F.is_valid_utf8(line).alias("valid"),
-        *[fields_of(line, sep).alias(f"w{i}") for i, sep in enumerate(";,")], (quotes % 2 == 1).alias("odd"),
-    )
-    files = lines.groupBy("file").agg(
-        F.min_by("value", "at").alias("header"), F.bool_and("valid").alias("utf8"), F.max("w0").alias("w0"), F.max("w1").alias("w1"), F.bool_or("odd").alias("odd")
-    )
-    decoded = F.when(F.col("utf8"), F.col("header")).otherwise(F.decode(F.col("header").cast("binary"), "ISO-8859-1"))
-    kinds = files.withColumn("header", F.regexp_replace(decoded, "^\\uFEFF|\\r$", "")).groupBy("header", "utf8").agg(
-        F.sort_array(F.collect_list("file")).alias("files"), F.max("w0").alias("w0"), F.max("w1").alias("w1"), F.bool_or("odd").alias("odd")
-    )
-    found = [Batch(r.header, r.utf8, list(r.files), {";": r.w0, ",": r.w1}, r.odd) for r in kinds.collect()]
-    return sorted(found, key=lambda batch: batch.files[0])
+def detect_separator(spark: SparkSession, path: str) -> str:
+    """The separator of the header; what stands in quotes, over several lines as well, does not count."""
+    lines = [r["value"] for r in spark.read.text(path).head(1)]
+    if lines and lines[0].count('"') % 2:
+        lines = [r["value"] for r in spark.read.text(path).head(HEADER_LINES)]
+    header = ""
+    for line in lines:
+        header += line + "\n"
+        if header.count('"') % 2 == 0:
+            break
+    return sniff_separator(re.sub('"[^"]*"', "", header))
 
 
 def header_names(line: str, sep: str) -> list[str]:
-    """Names of the header line: unnamed fields numbered, repeated names suffixed."""
+    """Names of the header record: unnamed fields numbered, repeated names suffixed."""
     names: list[str] = []
-    for i, raw in enumerate(next(csv.reader([line.rstrip("\r\n")], delimiter=sep), [])):
+    for i, raw in enumerate(next(csv.reader(io.StringIO(line.rstrip("\r\n"), newline=""), delimiter=sep), [])):
         name = raw.strip() or f"Unnamed: {i}"
         base, n = name, 0
         while name in names:
@@ -85,58 +51,54 @@ def header_names(line: str, sep: str) -> list[str]:
     return names
 
 
+def read_records(spark: SparkSession, path: str, sep: str | None = None, latin1: bool = True) -> DataFrame:
+    """(file, fields, line, cells, rejected): every record of all files, as one parse sees it.
+
+    ``line`` is the record as it stands in the file, ``fields`` the number of its fields and ``cells``
+    their values. ``rejected`` says that it has more fields than the header in a file that is not
+    parted by commas. What ``load_csv`` returns and the rejected records add up to this table.
+    """
+    sep = sep or detect_separator(spark, path)
+    parts = []
+    for batch, df in records(spark, path, sep, latin1):
+        width = len(header_names(batch.header, sep))
+        parts.append(df.select(
+            "file", F.size("fields").alias("fields"), F.col("record").alias("line"), F.transform("fields", cell).alias("cells"),
+            (F.lit(sep != ",") & (F.size("fields") > width)).alias("rejected"),
+        ))
+    return together(parts) if parts else spark.createDataFrame([], "file string, fields int, line string, cells array<string>, rejected boolean")
+
+
 def load_csv(spark: SparkSession, path: str, sep: str | None = None, latin1: bool = True) -> tuple[DataFrame, str]:
     """All columns as text; null-like words are kept, blank cells are null.
 
-    Lines that are too short are padded. Lines that are too long widen a comma file, where a
+    Records that are too short are padded. Records that are too long widen a comma file, where a
     thousands comma is then repaired; in any other file they are left out, and ``rejected_lines``
     returns them. A file that is not UTF-8 is read as Latin-1, or with ``latin1=False`` as UTF-8 with
     replacement characters; other files of the folder are not affected. Files may order their columns
-    differently or lack some. Where a record goes on behind a line break inside quotes, the files
-    are read whole, one task each. The number of jobs does not depend on the width.
+    differently or lack some. The number of jobs does not depend on the width; see ``records`` for
+    quotes and for records of several lines.
     """
-    batches = survey(spark, path)
-    sep = sep or sniff_separator(batches[0].header if batches else "")
-    if not batches:
-        return spark.createDataFrame([], "`Unnamed: 0` string"), sep
-    parts = [_read(spark, batch, path if len(batches) == 1 else batch.files, sep, latin1) for batch in batches]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), sep
-
-
-def _reader(spark: SparkSession, batch: Batch, schema: StructType, sep: str, latin1: bool):
-    return (
-        spark.read.schema(schema)
-        .option("header", True).option("enforceSchema", True).option("sep", sep)
-        .option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", batch.broken)
-        .option("encoding", "UTF-8" if batch.utf8 or not latin1 else "ISO-8859-1")
-    )
+    sep = sep or detect_separator(spark, path)
+    parts = [_table(batch, df, sep) for batch, df in records(spark, path, sep, latin1)]
+    return together(parts) if parts else spark.createDataFrame([], "`Unnamed: 0` string"), sep
 
 
-def _read(spark: SparkSession, batch: Batch, paths: str | list[str], sep: str, latin1: bool) -> DataFrame:
+def _table(batch: Batch, df: DataFrame, sep: str) -> DataFrame:
     names = header_names(batch.header, sep)
-    width = batch.widths[sep] if sep in batch.widths else len(names)
-    extra = [f"Unnamed_{i}" for i in range(max(0, width - len(names)))] if sep == "," else [OVERFLOW]
-    schema = StructType([StructField(n, StringType()) for n in names + extra])
-    df = _reader(spark, batch, schema, sep, latin1).csv(paths)
     if sep != ",":
-        return df.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
-    return repair_thousands(df, len(names))
+        return df.where(F.size("fields") <= len(names)).select(_cells(names))
+    extra = [f"Unnamed_{i}" for i in range(widest(batch, df) - len(names))]
+    return repair_thousands(df.select(_cells(names + extra)), len(names))
+
+
+def _cells(names: list[str]) -> list[Column]:
+    return [cell(F.get("fields", F.lit(i))).alias(name) for i, name in enumerate(names)]
 
 
 def rejected_lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """(file, fields, line) of the lines that ``load_csv`` leaves out: those with more fields than
-    the header in a file that is not parted by commas."""
-    batches = survey(spark, path)
-    sep = sep or sniff_separator(batches[0].header if batches else "")
-    out = spark.createDataFrame([], "file string, fields int, line string")
-    if sep == ",":
-        return out
-    for batch in batches:
-        width = len(header_names(batch.header, sep))
-        lines = spark.read.text(path if len(batches) == 1 else batch.files)
-        lines = lines.select(F.col("_metadata.file_path").alias("file"), fields_of(F.col("value"), sep).alias("fields"), F.col("value").alias("line"))
-        out = out.unionByName(lines.where(F.col("fields") > width))
-    return out
+    """(file, fields, line) of the records that ``load_csv`` leaves out, line breaks included."""
+    return read_records(spark, path, sep).where("rejected").select("file", "fields", "line")
 
 
 def repair_thousands(df: DataFrame, width: int) -> DataFrame:
