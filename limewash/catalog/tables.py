@@ -137,9 +137,10 @@ _PATTERN_SQL = " UNION ALL ".join(
 )
 
 
-@query("missingness_pattern", with_view(
-    "messy_numeric", "SELECT * FROM (" + _PATTERN_SQL.replace(" UNION ALL SELECT 'status' AS \"column\"", ") UNION ALL SELECT * FROM (SELECT 'status' AS \"column\"") + ")"
-))
+_PATTERNS_SQL = "SELECT * FROM (" + _PATTERN_SQL.replace(" UNION ALL SELECT 'status' AS \"column\"", ") UNION ALL SELECT * FROM (SELECT 'status' AS \"column\"") + ")"
+
+
+@query("missingness_pattern", with_view("messy_numeric", _PATTERNS_SQL))
 def _(spark, sf):
     return missingness_patterns(messy(spark, sf, "messy_numeric"))
 
@@ -171,12 +172,23 @@ _DATASET_SQL = " UNION ALL ".join(
 )
 
 
-@query("profile_dataset", with_view("messy_numeric", _DATASET_SQL))
+@query("profile_dataset", with_view("messy_numeric", f""", base AS ({_DATASET_SQL}),
+    iqr AS ({" UNION ALL ".join(_iqr_sql(c) for c in NUMBERS)}), far AS ({" UNION ALL ".join(_z_sql(c) for c in NUMBERS)}),
+    codes AS ({" UNION ALL ".join(_codes_sql(c) for c in NUMBERS)}), gaps AS ({_PATTERNS_SQL})
+    SELECT base.*, lower_bound, upper_bound, count_below, count_above, z_threshold, z_count, max_abs_z,
+        codes.cardinality AS code_kinds, codes.non_null_count AS code_values, unique_ratio, when_column, when_value, missing_rate_when, overall_missing_pct
+    FROM base LEFT JOIN iqr USING ("column") LEFT JOIN far USING ("column") LEFT JOIN codes USING ("column") LEFT JOIN gaps USING ("column")
+"""))
 def _(spark, sf):
     p = profile_dataset(stored(spark, sf, "messy_numeric"))
+    iqr, far, codes, gaps = "outliers_iqr", "outliers_zscore", "numeric_but_categorical", "missingness_pattern"
     return p.column_profiles.select(
         "column", "dtype", "inferred_type", "missing_count", "missing_pct", "cardinality",
         F.lit(p.rows).cast("bigint").alias("row_count"), F.lit(p.duplicate_rows).cast("bigint").alias("duplicate_rows"),
+        F.round(f"{iqr}.lower_bound", 4).alias("lower_bound"), F.round(f"{iqr}.upper_bound", 4).alias("upper_bound"), f"{iqr}.count_below", f"{iqr}.count_above",
+        f"{far}.z_threshold", F.col(f"{far}.count").alias("z_count"), F.round(f"{far}.max_abs_z", 6).alias("max_abs_z"),
+        F.col(f"{codes}.cardinality").alias("code_kinds"), F.col(f"{codes}.non_null_count").alias("code_values"), f"{codes}.unique_ratio",
+        f"{gaps}.when_column", f"{gaps}.when_value", f"{gaps}.missing_rate_when", f"{gaps}.overall_missing_pct",
     )
 
 

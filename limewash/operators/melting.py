@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DataType,
     DateType,
-    FractionalType,
-    IntegralType,
     NumericType,
     StringType,
     TimestampNTZType,
@@ -96,30 +94,44 @@ def side_by_side(*rows: DataFrame) -> DataFrame:
     return stacked.agg(*[F.first(quoted(c), ignorenulls=True).alias(c) for c in stacked.columns])
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Exact number of distinct non-null values per column: (column, distinct_values).
+ROWS = -1
+_SEED = 7
+
+
+def _hashable(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType.simpleString()
+    return quoted(name).cast("string") if "map<" in kind or "variant" in kind else quoted(name)
+
+
+def digests(df: DataFrame, columns: Sequence[str], rows: bool = False, texts: bool = False) -> DataFrame:
+    """Long form of fixed width: (id, h1, h2) for every cell that is not null, ``id`` the place of its
+    column in ``columns``. Two hashes of 64 bits stand for the value, whatever its length or type.
 
-    Columns are counted in groups of one storage type, so numbers need no text form.
+    With ``rows``, every row adds one of its own with the id ROWS, in which nulls are equal. With
+    ``texts``, ``value`` is the value of a text column.
     """
     kinds = {f.name: f.dataType for f in df.schema}
-    groups: dict[str, list[str]] = {}
-    for name in columns or df.columns:
-        kind = kinds[name]
-        cast = (
-            "bigint" if isinstance(kind, IntegralType)
-            else "double" if isinstance(kind, FractionalType) and kind.simpleString() in ("double", "float")
-            else "string"
-        )
-        groups.setdefault(cast, []).append(name)
-    parts = []
-    for cast, names in groups.items():
-        cells = melt(df, names, cast).where(F.col("value").isNotNull())
-        parts.append(
-            cells.groupBy("column", "value").agg(F.lit(1).alias("one"))
-            .groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    none = F.lit(None).cast("string")
+    entries = []
+    for i, name in enumerate(columns):
+        c = _hashable(df, name)
+        there = quoted(name).isNotNull()
+        entry = [F.lit(i).alias("id"), F.when(there, F.xxhash64(c)).alias("h1"), F.xxhash64(F.lit(_SEED), c).alias("h2")]
+        entries.append(F.struct(*entry, *([(quoted(name) if is_text(kinds[name]) else none).alias("value")] if texts else [])))
+    if rows:
+        parts = [x for name in df.columns for x in (quoted(name).isNull(), _hashable(df, name))]
+        entry = [F.lit(ROWS).alias("id"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(_SEED), *parts).alias("h2")]
+        entries.append(F.struct(*entry, *([none.alias("value")] if texts else [])))
+    return df.select(F.inline(F.array(*entries))).where(F.col("h1").isNotNull())
 
+
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Number of distinct non-null values per column: (column, distinct_values).
+
+    What is shuffled are digests of 128 bits, so neither the length of the values nor their type
+    matters; different values count as one only if both hashes agree.
+    """
+    names = list(columns or df.columns)
+    kinds = digests(df, names).groupBy("id", "h1", "h2").agg(F.lit(1).alias("one"))
+    counted = kinds.groupBy("id").agg(F.count(F.lit(1)).alias("distinct_values"))
+    return counted.select(F.get(F.array(*map(F.lit, names)), F.col("id")).alias("column"), "distinct_values")

@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DataType
 
 from limewash.functions import constants as K
-from limewash.functions.numbers import to_loose_number
+from limewash.functions.dates import add_dates
+from limewash.functions.numbers import is_fraction, to_loose_number
 from limewash.functions.text import null_if_sentinel, quoted
+from limewash.operators.correlation import PAIR_SCHEMA, redundant_pairs
 from limewash.operators.detectors import category_or_text, parse_type, type_evidence
 from limewash.operators.melting import (
-    distinct_counts, is_numeric, is_temporal, is_text, melt, numeric_columns, text_columns,
+    ROWS, digests, distinct_counts, is_numeric, is_temporal, is_text, melt, numeric_columns, text_columns,
 )
-from limewash.operators.quantiles import AGGREGATES_PER_JOB, clean_double, exact_quantiles, in_chunks
-from limewash.operators.rows import duplicate_count
+from limewash.operators.quantiles import AGGREGATES_PER_JOB, SORTABLE, clean_double, exact_quantiles, grouped, in_chunks
+from limewash.session import materialise
 
 PATTERN_KINDS = 80
 
@@ -33,7 +35,6 @@ PROFILE_SCHEMA = """
     missingness_pattern struct<when_column: string, when_value: string, missing_rate_when: double,
         overall_missing_pct: double>
 """
-PAIR_SCHEMA = "col_a string, col_b string, correlation double"
 
 
 @dataclass
@@ -53,24 +54,44 @@ class Profile:
         )
 
 
+def cell_summary(df: DataFrame, evidence: bool = True) -> DataFrame:
+    """One read and one job for all that is counted over cells: a row (id, present, distinct_values and,
+    with ``evidence``, numbers, dates, fractions) per column with any value, by its place, and one
+    with the id ROWS for whole rows. See ``digests``."""
+    cells = digests(df, df.columns, rows=True, texts=evidence)
+    flags = []
+    if evidence:
+        cells = add_dates(cells, {"as_date": F.col("value")})
+        number = to_loose_number(F.col("value"))
+        signs = {
+            "numbers": number.isNotNull(), "dates": F.col("as_date").isNotNull(),
+            "fractions": is_fraction(F.translate(F.col("value"), ", ", "")) & number.isNotNull(),
+        }
+        flags = [F.max(sign.cast("int")).alias(name) for name, sign in signs.items()]
+    kinds = cells.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), *flags)
+    return kinds.groupBy("id").agg(
+        F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct_values"),
+        *[F.sum(F.col("n") * F.coalesce(name, F.lit(0))).alias(name) for name in ("numbers", "dates", "fractions") if evidence],
+    )
+
+
 def column_counts(df: DataFrame) -> DataFrame:
     """(ordinal, column, dtype, missing_count, missing_pct, cardinality, non_null_count), lazily."""
     spark = df.sparkSession
-    rows = _present_cells(df)
     names = spark.createDataFrame(
         [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)],
         "ordinal int, column string, dtype string",
     )
-    kinds = distinct_counts(df)
-    return (
-        names.join(F.broadcast(rows), "column", "left").join(F.broadcast(kinds), "column", "left")
-        .select(
-            "ordinal", "column", "dtype",
-            (F.col("cells") - F.col("present")).alias("missing_count"),
-            F.round(100.0 * (F.col("cells") - F.col("present")) / F.col("cells"), 2).alias("missing_pct"),
-            F.coalesce("distinct_values", F.lit(0)).alias("cardinality"),
-            F.col("present").alias("non_null_count"),
-        )
+    # One job: the row of whole rows meets those of the columns over the one window of so few rows.
+    counted = names.join(F.broadcast(cell_summary(df, evidence=False)), F.col("ordinal") == F.col("id"), "full")
+    cells = F.coalesce(F.max(F.when(F.col("id") == ROWS, F.col("present"))).over(Window.partitionBy(F.lit(0))), F.lit(0))
+    present = F.coalesce("present", F.lit(0))
+    return counted.select("ordinal", "column", "dtype", cells.alias("cells"), present.alias("present"), "distinct_values").where("ordinal IS NOT NULL").select(
+        "ordinal", "column", "dtype",
+        (F.col("cells") - F.col("present")).alias("missing_count"),
+        F.round(F.try_divide(100.0 * (F.col("cells") - F.col("present")), F.col("cells")), 2).alias("missing_pct"),
+        F.coalesce("distinct_values", F.lit(0)).alias("cardinality"),
+        F.col("present").alias("non_null_count"),
     )
 
 
@@ -121,22 +142,33 @@ def infer_types(df: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
 
 
 def outlier_stats(
-    df: DataFrame, columns: Sequence[str] | None = None, sortable: int | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, sortable: int = SORTABLE, kinds: Mapping[str, int] | None = None,
 ) -> list[dict]:
-    """IQR and z-score outliers of numeric columns: one dict per column with any value."""
+    """IQR and z-score outliers of numeric columns: one dict per column with any value.
+
+    ``kinds`` are bounds of the distinct values of each column, where they are known; columns of few
+    values then give their quartiles in the same job as their moments.
+    """
     names = list(columns or numeric_columns(df))
     values = df.select(*[clean_double(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)])
     cells = values.columns
-    moments = in_chunks(values, [
-        agg(F.col(c)) for c in cells
-        for agg in (F.count, F.avg, F.stddev_pop, F.min, F.max, F.approx_count_distinct)
-    ])
-    stats = {c: moments[6 * i:6 * i + 5] for i, c in enumerate(cells)}
+    known = {c: kinds.get(n) for c, n in zip(cells, names)} if kinds else dict.fromkeys(cells)
+    small = [c for c in cells if known[c] is not None and known[c] <= sortable]
+    quarters = {c: F.percentile(F.col(c), [0.25, 0.75]) for c in small}
+    guess = {c: F.lit(None) if known[c] is not None else 2 * F.approx_count_distinct(F.col(c)) for c in cells}
+    # A job holds as many values for its quartiles as quantiles allows, and as many aggregates.
+    stats, quartiles = {}, {}
+    for group in grouped(cells, [known[c] if c in quarters else 0 for c in cells], AGGREGATES_PER_JOB // 7):
+        part = in_chunks(values, [
+            x for c in group for x in (*(agg(F.col(c)) for agg in (F.count, F.avg, F.stddev_pop, F.min, F.max)), guess[c], quarters.get(c, F.lit(None)))
+        ])
+        for i, c in enumerate(group):
+            *stats[c], estimate, quartiles[c] = part[7 * i:7 * i + 7]
+            known[c] = estimate if known[c] is None else known[c]
     counts = {c: s[0] for c, s in stats.items()}
+    wide = [c for c in cells if c not in quarters]
     # the estimate only decides how the exact quantiles are found
-    kinds = {c: 2 * moments[6 * i + 5] for i, c in enumerate(cells)}
-    options = {} if sortable is None else {"sortable": sortable}
-    quartiles = exact_quantiles(values, cells, [0.25, 0.75], counts, kinds, **options)
+    quartiles |= exact_quantiles(values, wide, [0.25, 0.75], counts, known, sortable=sortable) if wide else {}
     filled = [c for c in cells if counts[c]]
     bounds, outside = {}, []
     for c in filled:
@@ -207,17 +239,16 @@ def missingness_patterns(
     table = df.select(*flags, *keys)
     marks = [f"m{i}" for i in range(len(targets))]
     segments = table.unpivot(marks, [f"k{i}" for i in range(len(others))], "segment", "value")
-    # the first other column of every row also yields the overall counts
     grouped = segments.groupBy("segment", "value").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in marks]
     )
     long = grouped.select(
         "segment", "value", "n", F.posexplode(F.array(*marks)).alias("target", "missing")
     )
-    overall = long.where(F.col("segment") == "k0").groupBy("target").agg(
-        F.sum("n").alias("rows"), F.sum("missing").alias("total_missing")
-    )
-    overall = overall.withColumn("overall", 100.0 * F.col("total_missing") / F.col("rows"))
+    # The first other column of every row yields the overall counts; a window over the few groups, so that the table is read once.
+    target, first = Window.partitionBy("target"), F.col("segment") == "k0"
+    long = long.withColumn("rows", F.sum(F.when(first, F.col("n"))).over(target)).withColumn("total_missing", F.sum(F.when(first, F.col("missing"))).over(target))
+    long = long.withColumn("overall", 100.0 * F.col("total_missing") / F.col("rows"))
     wanted = (
         (F.col("total_missing") >= 10) & (F.col("rows") >= 20)
         & (F.round("overall", 2) >= 5.0)
@@ -234,10 +265,9 @@ def missingness_patterns(
         .withColumn("rate", 100.0 * F.col("missing") / F.col("n"))
         .where(F.col("rate") > 0)
     )
-    best = rates.groupBy("target").agg(
-        F.min(F.struct((-F.col("rate")).alias("low"), "other", "value")).alias("best")
-    )
-    found = best.join(F.broadcast(overall.where(wanted)), "target").withColumn("rate", -F.col("best.low"))
+    found = rates.where(wanted).groupBy("target").agg(
+        F.min(F.struct((-F.col("rate")).alias("low"), "other", "value")).alias("best"), F.first("overall").alias("overall")
+    ).withColumn("rate", -F.col("best.low"))
     strong = (
         (F.col("rate") >= F.col("overall") * 1.2) & (F.col("rate") >= 20.0)
         & (F.col("rate") - F.col("overall") >= 15.0)
@@ -252,39 +282,6 @@ def missingness_patterns(
     )
 
 
-def redundant_pairs(
-    df: DataFrame, columns: Sequence[str] | None = None, min_correlation: float = K.MIN_CORRELATION,
-    complete: Sequence[str] = (),
-) -> DataFrame:
-    """Pairs of numeric columns whose correlation is close to 1 or -1, on rows that have both.
-
-    Built from covariance and spread, because the built-in correlation fails on a constant.
-    Columns known to be ``complete`` (no missing value) share one spread over all their pairs.
-    """
-    whole = set(complete)
-    names = list(columns or numeric_columns(df))
-    values = df.select(*[clean_double(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)])
-    pairs = list(combinations(range(len(names)), 2))
-    terms = []
-    for i, j in pairs:
-        a, b = F.col(f"n{i}"), F.col(f"n{j}")
-        terms += [
-            F.covar_pop(a, b),
-            F.stddev_pop(a if names[j] in whole else F.when(b.isNotNull(), a)),
-            F.stddev_pop(b if names[i] in whole else F.when(a.isNotNull(), b)),
-        ]
-    found = in_chunks(values, terms) if terms else []
-    rows = []
-    for p, (i, j) in enumerate(pairs):
-        together, spread_a, spread_b = found[3 * p:3 * p + 3]
-        if together is None or not spread_a or not spread_b:
-            continue
-        correlation = together / (spread_a * spread_b)
-        if abs(correlation) >= min_correlation:
-            rows.append((names[i], names[j], round(correlation, 4)))
-    return df.sparkSession.createDataFrame(rows, PAIR_SCHEMA)
-
-
 def numeric_view(df: DataFrame, inferred: dict[str, str]) -> DataFrame:
     """The columns that hold numbers, as DOUBLE, including numbers kept as text."""
     picked = []
@@ -306,20 +303,28 @@ def numeric_codes(counts: DataFrame, inferred: DataFrame) -> DataFrame:
     )
 
 
-def profile_dataset(df: DataFrame) -> Profile:
-    """Full profile. Every job returns at most one row per column (or per correlated pair)."""
+def profile_dataset(df: DataFrame, most_kinds: int = PATTERN_KINDS) -> Profile:
+    """Full profile, from at most five reads of a table whose numeric columns have no more than
+    ``SORTABLE`` distinct values: one for all counts and the evidence of types, one for moments and
+    quartiles, one for outliers, one for missingness patterns (of columns of up to ``most_kinds``
+    values) if any column has gaps, one for pairs. Every job returns at most one row per column (or
+    per correlated pair)."""
     spark: SparkSession = df.sparkSession
-    counts = {r["column"]: r for r in column_counts(df).collect()}
-    kinds = spark.createDataFrame(
-        [(c, n["cardinality"]) for c, n in counts.items()], "column string, distinct_values bigint"
-    )
-    inferred = {r["column"]: r["inferred_type"] for r in infer_types(df, kinds).collect()}
-    floats = {f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))}
-    complete = [c for c in df.columns if not counts[c]["missing_count"] and c not in floats]
+    found = {r["id"]: r for r in cell_summary(df).collect()}
+    whole = found.pop(ROWS, None)
+    total = whole["present"] if whole else 0
+    counts, inferred = {}, {}
+    for i, f in enumerate(df.schema):
+        r = found.get(i)
+        present, kinds = (r["present"], r["distinct_values"]) if r else (0, 0)
+        missing = total - present
+        pct = _rounded(100.0 * missing / total, 2) if total else None
+        counts[f.name] = {"missing_count": missing, "missing_pct": pct, "cardinality": kinds, "non_null_count": present}
+        inferred[f.name] = _type_of(f.dataType, r, present, kinds)
     numbers = numeric_view(df, inferred)
-    spread = {s["column"]: s for s in outlier_stats(numbers)} if numbers.columns else {}
-    gappy = [c for c in df.columns if counts[c]["missing_pct"] >= 5.0 and counts[c]["missing_count"] >= 10]
-    others = [c for c in df.columns if counts[c]["cardinality"] <= PATTERN_KINDS]
+    spread = {s["column"]: s for s in outlier_stats(numbers, kinds={c: counts[c]["cardinality"] for c in numbers.columns})} if numbers.columns else {}
+    gappy = [c for c in df.columns if (counts[c]["missing_pct"] or 0) >= 5.0 and counts[c]["missing_count"] >= 10]
+    others = [c for c in df.columns if counts[c]["cardinality"] <= most_kinds]
     patterns = {}
     if gappy and others:
         patterns = {r["column"]: r for r in missingness_patterns(df, gappy, others).collect()}
@@ -331,23 +336,41 @@ def profile_dataset(df: DataFrame) -> Profile:
             inferred[f.name] == "numeric" and filled >= 20 and kinds >= 20 and kinds / filled > 0.5
         )
         rows.append((
-            i, f.name, n["dtype"], inferred[f.name],
+            i, f.name, f.dataType.simpleString(), inferred[f.name],
             n["missing_count"], n["missing_pct"], kinds, filled,
             s and (s["lower_bound"], s["upper_bound"], s["count_below"], s["count_above"]),
             s and (s["z_threshold"], s["z_count"], s["max_abs_z"]),
             (kinds, filled, round(kinds / filled, 3)) if codes else None,
             p and (p["when_column"], p["when_value"], p["missing_rate_when"], p["overall_missing_pct"]),
         ))
-    copies = duplicate_count(df).first()
     return Profile(
-        rows=copies["row_count"],
+        rows=total,
         columns=len(df.columns),
-        duplicate_rows=copies["duplicate_rows"],
+        duplicate_rows=total - (whole["distinct_values"] if whole else 0),
         column_profiles=spark.createDataFrame(rows, PROFILE_SCHEMA),
-        redundant_pairs=redundant_pairs(df, complete=complete),
+        redundant_pairs=materialise(redundant_pairs(df), "pairs") if len(numeric_columns(df)) > 1 else spark.createDataFrame([], PAIR_SCHEMA),
     )
 
 
+def _rounded(value: float, digits: int) -> float:
+    """Half up, as Spark rounds."""
+    return float(Decimal(repr(value)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+def _type_of(kind: DataType, evidence: Row | None, present: int, kinds: int) -> str:
+    """The high-level type of a column, as ``infer_types`` has it."""
+    if is_numeric(kind):
+        return "numeric"
+    if is_temporal(kind):
+        return "datetime"
+    if present and is_text(kind):
+        if evidence["numbers"] / present >= K.NUMERIC_SHARE:
+            return "numeric"
+        if evidence["dates"] / present >= K.DATE_SHARE:
+            return "datetime"
+    return "categorical" if present >= 10 and kinds <= min(50, present // 2) else "text"
+
+
 def schema_table(df: DataFrame) -> DataFrame:
     """(column, dtype, non_null, missing_pct) with null-like text counted as missing."""
     view = df.select(*[

@@ -69,7 +69,7 @@ def exact_quantiles(
     small = [c for c in columns if counts[c] and weight[c] <= sortable]
     large = [c for c in columns if weight[c] > sortable]
     out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    for group in _groups(small, [weight[c] for c in small]):
+    for group in grouped(small, [weight[c] for c in small]):
         row = df.agg(*[
             F.percentile(clean_double(quoted(c)), list(probabilities)).alias(f"q{i}")
             for i, c in enumerate(group)
@@ -87,12 +87,12 @@ def exact_quantiles(
     return out
 
 
-def _groups(items: Sequence, weights: Sequence[int]) -> list[list]:
-    """Items in as few jobs as keep the values held at once within bounds."""
+def grouped(items: Sequence, weights: Sequence[int], most: int | None = None) -> list[list]:
+    """Items in as few jobs as keep the values held at once, and the number of items, within bounds."""
     groups: list[list] = []
     held = PER_JOB
     for item, weight in zip(items, weights):
-        if held + weight > PER_JOB:
+        if not groups or held + weight > PER_JOB or len(groups[-1]) == most:
             groups.append([])
             held = 0
         groups[-1].append(item)
@@ -122,7 +122,7 @@ def _values_at(
         searches.append(s)
     while open_ := [s for s in searches if s.value is None]:
         ready = [s for s in open_ if s.inside <= sortable]
-        for group in _groups(ready, [s.inside for s in ready]):
+        for group in grouped(ready, [s.inside for s in ready]):
             _sort_small(df, group)
         wide = [s for s in open_ if s.inside > sortable]
         for start in range(0, len(wide), SKETCHES_PER_JOB):

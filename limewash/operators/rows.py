@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limewash.functions.text import quoted, trim
-from limewash.operators.melting import is_text
+from limewash.operators.melting import digests, is_text
 
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
@@ -43,10 +43,11 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """One row: total rows, distinct rows and rows that repeat an earlier one."""
-    per_row = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
+    """One row: total rows, distinct rows and rows that repeat an earlier one. Rows are compared by
+    digests of 128 bits, so that no whole row is shuffled."""
+    per_row = digests(df, [], rows=True).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
     return per_row.agg(
-        F.coalesce(F.sum("__copies"), F.lit(0)).alias("row_count"),
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("row_count"),
         F.count(F.lit(1)).alias("distinct_rows"),
-        F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicate_rows"),
+        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"),
     )

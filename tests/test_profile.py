@@ -148,3 +148,109 @@ def test_text_consistency(frame):
     )
     got = {r["column"]: r.is_consistent for r in text_consistency(text_frequencies(df)).collect()}
     assert got == {"ids": True, "same": True, "mixed": False, "lower": False, "mail": True, "digit": False}
+
+
+def jobs(spark, name, run):
+    """How many jobs a run starts, and what it returns."""
+    group = f"{name}-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), out
+
+
+def wide_table(spark, columns, rows=300):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(rows, columns)) * 10.0 ** rng.integers(-6, 7, columns) + 10.0 ** rng.integers(0, 9, columns)
+    base[:, 1] = -3 * base[:, 0] + 1e-9
+    base[:, 2] = base[:, 0] + rng.normal(size=rows) * base[:, 0].std() * 0.02
+    base[:, 3] = 0.1
+    data = [[None if rng.random() < 0.1 and j > 3 else float(x) for j, x in enumerate(row)] for row in base]
+    for i in range(rows):
+        data[i][4] = None if data[i][0] is None else float(i) if i % 2 else None
+        data[i][5] = 2.0 * i if i % 2 else (None if i % 4 else 7.0)
+    data[0][6] = float("inf")
+    data[1][7] = float("nan")
+    return spark.createDataFrame(data, ", ".join(f"c{j} double" for j in range(columns))), data
+
+
+def correlations(data, least=0.99):
+    """Pair by pair over the rows that have both."""
+    columns = [np.array([np.nan if x is None else x for x in c]) for c in zip(*data)]
+    out = {}
+    for i, a in enumerate(columns):
+        for j in range(i + 1, len(columns)):
+            both = ~np.isnan(a) & ~np.isnan(columns[j])
+            x, y = a[both], columns[j][both]
+            if len(x) and np.isfinite(x).all() and np.isfinite(y).all() and len(set(x)) > 1 and len(set(y)) > 1:
+                x, y = x - x.mean(), y - y.mean()
+                r = (x * y).mean() / np.sqrt((x * x).mean() * (y * y).mean())
+                if abs(r) >= least:
+                    out[f"c{i}", f"c{j}"] = round(float(r), 4)
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 9])
+def test_correlations_by_blocks(spark, block):
+    df, data = wide_table(spark, 40)
+    got = {(r.col_a, r.col_b): r.correlation for r in redundant_pairs(df.repartition(5), block=block).collect()}
+    want = correlations(data)
+    assert got == want and {("c0", "c1"), ("c0", "c2")} <= set(want) and not any("c3" in p or "c6" in p for p in want)
+
+
+def test_correlations_far_from_zero(spark):
+    """Deviations many digits below the mean, an outlier that only some pairs see, and values without any spread."""
+    rows = [(1e9 + i % 7 * 1e-3, 5e8 + i % 7 * 1e-3, None if i == 3 else float(i % 7), 0.3, 1e12 if i == 3 else float(i % 7)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = {(r.col_a, r.col_b): r.correlation for r in redundant_pairs(df).collect()}
+    assert got == {("a", "b"): 1.0, ("a", "c"): 1.0, ("b", "c"): 1.0, ("c", "e"): 1.0}
+
+
+def test_jobs_of_pairs_do_not_depend_on_the_number_of_columns(spark):
+    few, _ = wide_table(spark, 8, 30)
+    many, data = wide_table(spark, 200, 30)
+    one, _ = jobs(spark, "few", lambda: redundant_pairs(few).collect())
+    two, got = jobs(spark, "many", lambda: redundant_pairs(many).collect())
+    want = correlations(data)
+    assert one == two and {(r.col_a, r.col_b) for r in got} == set(want)
+
+
+def test_digests_do_not_grow_with_the_texts(spark):
+    rows = [(i, f"v{i % 50}", None if i % 3 else "x") for i in range(300)] + [(0, "v0", "x")]
+    df = spark.createDataFrame(rows, "id int, t string, u string")
+    long = df.withColumn("t", F.repeat("t", 1000))
+    for table in (df, long):
+        assert {r["column"]: r.distinct_values for r in distinct_counts(table).collect()} == {"id": 300, "t": 50, "u": 1}
+    from limewash.operators.rows import duplicate_count
+
+    assert tuple(duplicate_count(long).first()) == (301, 300, 1)
+    shuffled = distinct_counts(long)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [id" in shuffled and not any("t#" in line for line in shuffled.splitlines() if "Aggregate" in line)
+
+
+def test_equal_rows_and_digests(spark):
+    rows = [(None, "a"), ("a", None), ("", "a"), ("a", ""), ("ab", "c"), ("a", "bc"), (None, None), (None, None), ("", None)]
+    from limewash.operators.rows import duplicate_count
+
+    assert tuple(duplicate_count(spark.createDataFrame(rows, "a string, b string")).first()) == (9, 8, 1)
+    assert tuple(duplicate_count(spark.createDataFrame([], "a string")).first()) == (0, 0, 0)
+
+
+def test_profile_reads_its_table_five_times_at_most(spark):
+    rows = [(i, float(i % 9), None if i % 4 == 0 else f"w {i % 5}x", "gap" if i % 4 == 0 else "full", f"{i % 40},5") for i in range(400)]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    schema = "k int, v double, t string, s string, n string"
+    p = profile_dataset(spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(counted, schema))
+    got = {r.column: r for r in p.column_profiles.collect()}
+    assert (p.rows, p.duplicate_rows, got["n"].inferred_type, got["s"].inferred_type) == (400, 0, "numeric", "categorical")
+    assert got["t"].missingness_pattern.when_value == "gap" and got["v"].outliers_iqr.lower_bound == -4.0
+    assert reads.value == 5  # counts and types, moments and quartiles, outliers, patterns, pairs
+    p.redundant_pairs.count()
+    assert reads.value == 5
