@@ -11,7 +11,8 @@ from limewash.functions.constants import NULL_SENTINELS, NUMBER_WORDS
 from limewash.functions.dates import add_dates
 from limewash.functions.headers import clean_headers
 from limewash.functions.numbers import add_number_text, to_loose_number, to_number, word_numbers
-from limewash.operators.detectors import column_evidence, decide, person_columns, type_evidence
+from limewash.operators.actions import fallback_types
+from limewash.operators.detectors import column_evidence, decide, person_columns
 from limewash.operators.issues import text_consistency as consistency
 from limewash.operators.profiling import infer_types
 from limewash.operators.suspicious import id_like_columns, text_frequencies
@@ -256,33 +257,32 @@ def _(spark, sf):
     return consistency(text_frequencies(messy(spark, sf, "messy_codes"), CODE_TEXT))
 
 
-_TYPE_SQL = """
-    SELECT '{c}' AS "column", CASE WHEN count(v) = 0 THEN 'text'
+_PARSED = _DATE_SQL.replace("{{", "{").replace("}}", "}")
+_KIND_SQL = f"""
+    SELECT '{{c}}' AS "column", CASE WHEN count(v) = 0 THEN {{none}}
         WHEN count(try_cast(replace(replace(v, ',', ''), ' ', '') AS DOUBLE)) >= 0.9 * count(v) THEN 'numeric'
-        WHEN count(try_strptime(v, '%Y-%m-%d')) >= 0.8 * count(v) OR '{c}' = 'order_date' THEN 'datetime'
-        WHEN count(DISTINCT v) <= 50 AND count(v) >= 10 AND count(DISTINCT v) <= count(v) // 2 THEN 'categorical'
-        ELSE 'text' END AS inferred_type
-    FROM (SELECT {c} AS v FROM m) AS a
+        WHEN count({_PARSED.replace('{', '{{').replace('}', '}}')}) >= 0.8 * count(v) THEN 'datetime'
+        ELSE {{rest}} END AS {{out}}
+    FROM (SELECT v, trim(replace(regexp_replace(regexp_replace(v, '\\s+', ' ', 'g'), '([0-9]+)(st|nd|rd|th)', '\\1'), ' of ', ' ')) AS d
+        FROM (SELECT CAST({{c}} AS VARCHAR) AS v FROM m) AS a) AS b
 """
+_STORED_SQL = """SELECT '{c}' AS "column", CASE WHEN typeof(any_value({c})) IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' ELSE 'datetime' END AS {out} FROM m"""
+_FEW = "CASE WHEN count(DISTINCT v) <= 50 AND count(v) >= 10 AND count(DISTINCT v) <= count(v) // 2 THEN 'categorical' ELSE 'text' END"
 
 
 @query("infer_types", with_view("messy_orders", " UNION ALL ".join(
-    [_TYPE_SQL.format(c=c) for c in ORDER_TEXT]
-    + ["SELECT 'id' AS \"column\", 'numeric' AS inferred_type", "SELECT 'true_date', 'datetime'"]
+    [_KIND_SQL.format(c=c, none="'text'", rest=_FEW, out="inferred_type") for c in ORDER_TEXT]
+    + [_STORED_SQL.format(c=c, out="inferred_type") for c in ("id", "true_date")]
 )))
 def _(spark, sf):
     return infer_types(messy(spark, sf, "messy_orders"))
 
 
-@query("fallback_types", per_column("messy_part", ["size", "weight", "title"], """
-    SELECT '{c}' AS "column", count(v) AS non_null,
-        count(CASE WHEN regexp_full_match(replace(v, ' ', ''), '[0-9]+[.]?[0-9]*|inf') THEN 1 END) AS numbers FROM v
-"""))
+@query("fallback_types", with_view("messy_part", " UNION ALL ".join(
+    [_KIND_SQL.format(c=c, none="'string'", rest="'string'", out="target_type") for c in PART_TEXT] + [_STORED_SQL.format(c="id", out="target_type")]
+)))
 def _(spark, sf):
-    cleaned = messy(spark, sf, "messy_part").select(
-        *[text.null_if_sentinel(text.trim(F.col(c))).alias(c) for c in ("size", "weight", "title")]
-    )
-    return type_evidence(cleaned).select("column", "non_null", "numbers")
+    return fallback_types(messy(spark, sf, "messy_part"))
 
 
 @query("loose_numbers", with_view("messy_customer", """

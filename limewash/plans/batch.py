@@ -47,10 +47,7 @@ def run(
     cleaned = materialise(plan.transform(raw), "cleaned")
     before = profile_dataset(cleaned)
     fixed, actions = automatic_rules(cleaned)
-    changed = bool(actions)
-    if changed:
-        fixed = materialise(fixed, "fixed")
-    after = profile_dataset(fixed) if changed else before
+    after = profile_dataset(fixed) if actions else before
     issues = detect_issues(before)
     quality = quality_score(before, issues, after)
     save_csv(export_format(fixed), output_path, sep)

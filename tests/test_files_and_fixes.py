@@ -232,3 +232,71 @@ def test_broken_answers_of_any_depth_are_salvaged(spark):
     got = parse_responses(spark.createDataFrame([(1, text), (2, None), (3, "[")], "response_id int, response string")).collect()
     assert [(r.response_id, r.issue_id) for r in got] == [(1, "deep"), (1, "two")]
     assert got[0].fix_params.mappings["a"] == '}{"'
+
+
+def counted(spark, df):
+    """A table that counts how often it is read, as one partition."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        reads.add(1)
+        yield from batches
+
+    return df.coalesce(1).mapInArrow(count, df.schema), reads
+
+
+def test_the_log_reads_the_table_once(spark):
+    rows_ = [(str(i % 7) if i % 5 else None, "x" if i % 3 else None, i % 4) for i in range(60)]
+    df, reads = counted(spark, spark.createDataFrame(rows_, "a string, b string, c int"))
+    chain = [
+        A.Action("1", "fillna_constant", "a", {"value": "0"}), A.Action("2", "drop_duplicate_rows"), A.Action("3", "drop_rows_where_missing", "b"),
+        A.Action("4", "cast_type", "a", {"target_type": "numeric"}), A.Action("5", "fillna_constant", "c", {"value": "word"}),
+        A.Action("6", "drop_column", "c"), A.Action("7", "drop_duplicate_rows"), A.Action("8", "drop_duplicate_rows"),
+    ]
+    out, log = A.apply_actions(df, chain)
+    got = [(r.step, r.rows_removed, r.filled_count) for r in log.orderBy("step").collect()]
+    table = [("0" if a is None else a, b, c) for a, b, c in rows_]
+    once = set(table)
+    full = [r for r in once if r[1] is not None]
+    last = {(float(a), b) for a, b, _ in full}
+    assert sorted(map(tuple, out.collect())) == sorted(last)
+    assert got == [
+        (0, None, 12), (1, 60 - len(once), None), (2, len(once) - len(full), None), (3, None, None), (4, None, 0), (5, None, None),
+        (6, len(full) - len(last), None), (7, 0, None),
+    ]
+    assert reads.value == 1
+
+
+def test_automatic_rules_shuffle_whole_rows_once(spark):
+    df, reads = counted(spark, spark.createDataFrame([(str(i % 20), "x") for i in range(50)], "a string, b string"))
+    out, log = A.automatic_rules(df)
+    assert sorted(map(tuple, out.collect())) == [(i, "x") for i in range(20)] and log[-1] == {"action": "remove_duplicates", "rows_removed": 30, "safe": True}
+    assert reads.value == 2  # the evidence of types, and the result
+
+
+def test_planning_a_replay_reads_the_base_once(spark):
+    df, reads = counted(spark, spark.createDataFrame([("one", "2020-01-05", "x y", "3"), ("2", "soon", None, "4"), (None, "5 Jan 2020", "z", "5")], "a string, b string, c string, d string"))
+    fixes = {
+        "1": A.Fix("normalize_values", "a", {"mappings": {"one": "1"}}), "2": A.Fix("normalize_values", "b", {"mappings": {"soon": None}}),
+        "3": A.Fix("title_case", "c"), "4": A.Fix("coerce_type", "d"), "5": A.Fix("normalize_values", "c", {"mappings": {"X Y": "9", "Z": "8"}}),
+        "6": A.Fix("normalize_values", "gone", {"mappings": {"a": "b"}}),
+    }
+    out = A.replay_fixes(df, fixes, list("123456"))
+    assert reads.value == 1
+    assert [t for _, t in out.dtypes] == ["double", "timestamp_ntz", "double", "double"]
+    assert rows(out.select("a", "c", "d")) == rows(spark.createDataFrame([(1.0, 9.0, 3.0), (2.0, None, 4.0), (None, 8.0, 5.0)], "a double, c double, d double"))
+    # Made a number by one fix and text again by the next, a column is looked at anew.
+    again = A.apply_fixes(df.select("a"), [fixes["1"], A.Fix("normalize_values", "a", {"mappings": {"2.0": "two"}})])
+    assert rows(again) == rows(spark.createDataFrame([("1.0",), ("two",), (None,)], "a string"))
+
+
+def test_replay_with_a_table_of_mappings(spark, frame):
+    table = spark.createDataFrame([("one", "1"), ("bad", None)], "value string, replacement string")
+    out = A.apply_fixes(frame(c=["one", "2", None, "bad"]), [A.Fix("normalize_values", "c", {"mappings": table})])
+    assert out.dtypes == [("c", "double")] and rows(out) == [(1.0,), (2.0,), (None,), (None,)]
+
+
+def test_fallback_types(spark, frame):
+    df = frame(n=["1", "2,000", None], d=["2020-01-05", "5 Jan 2020", None], t=["a", "1", "2"], e=[None] * 3).withColumn("k", F.lit(1)).withColumn("f", F.lit(True))
+    got = {r["column"]: r.target_type for r in A.fallback_types(df).collect()}
+    assert got == {"n": "numeric", "d": "datetime", "t": "string", "e": "string", "k": "numeric", "f": "string"}
