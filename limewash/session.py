@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,13 +58,33 @@ def _local_base() -> str:
     return tempfile.mkdtemp(prefix="limewash-")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open", default=())
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Own what is stored meanwhile: on leaving, all tables that ``materialise`` wrote inside are removed,
+    but for those it was told to keep. Results that are still lazy must have been used by then."""
+    paths: list[str] = []
+    token = _open.set((*_open.get(), paths))
+    try:
+        yield paths
+    finally:
+        _open.reset(token)
+        for path in paths:
+            _remove(spark, path)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a result that several later jobs read, and read it back.
 
     The table lives in shared storage, so a lost executor costs a re-read and not a recomputation.
-    ``release`` removes it once nothing reads it any more.
+    ``release`` removes it once nothing reads it any more, or else the ``scratch`` block it was written
+    in, unless it is to ``keep``.
     """
     path = scratch_path(df.sparkSession, name)
+    if _open.get() and not keep:
+        _open.get()[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -69,7 +92,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Remove tables that ``materialise`` returned; nothing may read them afterwards."""
     for df in tables:
-        spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
