@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from limewash.catalog.registry import query
 from limewash.llm import decontamination, minhash, packing, suffixes, toxicity
 from limewash.llm.common import documents
-from limewash.session import materialise, release
+from limewash.session import materialise, release, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in their order; what a stage stores beside its result is removed as soon as that is written."""
     docs, written = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
         if written is not None:
             release(written)
         written = docs

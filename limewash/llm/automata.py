@@ -415,7 +415,7 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", sam
     like a result are replaced by it.
 
     Equal words and windows are those of equal 64-bit hashes; within a shard the automaton compares word
-    by word. ``hottest`` bounds what is broadcast (16 bytes each).
+    by word. What is broadcast is bounded: ``hottest`` anchors, and SPAN times as many windows (16 bytes each).
     """
     spark = df.sparkSession
     others = [f for f in df.schema.fields if f.name not in (text, "n_words", "removed", "kept")]
@@ -441,7 +441,7 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", sam
     common, least = none, np.zeros(0, np.int64)
     if len(anchors):
         sent = shared(anchors, none, least)
-        common = _hottest(part.mapInArrow(_scan(sent, _windows_seen), "h bigint"), hot, hottest)
+        common = _hottest(part.mapInArrow(_scan(sent, _windows_seen), "h bigint"), hot, hottest * SPAN)
         sent.destroy()
     if len(common):
         sent = shared(anchors, common, np.zeros(len(common), np.int64))

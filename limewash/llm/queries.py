@@ -145,15 +145,8 @@ def op9_toxicity(spark, sf):
 
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark, sf):
-    docs = documents(spark, sf).select("doc_id", "text")
-    found = suffixes.repeated_passages(docs)
-    own = docs.select("doc_id", found.doc.alias("doc"), found.twin.alias("twin"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("whole"))
-    cut = found.cut.select("doc__", "twin__", "n_removed", "n_spans", F.sha2("kept", 256).alias("left"))
-    joined = own.join(cut, (F.col("doc") == F.col("doc__")) & (F.col("twin") == F.col("twin__")), "left")
-    return joined.select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("left", "whole").alias("kept_sha256"),
-    )
+    found = suffixes.repeated_passages(documents(spark, sf).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 _VECTORS = """SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,

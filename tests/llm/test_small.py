@@ -468,14 +468,12 @@ def test_repeats(docs, monkeypatch, room):
     monkeypatch.setattr(suffixes, "ROOM", room)
     monkeypatch.setattr(suffixes, "AT_ONCE", 1000)
     df = docs(rows)
-    found = suffixes.repeated_passages(df)
-    own = df.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"), found.doc.alias("doc"), found.twin.alias("twin"), "text")
-    got = own.join(found.cut, (F.col("doc") == F.col("doc__")) & (F.col("twin") == F.col("twin__")), "left").collect()
     want = brute.repeats(list(dict.fromkeys(rows)))
-    assert len(got) == len(rows)
-    for r in got:
-        kept = bytes(r.kept) if r.kept is not None else (r.text or "").encode()
-        assert (r.n, r.n_removed or 0, r.n_spans or 0, hashlib.sha256(kept).hexdigest()) == want[r.doc_id], r.doc_id
+    for options in ({}, {"sample": 1, "hot": 3}, {"sample": 1, "hot": 3, "hottest": 10}):
+        got = suffixes.repeated_passages(df, **options).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) == want[r.doc_id], (r.doc_id, options)
 
 
 def test_texts_without_repeats(docs):
