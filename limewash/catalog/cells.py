@@ -177,11 +177,16 @@ def _(spark, sf):
     return rows.select("column", F.col("values_0").alias("n"), F.col("int_like").alias("matches"), "is_int_like")
 
 
-_DATE_SQL = """coalesce(
-    try_strptime(d, ['%Y-%m-%d', '%Y.%m.%d', '%d-%m-%Y', '%m-%d-%Y', '%Y/%m/%d', '%d/%m/%Y', '%m/%d/%Y']),
-    try_strptime(d, ['%d %b %Y', '%b %d %Y', '%B %d %Y', '%B %d, %Y', '%d %B %Y']),
-    CASE WHEN regexp_matches(d, '^[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{2}}$') THEN try_strptime(d, ['%d-%m-%y', '%m-%d-%y']) END,
-    CASE WHEN regexp_matches(d, '^[0-9]{{2}}$') THEN try_strptime(d, '%y') END)"""
+def _date_forms(year: str, separators: str) -> list[str]:
+    """Day first, then month first, for each separator."""
+    return [s.join((a, b, year)) for s in separators for a, b in (("%d", "%m"), ("%m", "%d"))]
+
+
+_FULL = [s.join(("%Y", "%m", "%d")) for s in "-./"] + _date_forms("%Y", "-/")
+_NAMED = [form for month in ("%b", "%B") for form in (f"%d {month} %Y", f"{month} %d %Y")] + ["%B %d, %Y"]
+_DATE_SQL = f"""coalesce(try_strptime(d, {_FULL + _NAMED}),
+    CASE WHEN regexp_matches(d, '^[0-9]{{{{1,2}}}}-[0-9]{{{{1,2}}}}-[0-9]{{{{2}}}}$') THEN try_strptime(d, {_date_forms('%y', '-')}) END,
+    CASE WHEN regexp_matches(d, '^[0-9]{{{{2}}}}$') THEN try_strptime(d, '%y') END)"""
 _DATE_FLAGS = f"""
     SELECT '{{c}}' AS "column", count(v) AS n, count(p) AS matches,
         count(v) >= 10 AND count(p) = count(v) AND count_if(NOT regexp_matches(v, '^[0-9]{{{{1,7}}}}$')) > 0.1 * count(v) AS is_date,

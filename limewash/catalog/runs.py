@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from limewash.catalog.cells import _PRICE_SQL, _TITLE_SQL, _WORD_CASE, sql_clean, sql_trim
 from limewash.catalog.messy import messy, spread, stored, table, with_view
 from limewash.catalog.registry import query
+from limewash.catalog.tables import _ALL_RULES, _text_freq
 from limewash.operators import actions as A
 from limewash.operators import recommendations as R
 from limewash.operators.issues import actionable_issues, detect_issues
@@ -316,25 +317,37 @@ def _(spark, sf):
     return recs.select("response_id", "position", F.explode(kept).alias("key", "value"))
 
 
-@query("issue_payload", with_view("messy_codes", "".join(
-    f"""{'' if i == 0 else ' UNION ALL '}SELECT 'text_quality::{c}' AS issue_id, '{c}' AS "column", 'string' AS dtype,
+@query("issue_payload", with_view("messy_codes", " UNION ALL ".join(
+    f"""SELECT 'text_quality::{c}' AS issue_id, 'text_quality' AS issue_type, '{c}' AS "column", 'string' AS dtype,
         round(100.0 * count_if({c} IS NULL) / count(*), 1) AS missing_percent, count(DISTINCT {c}) AS unique_values,
-        min({c}) AS first_sample, (SELECT {c} FROM m GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_value,
-        (SELECT count(*) FROM m GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) AS top_count FROM m"""
-    for i, c in enumerate(("country", "segment"))
+        (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM m WHERE {c} IS NOT NULL ORDER BY 1 LIMIT 4)) AS samples,
+        (SELECT string_agg(v || ':' || n, '|' ORDER BY n DESC, v) FROM (SELECT {c} AS v, count(*) AS n FROM m WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)) AS top_counts
+        FROM m"""
+    for c in ("country", "segment")
 )))
 def _(spark, sf):
     df = stored(spark, sf, "messy_codes")
     found = actionable_issues(detect_issues(profile_dataset(df)), df)
-    rows = R.issue_payload(found, df)
-    return rows.select(
-        "issue_id", "column", "dtype", "missing_percent", "unique_values",
-        F.element_at("sample_values", 1).alias("first_sample"),
-        F.element_at("top_value_counts", 1)["value"].alias("top_value"),
-        F.element_at("top_value_counts", 1)["n"].alias("top_count"),
+    return R.issue_payload(found, df).select(
+        "issue_id", "issue_type", "column", "dtype", "missing_percent", "unique_values", F.array_join("sample_values", "|").alias("samples"),
+        F.array_join(F.transform("top_value_counts", lambda x: F.concat(x["value"], F.lit(":"), x["n"].cast("string"))), "|").alias("top_counts"),
     )
 
 
+@query("issue_values", _text_freq("messy_codes", ["country", "segment", "plain"]) + f"""
+    , odd AS (SELECT "column", value FROM ({_ALL_RULES}) GROUP BY 1, 2)
+    SELECT 'text_quality::' || "column" AS issue_id, 'suspicious' AS kind, value FROM odd
+    UNION ALL SELECT DISTINCT 'mixed::weight', 'unparseable', weight FROM (
+        SELECT CASE WHEN c_custkey % 30 = 0 THEN 'n' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS weight FROM customer) WHERE try_cast(weight AS BIGINT) IS NULL
+""")
+def _(spark, sf):
+    """Suspicious and unparseable values of all issues, whole lists, from one table of frequencies."""
+    df = stored(spark, sf, "messy_codes")
+    weight = F.when(F.col("id") % 30 == 0, F.concat(F.lit("n"), F.col("id").cast("string"))).otherwise(F.col("id").cast("string"))
+    df = df.select("country", "segment", "plain", weight.alias("weight"))
+    return R.issue_values(detect_issues(profile_dataset(df)), df)
+
+
 @query("unparseable_values", with_view("messy_part", """
     SELECT DISTINCT 'mixed::weight' AS issue_id, 'unparseable' AS kind, weight AS value FROM m WHERE weight = 'unknown'
 """))

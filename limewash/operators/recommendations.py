@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from limewash.functions.dates import add_dates
 from limewash.functions.numbers import to_loose_number
-from limewash.functions.text import quoted
-from limewash.operators.melting import frequencies, melt, ranked, top_values
-from limewash.operators.suspicious import suspicious_values
+from limewash.functions.text import quoted, trim
+from limewash.operators.melting import ranked, top_values, value_frequencies
+from limewash.operators.suspicious import suspicious_of
 from limewash.session import materialise
 
 # The actions a recommendation may name.
@@ -105,32 +105,37 @@ def drop_identity_mappings(mappings: Column) -> Column:
     return F.map_filter(mappings, lambda k, v: v.isNull() | (k != v))
 
 
-def issue_payload(issues: DataFrame, df: DataFrame) -> DataFrame:
+def value_table(df: DataFrame) -> DataFrame:
+    """The stored frequencies (column, value, n) that samples, counts and value lists of issues are read from."""
+    return materialise(value_frequencies(df), "frequencies")
+
+
+def issue_payload(
+    issues: DataFrame, df: DataFrame, freq: DataFrame | None = None, samples: int = SAMPLES, top_counts: int = TOP_COUNTS
+) -> DataFrame:
     """One row per issue: type, gaps, distinct values, a few samples and the top counts.
 
-    Samples and counts are short fixed-length arrays; value lists that may grow are rows of
-    ``issue_values`` instead.
+    Samples and counts are short arrays of the length asked for; value lists that may grow are rows of
+    ``issue_values`` instead. ``freq`` is the ``value_table`` both may share.
     """
-    cells = melt(df, df.columns)
-    freq = materialise(frequencies(cells), "frequencies")
-    gaps = cells.groupBy("column").agg(
-        F.round(100.0 * F.count_if(F.col("value").isNull()) / F.count(F.lit(1)), 1).alias("missing_percent")
-    )
-    kinds = freq.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
-    samples = ranked(freq, SAMPLES, F.asc("value")).groupBy("column").agg(
+    freq = value_table(df) if freq is None else freq
+    rows = df.agg(F.count(F.lit(1)).alias("rows"))
+    kinds = freq.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"), F.sum("n").alias("present"))
+    some = ranked(freq, samples, F.asc("value")).groupBy("column").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("position", "value"))), lambda x: x["value"])
         .alias("sample_values")
     )
-    tops = top_values(freq, TOP_COUNTS).groupBy("column").agg(
+    tops = top_values(freq, top_counts).groupBy("column").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("position", "value", "n"))),
             lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")),
         ).alias("top_value_counts")
     )
-    dtypes = df.sparkSession.createDataFrame(df.dtypes, "column string, dtype string")
-    facts = dtypes
-    for part in (gaps, kinds, samples, tops):  # one row per column each
+    facts = df.sparkSession.createDataFrame(df.dtypes, "column string, dtype string").join(F.broadcast(rows))
+    for part in (kinds, some, tops):  # one row per column each
         facts = facts.join(F.broadcast(part), "column", "left")
+    missing = F.col("rows") - F.coalesce("present", F.lit(0))
+    facts = facts.withColumn("missing_percent", F.round(F.try_divide(100.0 * missing, F.col("rows")), 1)).drop("rows", "present")
     named = issues.select(
         F.col("id").alias("issue_id"), F.col("category").alias("issue_type"), "column",
         F.col("message").alias("description"),
@@ -140,34 +145,42 @@ def issue_payload(issues: DataFrame, df: DataFrame) -> DataFrame:
 
 def unparseable_values(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """(column, value): distinct non-null values that are not of the type the column leans to."""
-    cells = melt(df, columns).where(F.col("value").isNotNull())
+    return unparseable_of(value_frequencies(df, columns), columns, target)
+
+
+def unparseable_of(freq: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """``unparseable_values`` from frequencies."""
+    cells = freq.where(F.col("column").isin(columns)).select("column", "value")
     if target == "datetime":
         bad = add_dates(cells, {"parsed": F.col("value")}).where(F.col("parsed").isNull())
     else:
         bad = cells.where(to_loose_number(F.col("value")).isNull())
-    return bad.select("column", "value").distinct()
+    return bad.select("column", "value")
 
 
-def issue_values(issues: DataFrame, df: DataFrame) -> DataFrame:
-    """(issue_id, kind, value): suspicious values of text issues, unparseable ones of type issues."""
+def issue_values(issues: DataFrame, df: DataFrame, freq: DataFrame | None = None, short: bool = False) -> DataFrame:
+    """(issue_id, kind, value): suspicious values of text issues, unparseable ones of type issues; all
+    of them, or with ``short`` the first few suspicious ones of each rule."""
     lean = [
         (r["column"], r["t"]) for r in issues.where("category = 'mixed_types'")
         .select("column", F.col("stats")["inferred_type"].alias("t")).collect()  # one row per column
     ]
     text = [r["column"] for r in issues.where("category = 'text_quality'").select("column").collect()]
+    freq = value_table(df) if freq is None and (text or lean) else freq
     spark = df.sparkSession
     out = spark.createDataFrame([], "column string, value string, kind string, category string")
     if text:
-        odd = suspicious_values(df, text, short=True)
+        trimmed = freq.where(F.col("column").isin(text)).withColumn("value", trim(F.col("value"))).where("value <> ''")
+        odd = suspicious_of(materialise(trimmed.groupBy("column", "value").agg(F.sum("n").alias("n")), "texts"), short)
         out = out.unionByName(odd.select(
             "column", "value", F.lit("suspicious").alias("kind"), F.lit("text_quality").alias("category")
         ))
     for target in ("numeric", "datetime"):
         columns = [c for c, t in lean if t == target]
         if columns:
-            bad = unparseable_values(df, columns, target)
+            bad = unparseable_of(freq, columns, target)
             out = out.unionByName(bad.select(
                 "column", "value", F.lit("unparseable").alias("kind"), F.lit("mixed_types").alias("category")
             ))
     ids = issues.select(F.col("id").alias("issue_id"), "column", "category")
-    return out.join(F.broadcast(ids), ["column", "category"]).select("issue_id", "kind", "value")
+    return out.join(ids, ["column", "category"]).select("issue_id", "kind", "value")

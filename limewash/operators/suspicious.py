@@ -167,7 +167,11 @@ def suspicious_values(df: DataFrame, columns: Sequence[str] | None = None, short
 
     Identifier columns are skipped. The frequencies are written once because every rule reads them.
     """
-    freq = materialise(text_frequencies(df, columns), "frequencies")
+    return suspicious_of(materialise(text_frequencies(df, columns), "frequencies"), short)
+
+
+def suspicious_of(freq: DataFrame, short: bool = False) -> DataFrame:
+    """``suspicious_values`` from a stored table of ``text_frequencies``."""
     ids = id_like_columns(freq).where("is_id").select("column")
     freq = freq.join(F.broadcast(ids), "column", "left_anti")
     found = None

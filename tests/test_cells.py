@@ -39,11 +39,11 @@ def test_null_like_text(frame):
 
 
 @pytest.mark.parametrize("value, expected", [
-    ("Se7en", "Se7en"), (" 42 ", "42"), ("$ 1.234,5", "1234.5"), ("x", "x"), ("$ 4o8,035,783", "408035783"),
-    ("$ 123", "123"), ("668.473", "668473"), ("8.7.", "8.7"), ("08.9", "8.9"), ("009", "9"), ("0", "0"),
+    ("Ab3d", "Ab3d"), (" 57 ", "57"), ("$ 2.468,7", "2468.7"), ("y", "y"), ("$ 6o1,204,99l", "601204991"),
+    ("$ 908", "908"), ("512.306", "512306"), ("4.6.", "4.6"), ("07.3", "7.3"), ("009", "9"), ("0", "0"),
     ("1,234.56", "1234.56"), ("1.234,56", "1234.56"), ("9,.0", "9.0"), ("8,9f", "8.9"), ("8..8", "8.8"),
     ("++8.7", "8.7"), ("1e-0", "1"), ("12:30", "12.30"), ("12%", "12"), ("thirty", "30"),
-    ("SIXTY THOUSAND", "60000"), ("f", "f"), ("$", "$"), ("La vita B9 bella", "La vita B9 bella"),
+    ("SIXTY THOUSAND", "60000"), ("f", "f"), ("$", "$"), ("Il B4 mare", "Il B4 mare"),
     # signs survive, and text that only looks like digits is left alone
     ("-5 ", "-5"), ("-1,234.5", "-1234.5"), ("10-20", "10-20"), ("24/7", "24/7"),
     ("192.168.0.1", "192.168.0.1"), ("2020-01-05", "2020-01-05"),
@@ -130,7 +130,7 @@ def test_title_case_equals_python(frame, values):
 
 
 def test_headers():
-    assert headers.clean_headers(["Original titl", "Genr"]) == ["Original Title", "Genre"]
+    assert headers.clean_headers(["Yeer", "Citty"]) == ["Year", "City"]
     assert headers.clean_headers([" customer  id ", "Descripción"]) == ["Customer Id", "Descripcion"]
     assert headers.clean_headers(["Rate", "Gender"]) == ["Date", "Gender"]
     assert headers.clean_headers(["Rate"], fix_spelling=False) == ["Rate"]
