@@ -298,12 +298,12 @@ def _(spark, sf):
 
 
 @query("issues_without_recs", f"""
-    SELECT DISTINCT 'i' || CAST(s_suppkey % 7 AS VARCHAR) AS id FROM supplier WHERE 'i' || CAST(s_suppkey % 7 AS VARCHAR) NOT IN
-        (SELECT issue_id FROM ({_PARSED}) WHERE recommended_action = 'title_case' AND response_id % 2 = 0)
+    SELECT DISTINCT 'i' || CAST(s_suppkey % 11 AS VARCHAR) AS id FROM supplier WHERE 'i' || CAST(s_suppkey % 11 AS VARCHAR) NOT IN
+        (SELECT issue_id FROM ({_PARSED}) WHERE recommended_action = 'title_case')
 """)
 def _(spark, sf):
-    recs = R.parse_responses(responses(spark, sf)).where("recommended_action = 'title_case' and response_id % 2 = 0")
-    issues = table(spark, sf, "supplier").select(F.concat(F.lit("i"), F.col("s_suppkey") % 7).alias("id")).distinct()
+    recs = R.parse_responses(responses(spark, sf)).where("recommended_action = 'title_case'")
+    issues = table(spark, sf, "supplier").select(F.concat(F.lit("i"), F.col("s_suppkey") % 11).alias("id")).distinct()
     return R.without_recommendations(issues, recs)
 
 

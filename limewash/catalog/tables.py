@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limewash.catalog.cells import CODE_TEXT, _ID_SQL, sql_clean, sql_trim
+from limewash.catalog.cells import CODE_TEXT, PART_TEXT, _CONSISTENT_SQL, _ID_SQL, _KIND_SQL, sql_clean, sql_trim
 from limewash.catalog.messy import VIEWS, messy, stored, with_view
 from limewash.catalog.registry import query
 from limewash.operators import rows as R
@@ -18,6 +18,7 @@ from limewash.operators.suspicious import (
     RULES, id_like_columns, suspicious_values, text_frequencies,
 )
 from limewash.plans.cleaner import Cleaner
+from limewash.session import materialise
 from limewash.sources.delimited import export_format
 from limewash.sources.report import profile_json
 
@@ -192,9 +193,19 @@ def _(spark, sf):
     )
 
 
-@query("profile_json")
+@query("profile_json", with_view("messy_codes", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{"bigint" if c == "id" else "string"}' AS dtype, count(*) - count({c}) AS missing_count, count(DISTINCT {c}) AS cardinality,
+        count({c}) AS non_null_count, count(*) AS row_count, 5 AS column_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM m)) AS duplicate_rows FROM m"""
+    for c in ("id", "country", "segment", "code", "plain")
+)))
 def _(spark, sf):
-    return profile_json(profile_dataset(stored(spark, sf, "messy_codes")))
+    """The JSON document, read back into columns."""
+    text = profile_json(profile_dataset(stored(spark, sf, "messy_codes")))
+    column = "struct<column: string, dtype: string, missing_count: bigint, cardinality: bigint, non_null_count: bigint>"
+    read = text.select(F.from_json("profile", f"rows bigint, columns int, duplicate_rows bigint, column_profiles array<{column}>").alias("p"))
+    return read.select(
+        F.col("p.rows").alias("row_count"), F.col("p.columns").alias("column_count"), "p.duplicate_rows", F.inline("p.column_profiles")
+    )
 
 
 _CUSTOMER_DTYPES = {"id": "bigint", **{c: "string" for c in (
@@ -365,21 +376,28 @@ def _(spark, sf):
 
 
 @query("actionable_issues", with_view("messy_codes", """
-    SELECT * FROM (VALUES ('text_quality::country', 1), ('text_quality::segment', 1)) AS t(id, priority)
-    WHERE (SELECT count(*) FROM m) >= 10
-"""))
+    SELECT 'text_quality::' || "column" AS id, 1 AS priority FROM ({}) WHERE NOT is_consistent
+""".format(" UNION ALL ".join(
+    _CONSISTENT_SQL.format(c=c, t=sql_trim(c), id=_ID_SQL.format(c=c, t=sql_trim(c))) for c in CODE_TEXT
+))))
 def _(spark, sf):
     df = stored(spark, sf, "messy_codes")
     return actionable_issues(detect_issues(profile_dataset(df)), df).select("id", "priority")
 
 
-@query("issue_batch", with_view("messy_customer", """
-    SELECT * FROM (VALUES ('mixed::balance', 0), ('mixed::nation', 0), ('text_quality::name', 1),
-        ('text_quality::segment', 1), ('text_quality::email', 1), ('mixed::phone', 0)) AS t(id, priority)
-    WHERE (SELECT count(*) FROM m) >= 10
+_BATCH_COLUMNS = [*PART_TEXT, "title", "weight", "code", "person"]  # the last four once more, under other names
+_BATCH_KINDS = " UNION ALL ".join(
+    f"""SELECT {i} AS o, '{c}{'' if i < len(PART_TEXT) else 2}' AS c, kind FROM ({_KIND_SQL.format(c=c, none="'text'", rest="'text'", out="kind")}) AS k"""
+    for i, c in enumerate(_BATCH_COLUMNS)
+)
+
+
+@query("issue_batch", with_view("messy_part", f"""
+    SELECT CASE kind WHEN 'text' THEN 'text_quality::' ELSE 'mixed::' END || c AS id, CASE kind WHEN 'text' THEN 1 ELSE 0 END AS priority
+    FROM ({_BATCH_KINDS}) ORDER BY priority, o LIMIT 8
 """))
 def _(spark, sf):
-    df = messy(spark, sf, "messy_customer").withColumn("balance", F.replace("balance", F.lit("$"), F.lit("")))
-    found = detect_issues(profile_dataset(df)).where("category in ('mixed_types', 'text_quality')")
+    df = messy(spark, sf, "messy_part")
+    df = df.select(*PART_TEXT, *[F.col(c).alias(f"{c}2") for c in _BATCH_COLUMNS[len(PART_TEXT):]])
+    found = detect_issues(profile_dataset(materialise(df, "parts"))).where("category in ('mixed_types', 'text_quality')")
     return issue_batch(found).select("id", "priority")
-
