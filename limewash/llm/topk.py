@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limewash.llm.common import col
-from limewash.session import materialise, release
+from limewash.session import materialise, release, scratch_path
 
 BINS = 1024
 #: Queries that one broadcast holds.
@@ -19,6 +20,10 @@ BLOCK = 1024
 CHUNK = 1024
 #: A bin is refined until it holds at most this many scores more than are wanted, or one value.
 SLACK = 16
+#: Vectors whose components add up to more are scored in whole numbers: two others give less than 2 ** 53.
+PLAIN = float(2**26)
+LONG = 2**63 - 1
+FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
 def quantised(vectors: Column, scale: int) -> Column:
@@ -35,7 +40,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _scores(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate ids and the scores of all queries (rows) with them; no score with the same id.
 
-    Products of integers are exact in doubles up to 2 ** 53, which top_k has made sure of.
+    Products of integers are exact in doubles up to 2 ** 53, so vectors whose components add up to
+    more than PLAIN are left to ``_exactly``.
     """
     for batch in batches:
         for a in range(0, batch.num_rows, CHUNK):
@@ -89,46 +95,81 @@ def _above(block, k: int):
     return run
 
 
+def _exactly(block, k: int):
+    """(query, vec_id, score) of a task's k best candidates per query, in whole numbers of any size; a score
+    beyond a long counts as the nearest long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = block.value
+        held: list[list[tuple[int, int]]] = [[] for _ in ids]
+        for batch in batches:
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for q, vector in enumerate(queries):
+                held[q] += [(-max(-LONG, min(LONG, sum(x * y for x, y in zip(vector, v)))), i) for i, v in rows if i != ids[q]]
+                held[q] = heapq.nsmallest(k, held[q])
+        found = [(ids[q], i, -s) for q, best in enumerate(held) for s, i in best]
+        yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for every row that ``is_query`` names, the k rows of
     another id with the highest inner product of quantised vectors; equal scores by the smaller id.
 
-    Vectors that are null or hold a null or a number that is not finite, and rows of a null id, take
-    no part, neither do candidates of another length than the query. Rows that repeat an id and a
-    vector count once. With fewer than k candidates all are returned; without queries no rows.
+    Keys are integers. Vectors that are null or hold a null or a number that is not finite, and rows of
+    a null id, take no part, neither do candidates of another length than the query. Rows that repeat an
+    id and a vector count once. With fewer than k candidates all are returned; without queries no rows.
+    Scores beyond a long count as the largest or smallest long.
 
     Queries go in blocks of ``block`` rows, each broadcast (a fixed size) and scored against all rows.
     A pass counts scores per bin; the counts of all tasks tell the bin of the kth highest score,
     which the next pass divides again, until it is one value or holds few scores. The last pass
-    keeps what reaches it; a task passes on its k best, so ties of any number stay small.
+    keeps what reaches it; a task passes on its k best, so ties of any number stay small. The rows of a
+    block are written and its broadcasts removed before the next one begins.
+
+    Vectors of components so large that doubles would round their products are scored in whole numbers,
+    as queries and as candidates; there each task keeps its k best of all.
     """
+    spark = df.sparkSession
     rows = df.where(col(key).isNotNull()).select(col(key).cast("long").alias("id"), quantised(col(vector), scale).alias("v"), is_query.alias("asks"))
-    rows = materialise(rows.where("v IS NOT NULL").distinct().withColumn("dim", F.size("v")), "vectors")
-    empty = df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    found = []
-    sizes = rows.groupBy("dim").agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("top"), F.count_if("asks").alias("n")).collect()
-    for dim, top, n in sizes:
-        if not n:
-            continue
-        if dim * (top or 0) ** 2 > 2**53:
-            raise ValueError("scores of these vectors are beyond 2 ** 53; use a smaller scale")
-        every = rows.where(F.col("dim") == dim).select("id", "v")
-        blocks = -(-n // block)
+    reach = F.aggregate("v", F.lit(0.0), lambda n, x: n + F.abs(x.cast("double")))
+    rows = materialise(rows.where("v IS NOT NULL").distinct().withColumns({"dim": F.size("v"), "large": reach > PLAIN}), "vectors")
+    path = scratch_path(spark, "best")
+    spark.createDataFrame([], FOUND).write.parquet(path)
+    top = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    sizes = rows.groupBy("dim", "large").agg(top.alias("top"), F.count_if("asks").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    plain_top = {r.dim: float(r.top or 0) for r in sizes if not r.large}
+    with_large = {r.dim for r in sizes if r.large}
+    for r in sizes:
+        blocks = -(-r.n // block)
+        own = rows.where((F.col("dim") == r.dim) & (F.col("large") == r.large) & F.col("asks"))
+        every = rows.where(F.col("dim") == r.dim)
         for b in range(blocks):
-            asks = rows.where((F.col("dim") == dim) & F.col("asks") & (F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == b)).select("id", "v").collect()
-            if asks:
-                found.append(_block(every, asks, dim, float(top or 0), k))
-    if not found:
-        release(rows)
-        return empty
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+            asks = own.where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == b).select("id", "v").collect()
+            if not asks:
+                continue
+            if not r.large:
+                _block(every.where("NOT large").select("id", "v"), asks, r.dim, plain_top[r.dim], k, path)
+            if r.large or r.dim in with_large:
+                sent = spark.sparkContext.broadcast(([a.id for a in asks], [a.v for a in asks]))
+                some = every if r.large else every.where("large")
+                _keep(some.select("id", "v").mapInArrow(_exactly(sent, k), "query_id bigint, vec_id bigint, score bigint"), k, path)
+                sent.destroy()
+    release(rows)
+    return _ranked(spark.read.schema(FOUND).parquet(path), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _keep(found: DataFrame, k: int, path: str) -> None:
+    _ranked(found, k).drop("rank").write.mode("append").parquet(path)
 
 
-def _block(every: DataFrame, asks: list, dim: int, top: float, k: int) -> DataFrame:
+def _block(every: DataFrame, asks: list, dim: int, top: float, k: int, path: str) -> None:
     context = every.sparkSession.sparkContext
     ids = np.array([a[0] for a in asks], np.int64)
     queries = np.array([a[1] for a in asks], np.float64).reshape(len(asks), dim)
@@ -153,5 +194,7 @@ def _block(every: DataFrame, asks: list, dim: int, top: float, k: int) -> DataFr
             open_[i] = width[i] > 1 and over + n > k + SLACK
             low[i], width[i] = bound[i], max(1.0, np.ceil(width[i] / BINS))
         open_[at[~seen]] = False
-        sent.unpersist()
-    return every.mapInArrow(_above(context.broadcast((ids, queries, bound, width)), k), "query_id bigint, vec_id bigint, score bigint")
+        sent.destroy()
+    sent = context.broadcast((ids, queries, bound, width))
+    _keep(every.mapInArrow(_above(sent, k), "query_id bigint, vec_id bigint, score bigint"), k, path)
+    sent.destroy()

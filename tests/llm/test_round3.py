@@ -228,3 +228,22 @@ def test_op13(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = {i: (n, gone, sha(kept)) for i, n, gone, kept in brute.repeated_windows(rows)}
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in run(spark, "op13_substring_dedup")} == want
+
+
+# top-k search of large components
+
+
+def test_top_k_beyond_doubles(spark):
+    from limewash.llm import topk
+
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * (1e9 if i % 3 == 0 else 1)]) for i in range(90)] + [(200, [1e9] * 4), (201, [1e9] * 4), (202, [2.0**60] * 4)]
+    whole = [(i, [min(2**63 - 1, int(np.floor(256 * x))) for x in v]) for i, v in rows]
+    clip = lambda x: max(1 - 2**63, min(2**63 - 1, x))
+    want = []
+    for i, v in whole:
+        if i % 10 == 0:
+            best = sorted((-clip(sum(a * b for a, b in zip(v, w))), j) for j, w in whole if j != i)[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, block=4)
+    assert sorted(map(tuple, out.collect())) == sorted(want) and any(abs(w[3]) > 2**53 for w in want)
