@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from limewash.llm.common import col
 from limewash.llm.words import small_batches
 
+#: Comments, declarations and tags. Quotes count only where a value of an attribute begins.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>", re.S
 )
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=>/\"'][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style textarea title noscript xmp iframe template".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -60,6 +61,17 @@ def apart_by_names(labels: str) -> bool:
     return False
 
 
+@functools.lru_cache(1 << 14)
+def named_and_hidden(inside: str) -> tuple[str, bool]:
+    """Class, id and role of a tag, in lower case, and whether an attribute hides the element."""
+    values: dict[str, str] = {}
+    for name, *value in ATTRIBUTE.findall(inside):
+        values.setdefault(name.lower(), "".join(value))
+    labels = " ".join(values[k] for k in values if k in ("class", "id", "role") and values[k]).lower()
+    hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or bool(NOT_SHOWN.search(values.get("style", "")))
+    return labels, hidden
+
+
 @dataclass
 class Named:
     """An element that its name sets apart."""
@@ -121,8 +133,8 @@ def parsed(page: str) -> tuple[list[tuple[tuple[str, ...], bool, int, str]], lis
                     close_block()
                 del stack[k:]
         else:
-            labels = " ".join(x for g in NAMES.findall(m[3]) for x in g if x).lower()
-            apart = name in APART or bool(m[3] and HIDDEN.search(m[3]))
+            labels, hidden = named_and_hidden(m[3]) if m[3] else ("", False)
+            apart = name in APART or hidden
             if name == "header" and not any(s[0] in ("article", "main") for s in stack):
                 apart = True
             marked = name not in NEVER_APART and apart_by_names(labels)

@@ -247,3 +247,20 @@ def test_top_k_beyond_doubles(spark):
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, block=4)
     assert sorted(map(tuple, out.collect())) == sorted(want) and any(abs(w[3]) > 2**53 for w in want)
+
+
+# pages as browsers read them
+
+
+@pytest.mark.parametrize("piece, text", [
+    ("<p><a title=it's href=x>link</a> of it.<p>Don't lose this, please.", "link of it. Don't lose this, please."),
+    ("<!--><p>After an empty comment.<!-- not this --><!---><p>And another.<!-- nor this --!><p>End.", "After an empty comment. And another. End."),
+    ("<p title='a hidden gem'>A gem, found.<p title='style: display:none;'>Shown, after all.", "A gem, found. Shown, after all."),
+    ("<p hidden>No.<p style='color:red; display: none'>No.<p aria-hidden=true>No.<p class=x data-a=\">\" >Yes, indeed.", "Yes, indeed."),
+    ("<p title=\"a > b\">Greater, or not.<p data-hidden=1 alt=hidden>Not hidden, this.", "Greater, or not. Not hidden, this."),
+])
+def test_attributes_and_comments(piece, text):
+    from limewash.llm import extraction
+
+    lead = "A paragraph, with words enough; it goes on, and on, to its end."
+    assert extraction.main_text(f"<body><article><p>{lead}</p>{piece}</article></body>") == f"{lead} {text}"
