@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limewash.llm.common import col
+from limewash.llm.common import col, fresh
 from limewash.llm.components import components
 from limewash.llm.words import SPACED, U, mix, small_batches, windows, words_of
 from limewash.session import materialise, release
@@ -139,41 +139,48 @@ def _pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _stars(cut: float):
-    """Within each (bucket, part): pairs of likely similar members with the bucket's least member,
-    and with the member nearest to the majority of the part's bits."""
+    """Within each (bucket, part): likely similar members b of a centre a, which is the bucket's least
+    member or the member nearest to the majority of the part's bits. ``parts`` is the power of two
+    that deals all partners the bucket may hold for its centre in some ``SPAN`` each."""
+
+    def centred(found: list[tuple[int, np.ndarray, int]]) -> pa.RecordBatch:
+        n = [len(f[1]) for f in found]
+        others = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+        centres, parts = (np.repeat(np.array([f[k] for f in found], np.int64), n) for k in (0, 2))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (centres, others, parts)], names=["a", "b", "parts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list = []
+        found: list = []
         for group in _runs(batches, 2):
             ids, codes = np.asarray(group.column("id")), _codes(group.column("codes"))
             hub, hub_codes = group.column("hub")[0].as_py(), _codes(group.column("hub_codes")[:1])
             bits = np.unpackbits(codes.view(np.uint8), axis=1)
             major = np.packbits(bits.sum(axis=0) * 2 > len(ids)).view(U)
             near = int(np.argmin(np.bitwise_count(codes ^ major).sum(axis=1)))
-            for centre, own in ((hub, hub_codes), (int(ids[near]), codes[near : near + 1])):
+            for centre, own, reach in ((hub, hub_codes, group.column("n")[0].as_py()), (int(ids[near]), codes[near : near + 1], len(ids))):
                 alike = (similarity(codes, own) >= cut) & (ids != centre)
-                parts.append((np.full(alike.sum(), centre), ids[alike]))
-            if len(parts) > 1000:
-                yield _pairs(parts)
-                parts = []
-        yield _pairs(parts)
+                found.append((centre, ids[alike], 1 << max(0, -(-reach // SPAN) - 1).bit_length()))
+            if len(found) > 1000:
+                yield centred(found)
+                found = []
+        yield centred(found)
 
     return run
 
 
 def _ties(cut: float):
-    """Within each (bucket, part, part): pairs of likely similar members of different components, such
-    that every member that has such a partner is in one, and that they connect whatever components
-    all such pairs connect."""
+    """Within each (bucket, block, part): pairs of likely similar members of different components, one
+    of them of the block of outsiders (kind 0) and one of the part (kind 1), such that every member
+    that has such a partner is in one, and that they connect whatever components all such pairs connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 3):
             ids, codes, comps = np.asarray(group.column("id")), _codes(group.column("codes")), np.asarray(group.column("component"))
-            sides = [np.flatnonzero(np.asarray(group.column("part")) == np.asarray(group.column(p))) for p in ("p1", "p2")]
+            sides = [np.flatnonzero(np.asarray(group.column("kind")) == kind) for kind in (0, 1)]
             _, comp = np.unique(comps, return_inverse=True)
             label = np.arange(comp.max() + 1)
             found: list[tuple[int, int]] = []
-            for own, others in (sides, sides[::-1])[: 1 + (len(sides[0]) < len(ids))]:
+            for own, others in (sides, sides[::-1]):
                 for x in range(0, len(own), 256):
                     at = own[x : x + 256]
                     alike = similarity(codes[at][:, None, :], codes[others][None, :, :]) >= cut
@@ -270,12 +277,10 @@ def _verify(least: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. A document of many pairs is their centre
-    and is sent once for each ``SPAN`` of its partners."""
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("a", "c")
-    parted = pairs.join(degree, pairs["a"] == degree["c"]).select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SPAN)).cast("int").alias("part")
-    )
+    """The pairs whose full shingle sets are similar enough. A centre ``a`` is sent once for each of
+    its ``parts`` (a power of two) that holds partners; no task sees all partners of a centre."""
+    # Parts of different powers of two keep apart: those of 2 ** k have the numbers from 2 ** k on.
+    parted = pairs.select("a", "b", (F.col("parts") + F.pmod(F.xxhash64("b"), "parts")).alias("part"))
     # Both uses of the texts share one join.
     wanted = parted.select("a", "part", F.lit(1).alias("kind"), F.col("b").alias("who")).unionByName(
         parted.select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("who")).distinct()
@@ -316,6 +321,25 @@ def _across(near: DataFrame, first: DataFrame, sets: DataFrame, texts: DataFrame
     )
 
 
+def _meetings(named: DataFrame) -> DataFrame:
+    """Of ``named`` (bucket, part, id, codes, n, component): the rows (bucket, block, part, kind, ...) of
+    all buckets with several components. Members outside the component that has most members come in
+    blocks of some ``ROOM`` (kind 0) to every part, and every member (kind 1) to every such block, so
+    one stray member of a bucket adds no more rows than the bucket has members."""
+    counts = materialise(named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held")), "mixed")
+    mixed = counts.groupBy(F.col("bucket").alias("k")).agg(
+        F.max_by("component", F.struct("held", "component")).alias("main"), (F.sum("held") - F.max("held")).alias("outsiders")
+    )
+    mixed = mixed.where("outsiders > 0").withColumn("blocks", F.ceil(F.col("outsiders") / ROOM).cast("int"))
+    rows = named.join(mixed, F.col("bucket") == F.col("k"))
+    parts = F.ceil(F.col("n") / ROOM).cast("int")
+    outside = rows.where("component <> main").withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), "blocks").cast("int"))
+    outside = outside.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("kind", F.lit(0))
+    inside = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
+    met = ["bucket", "block", "part", "kind", "id", "codes", "component"]
+    return outside.select(*met).unionByName(inside.select(*met))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 75, cut: float = CUT) -> DataFrame:
     """Per row of ``df``: ``key``, n_shingles, component_id (the least key that can be reached over
     links, the row's own included) and kept (whether that is the row's own key).
@@ -332,7 +356,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     member is compared with its bucket's least member and with the one nearest to the majority; then
     documents outside the main component of such a cluster are read, block by block, next to all of
     it, and only those still apart are compared. So a group of alike documents never gives all its
-    pairs as rows.
+    pairs as rows. In the first round the partners of a centre are dealt over tasks, and of a bucket
+    whose members belong to several components only those outside its main one meet all others.
     """
     sketched = materialise(sketch(df, key, text), "sketches")
     full = sketched.where("n_shingles > 0 AND id IS NOT NULL")
@@ -344,18 +369,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
     shared = materialise(
         rows.join(buckets.withColumnRenamed("bucket", "k"), F.col("bucket") == F.col("k")).select(
-            "bucket", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / ROOM)).cast("int").alias("part"), "id", "codes", "hub",
-            F.ceil(F.col("n") / ROOM).cast("int").alias("parts"),
+            "bucket", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / ROOM)).cast("int").alias("part"), "id", "codes", "hub", "n",
         ),
         "buckets",
     )
     hubs = shared.where("id = hub").groupBy(F.col("bucket").alias("k")).agg(F.first("codes").alias("hub_codes"))
-    members = shared.select("bucket", "part", "id", "codes", "hub").join(hubs, F.col("bucket") == F.col("k"))
+    members = shared.join(hubs, F.col("bucket") == F.col("k"))
     stars = (
-        members.select("bucket", "part", "id", "codes", "hub", "hub_codes")
+        members.select("bucket", "part", "id", "codes", "hub", "hub_codes", "n")
         .repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-        .mapInArrow(_stars(cut), "a bigint, b bigint").distinct()
+        .mapInArrow(_stars(cut), "a bigint, b bigint, parts bigint")
     )
+    stars = stars.groupBy("a", "b").agg(F.max("parts").alias("parts"))
     tested = materialise(stars, "pairs")
     candidates = shared.select("id").distinct().withColumnRenamed("id", "c")
     texts = df.select(col(key).cast("long").alias("id"), col(text).alias("text")).join(candidates, F.col("id") == F.col("c"), "left_semi")
@@ -365,14 +390,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     named = shared.join(first.withColumnRenamed("node", "m"), F.col("id") == F.col("m"), "left").withColumn(
         "component", F.coalesce("component", "id")
     )
-    mixed = named.groupBy(F.col("bucket").alias("k")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = named.join(mixed, F.col("bucket") == F.col("k")).select("bucket", "part", "parts", "id", "codes", "component")
-    meetings = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "bucket", F.least("part", "other").alias("p1"), F.greatest("part", "other").alias("p2"), "part", "id", "codes", "component"
-    )
-    near = materialise(
-        meetings.repartition("bucket", "p1", "p2").sortWithinPartitions("bucket", "p1", "p2").mapInArrow(_ties(cut), "a bigint, b bigint").distinct(), "near"
-    )
+    meetings = _meetings(named).repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part")
+    near = materialise(meetings.mapInArrow(_ties(cut), "a bigint, b bigint").distinct(), "near")
     more = materialise(_across(near, first, sets, texts, cut, least), "confirmed")
     reps = full.select("id", "n_shingles", "print1", "print2").join(
         sets.select("print1", "print2", "n_shingles", F.col("id").alias("rep")), ["print1", "print2", "n_shingles"]
@@ -392,12 +411,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``df`` with one document of each component: the one of the least key, and of rows that repeat
     that key the one of the least text. Rows of a null key all stay. Same columns."""
-    judged = near_duplicates(df, key, text, **options).where(f"kept AND `{key}` IS NOT NULL")
-    kept = judged.groupBy(F.col(key).alias("__kept")).agg(F.count(F.lit(1)).alias("__rows"))
+    own, n = fresh("kept"), fresh("rows")
+    judged = near_duplicates(df, key, text, **options).where(F.col("kept") & col(key).isNotNull())
+    kept = judged.groupBy(col(key).alias(own)).agg(F.count(F.lit(1)).alias(n))
     names = [col(c) for c in df.columns]
-    rows = df.join(kept, col(key) == F.col("__kept"))
-    once = rows.where("__rows = 1").select(*names)
-    least = rows.where("__rows > 1").groupBy("__kept").agg(F.min(F.struct(F.coalesce(col(text), F.lit("")), F.struct(*names))).alias("r"))
+    rows = df.join(kept, col(key) == F.col(own))
+    once = rows.where(F.col(n) == 1).select(*names)
+    least = rows.where(F.col(n) > 1).groupBy(own).agg(F.min(F.struct(F.coalesce(col(text), F.lit("")), F.struct(*names))).alias("r"))
     return once.unionByName(least.select(*[F.col("r").getField("col2").getField(c).alias(c) for c in df.columns])).unionByName(
         df.where(col(key).isNull())
     )

@@ -279,6 +279,7 @@ def test_near_duplicates(docs, monkeypatch):
     monkeypatch.setattr(minhash, "ROOM", 16)
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
     monkeypatch.setattr(minhash, "SLICE", 7)
+    monkeypatch.setattr(minhash, "SPAN", 4)
     out = minhash.near_duplicates(docs(rows).withColumn("component_id", F.lit("x"))).collect()
     want = brute.near_duplicates([r for r in rows if r[0] is not None])
     assert len(out) == len(rows)
@@ -302,11 +303,36 @@ def test_ties_connect_what_all_pairs_connect():
     codes[1] = codes[0]
     codes[3] = codes[2]
     codes[5] = codes[0]
-    batch = pa.RecordBatch.from_pydict({"bucket": [1] * 6, "p1": [0] * 6, "p2": [0] * 6, "part": [0] * 6, "id": list(range(6)), "codes": [c.tobytes() for c in codes], "component": [0, 1, 2, 3, 4, 0]})
+    ids, comps = [1, 2, 3, 4, *range(6)], [0, 1, 2, 3, 4, 0]
+    batch = pa.RecordBatch.from_pydict({
+        "bucket": [1] * 10, "block": [0] * 10, "part": [0] * 10, "kind": [0] * 4 + [1] * 6,
+        "id": ids, "codes": [codes[i].tobytes() for i in ids], "component": [comps[i] for i in ids],
+    })
     pairs = {(a, b) for out in minhash._ties(0.5)(iter([batch])) for a, b in zip(out[0].to_pylist(), out[1].to_pylist())}
     assert {p for pair in pairs for p in pair} == {0, 1, 2, 3, 5} and all(codes[a].tobytes() == codes[b].tobytes() for a, b in pairs)
 
 
+def test_one_stray_member_does_not_send_a_bucket_to_itself(docs, monkeypatch):
+    monkeypatch.setattr(minhash, "ROOM", 16)
+    rows = [(7, i % 63, i, 1000, 5) for i in range(999)] + [(7, 3, 999, 1000, 999)] + [(8, 0, i, 10, 5) for i in range(10)]
+    named = docs(rows, "bucket long, part int, id long, n long, component long").withColumn("codes", F.lit(b"x"))
+    sent = minhash._meetings(named).collect()
+    assert {r.bucket for r in sent} == {7}
+    assert sorted(r.id for r in sent if r.kind == 1) == list(range(1000))
+    assert sorted((r.id, r.part) for r in sent if r.kind == 0) == [(999, p) for p in range(63)]
+
+
+def test_template_with_strays(docs, monkeypatch):
+    rng = random.Random(31)
+    base = prose(rng, 150)
+    rows = [(i, edited(rng, base, rng.randrange(0, 3))) for i in range(150)] + [(i, edited(rng, base, k)) for i, k in ((200, 6), (201, 9), (202, 14), (203, 60))]
+    for name in ("ROOM", "SPAN"):
+        monkeypatch.setattr(minhash, name, 16)
+    want = brute.near_duplicates(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(rows)).collect()} == want
+    assert len({c for _, c in want.values()}) > 1
+
+
 def test_similarity_estimates_are_near():
     rng = random.Random(5)
     a = prose(rng, 800, 10**6)
