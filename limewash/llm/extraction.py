@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,18 @@ CONTENT = re.compile(r"^(?:article|main)\b|(?:^|[.\s_-])(?:main|article|content|
 PIECES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr ul ol dl table blockquote pre figure".split())
 
 
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements that only divide a page; at the edge of an article one without any content path is not part of it.
+BOXES = set("div section center".split())
+
+
+class Block(NamedTuple):
+    path: tuple[str, ...]  # labels of the elements around it, from the root on
+    apart: bool
+    text: str
+    nodes: tuple[int, ...]  # the same elements, by number
+
+
 @functools.lru_cache(1 << 14)
 def apart_by_names(labels: str) -> bool:
     """Whether a class, id or role as a whole is made of words that hold no article text."""
@@ -80,29 +93,31 @@ class Named:
     outer: int  # the next such element around it, or -1
 
 
-def parsed(page: str) -> tuple[list[tuple[tuple[str, ...], bool, int, str]], list[Named]]:
-    """(path from the root, whether its tag or style sets it apart, the innermost element around it
-    that a name sets apart, text) of every block, in page order, and these elements.
+def parsed(page: str) -> tuple[list[tuple[Block, int]], list[Named]]:
+    """Every block (apart: by tag or style) with the innermost element around it that a name sets
+    apart, in page order, and these elements.
 
     A block is the text between two block-level tags; inline elements do not part it and ``br`` is a
     space. Open elements that a tag implies to end (a paragraph before a block, an item before the
     next) end there, a closing tag ends everything opened since, and one that fits nothing is ignored.
     """
-    out: list[tuple[tuple[str, ...], bool, int, str]] = []
+    out: list[tuple[Block, int]] = []
     marks: list[Named] = []
-    none = ("", "", False, -1)
-    stack: list[tuple[str, str, bool, int]] = []  # element, its label in paths, set apart, innermost mark
+    none = ("", "", False, -1, -1)
+    stack: list[tuple[str, str, bool, int, int]] = []  # element, its label in paths, set apart, innermost mark, number
     pieces: list[str] = []
-    at = 0
+    at = elements = 0
 
     def close_block():
         text = SPACES.sub(" ", entities.unescape("".join(pieces))).strip()
         pieces.clear()
         if text:
-            out.append((path_now(), *(stack or [none])[-1][2:], text))
+            _, _, apart, mark, _ = (stack or [none])[-1]
+            nodes = tuple(number for name, _, _, _, number in stack if name not in INLINE)
+            out.append((Block(path_now(), apart, text, nodes), mark))
 
     def path_now():
-        return tuple(label for name, label, _, _ in stack if name not in INLINE)
+        return tuple(label for name, label, _, _, _ in stack if name not in INLINE)
 
     def pop_to(names: set[str], wall: set[str]):
         for k in range(len(stack) - 1, -1, -1):
@@ -129,7 +144,7 @@ def parsed(page: str) -> tuple[list[tuple[tuple[str, ...], bool, int, str]], lis
         elif m[1]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if k is not None:
-                if name not in INLINE or stack[-1][2:] != (stack[k - 1] if k else none)[2:]:
+                if name not in INLINE or stack[-1][2:4] != (stack[k - 1] if k else none)[2:4]:
                     close_block()
                 del stack[k:]
         else:
@@ -153,19 +168,20 @@ def parsed(page: str) -> tuple[list[tuple[tuple[str, ...], bool, int, str]], lis
                 end = re.compile(f"</{name}\\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
                 continue
-            _, _, around, mark = (stack or [none])[-1]
+            _, _, around, mark, _ = (stack or [none])[-1]
             if marked:
                 marks.append(Named((), mark))
                 mark = len(marks) - 1
-            stack.append((name, f"{name}.{labels}" if labels else name, around or apart, mark))
+            stack.append((name, f"{name}.{labels}" if labels else name, around or apart, mark, elements))
+            elements += 1
             if marked:
                 marks[mark].path = path_now()
     close_block()
     return out, marks
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
-    """(path from the root, whether it is set apart, text) of every block, in page order.
+def blocks_of(page: str) -> list[Block]:
+    """Every block, in page order.
 
     A name does not set an element apart that holds more than half of the score of all blocks,
     unless an article or main element elsewhere holds text that nothing sets apart.
@@ -173,9 +189,9 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
     found, marks = parsed(page)
     apart_by_name = [True] * len(marks)
     if marks:
-        score = ratios([(path, hard, text) for path, hard, _, text in found])
+        score = ratios([block for block, _ in found])
         held = [0.0] * len(marks)
-        for (_, _, mark, _), s in zip(found, score):
+        for (_, mark), s in zip(found, score):
             if mark >= 0:
                 held[mark] += float(s)
         for k in range(len(marks) - 1, -1, -1):
@@ -184,63 +200,95 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
         large = [k for k in range(len(marks)) if held[k] > score.sum() / 2]
         if large:
             articles = {
-                path[: k + 1] for path, hard, mark, _ in found if not hard and mark < 0
-                for k, label in enumerate(path) if label.split(".")[0] in ("article", "main")
+                block.path[: k + 1] for block, mark in found if not block.apart and mark < 0
+                for k, label in enumerate(block.path) if label.split(".")[0] in ("article", "main")
             }
             for k in large:
                 apart_by_name[k] = any(marks[k].path[: len(a)] != a for a in articles)
         for k, mark in enumerate(marks):
             apart_by_name[k] |= mark.outer >= 0 and apart_by_name[mark.outer]
-    return [(path, hard or mark >= 0 and apart_by_name[mark], text) for path, hard, mark, text in found]
-
+    return [block._replace(apart=block.apart or mark >= 0 and apart_by_name[mark]) for block, mark in found]
 
-def ratios(blocks: list[tuple[tuple[str, ...], bool, str]]) -> np.ndarray:
-    """The fused, smoothed score of every block.
 
-    Text length and punctuation are summed per path and divided by the path's number of blocks; the
-    two ratios are smoothed over neighbouring blocks and multiplied. Blocks set apart score nothing.
-    """
+def path_ratios(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Per block the two ratios of its path: text length, and punctuation marks, of all blocks of the
+    path divided by their number. Blocks set apart have none."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, _, text in blocks:
+    for path, _, text, _ in blocks:
         length[path] += len(text)
         marks[path] += len(PUNCTUATION.findall(text))
         count[path] += 1
-    inside = np.array([not apart for _, apart, _ in blocks])
+    inside = np.array([not b.apart for b in blocks])
+    return np.array([length[b.path] / count[b.path] for b in blocks]) * inside, np.array([marks[b.path] / count[b.path] for b in blocks]) * inside
+
+
+def ratios(blocks: list[Block]) -> np.ndarray:
+    """The fused, smoothed score of every block: the ratios of the paths are smoothed over neighbouring
+    blocks and multiplied. Blocks set apart score nothing."""
+    inside = np.array([not b.apart for b in blocks])
     kernel = np.array([0.25, 0.5, 0.25])
-    text = np.array([length[p] / count[p] for p, _, _ in blocks]) * inside
-    marked = np.array([marks[p] / count[p] for p, _, _ in blocks]) * inside
-    smooth = [np.convolve(np.pad(x, 1), kernel, "valid") * inside for x in (text, marked)]
+    smooth = [np.convolve(np.pad(x, 1), kernel, "valid") * inside for x in path_ratios(blocks)]
     return smooth[0] * (1 + smooth[1])
 
 
+def content_of(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Which blocks are content, and which stand on a path that the threshold selects.
+
+    The threshold is the spread of all scores. A path is selected if its own fused ratio reaches it; a
+    block of such a path is content if its smoothed score reaches it too, so neither a short neighbour
+    of long text nor a lone long line counts. If that leaves none, the smoothed score decides alone.
+    """
+    score = ratios(blocks)
+    least = min(score.std(), score.max())
+    length, marks = path_ratios(blocks)
+    high = (score >= least) & (score > 0)
+    chosen = (length * (1 + marks) >= least) & (length > 0)
+    return (high & chosen if (high & chosen).any() else high), chosen
+
+
 def main_text(page: str) -> str:
     """The article of one page: blocks joined by one space, in page order.
 
-    Blocks whose score reaches the spread of all scores hold content. The article is the outermost
-    element around all of them that names itself so; without one, the innermost element around all
-    of them that is more than a paragraph, heading or the like. All blocks of the element that are
-    not set apart belong to the article, so short paragraphs and headings stay with it.
+    The path ratios select content blocks (``content_of``). The article is the outermost element
+    around all of them that names itself so; without one, the innermost element around all of them
+    that is more than a paragraph, heading or the like. All blocks of the element that are not set
+    apart belong to the article, so short paragraphs and headings stay with it. Where no name tells
+    the article, boxes at its begin and end none of whose paths the ratios select (menus, notices of
+    rights) do not belong to it, and headings right before it do.
     """
     blocks = blocks_of(page)
-    if not any(not b[1] for b in blocks):
+    if not any(not b.apart for b in blocks):
         return ""
-    score = ratios(blocks)
-    least = min(score.std(), score.max())
-    at: tuple[str, ...] | None = None
-    for (path, _, _), s in zip(blocks, score):
-        if s >= least and s > 0 and path != at:
-            at = path if at is None else at[: _shared(at, path)]
-    at = at or ()
-    while at and at[-1].split(".")[0] in PIECES:
-        at = at[:-1]
-    named = next((k for k, label in enumerate(at) if CONTENT.search(label)), None)
+    content, chosen = content_of(blocks)
+    where = np.flatnonzero(content)
+    at, labels = (blocks[where[0]].nodes, blocks[where[0]].path) if len(where) else ((), ())
+    for k in where[1:]:
+        at = at[: _shared(at, blocks[k].nodes)]
+    depth = len(at)
+    while depth and labels[depth - 1].split(".")[0] in PIECES:
+        depth -= 1
+    named = next((k for k, label in enumerate(labels[:depth]) if CONTENT.search(label)), None)
     if named is not None:
-        at = at[: named + 1]
-    return " ".join(text for path, apart, text in blocks if not apart and path[: len(at)] == at)
-
-
-def _shared(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    """How many labels two paths share from the root on."""
+        depth = named + 1
+    at = at[:depth]
+    inside = np.array([not b.apart and b.nodes[:depth] == at for b in blocks])
+    if named is None and len(where):
+        first = int(np.flatnonzero(inside)[0])
+        telling = {b.nodes[depth] for b, c in zip(blocks, chosen) if c and b.nodes[:depth] == at and len(b.nodes) > depth}
+        for k in [*range(where[0]), *range(where[-1] + 1, len(blocks))]:
+            b = blocks[k]
+            if inside[k] and len(b.nodes) > depth and b.path[depth].split(".")[0] in BOXES and b.nodes[depth] not in telling:
+                inside[k] = False
+        for k in range(first - 1, -1, -1):
+            b = blocks[k]
+            if b.apart or not b.path or b.path[-1].split(".")[0] not in HEADINGS or b.nodes[:-1] != at[: len(b.nodes) - 1]:
+                break
+            inside[k] = True
+    return " ".join(b.text for b, kept in zip(blocks, inside) if kept)
+
+
+def _shared(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    """How many elements two blocks share from the root on."""
     return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 

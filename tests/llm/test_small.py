@@ -153,6 +153,55 @@ def test_content_beside_the_largest_part_is_kept():
     assert extraction.main_text(f"<body><div>Home</div><article>{a}<h2>End</h2><p>Yes.</p></article></body>").endswith("End Yes.")
 
 
+LONG = "A paragraph, with words enough; it goes on, and on, to its end. And a second sentence, no less."
+#: Pages without a single name or element that tells the article, and their texts.
+NAMELESS = [
+    (f"<body><div><a href=x>Home</a> <a href=y>About</a></div><div><p>{LONG}</p><p>{LONG}</p></div><div>Copyright, all rights reserved</div></body>", f"{LONG} {LONG}"),
+    (f"<body><div><a href=x>Home</a></div><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div>Foot</div></body>", f"{LONG} Short. {LONG}"),
+    (f"<body><div>Menu</div><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div><div>Foot</div></body>", f"Title {LONG} {LONG}"),
+    (f"<body><div>Menu</div><div><p>{LONG}</p></div><div>aside</div><div><p>{LONG}</p></div><div>Foot</div></body>", f"{LONG} aside {LONG}"),
+    (f"<body><div>Menu</div><div><p>{LONG}</p></div><div>Foot</div></body>", LONG),
+    (f"<div><div><b>One</b></div><div><i>Two</i></div></div><div><div><p>{LONG}</p><ul><li>a<li>b</ul><p>{LONG}</p></div></div>", f"{LONG} a b {LONG}"),
+]
+
+
+@pytest.mark.parametrize("page, text", NAMELESS)
+def test_path_ratios_find_an_article_that_nothing_names(page, text):
+    assert extraction.main_text(page) == text
+
+
+def test_constant_ratios_find_nothing(monkeypatch):
+    monkeypatch.setattr(extraction, "ratios", lambda blocks: np.ones(len(blocks)))
+    monkeypatch.setattr(extraction, "path_ratios", lambda blocks: (np.ones(len(blocks)), np.ones(len(blocks))))
+    assert all(extraction.main_text(page) != text for page, text in NAMELESS)
+
+
+def test_scores_and_threshold_by_brute_force():
+    rng = random.Random(41)
+    for _ in range(200):
+        tags = ["div", "p", "section", "article", "nav", "ul", "h2"]
+        page = "".join(f"<{(t := rng.choice(tags))}>{prose(rng, rng.randrange(1, 30))}{'.,'[: rng.randrange(3)]}{rng.choice(['', f'</{t}>'])}" for _ in range(rng.randrange(1, 15)))
+        blocks = extraction.blocks_of(page)
+        own = []
+        for b in blocks:
+            same = [c.text for c in blocks if c.path == b.path]
+            own.append((0.0, 0.0) if b.apart else (sum(map(len, same)) / len(same), sum(ch in ".,;:!?" for t in same for ch in t) / len(same)))
+        near = lambda k, j: own[k][j] if 0 <= k < len(own) else 0.0
+        smooth = [[near(k - 1, j) / 4 + near(k, j) / 2 + near(k + 1, j) / 4 for j in (0, 1)] for k in range(len(own))]
+        score = [0.0 if b.apart else x * (1 + y) for b, (x, y) in zip(blocks, smooth)]
+        assert np.allclose(extraction.ratios(blocks), score, rtol=1e-12)
+        mean = sum(score) / len(score)
+        least = min((sum((x - mean) ** 2 for x in score) / len(score)) ** 0.5, max(score))
+        assert [s >= least - 1e-9 and s > 0 for s in score] == [bool(a >= least - 1e-9 and a > 0) for a in extraction.ratios(blocks)]
+        content, chosen = extraction.content_of(blocks)
+        for k in range(len(blocks)):
+            fused = own[k][0] * (1 + own[k][1])
+            if min(abs(fused - least), abs(score[k] - least)) > 1e-6:
+                assert chosen[k] == (fused > least)
+                if any(content & chosen):
+                    assert content[k] == (score[k] > least and fused > least)
+
+
 @pytest.mark.parametrize("opened", [
     '<body class="no-sidebar"><article>', '<body class="single has-sidebar"><div>', '<body><div class="post-content with-sidebar">', '<body><article class="has-comments post">',
     '<body class="search"><main id="search">', '<body><div class="widget">', '<body><main><h1>Site</h1><div class="widget"><div class="alert">',
