@@ -61,6 +61,7 @@ class Block(NamedTuple):
     apart: bool
     text: str
     nodes: tuple[int, ...]  # the same elements, by number
+    signs: int  # punctuation marks of the text
 
 
 @functools.lru_cache(1 << 14)
@@ -114,7 +115,7 @@ def parsed(page: str) -> tuple[list[tuple[Block, int]], list[Named]]:
         if text:
             _, _, apart, mark, _ = (stack or [none])[-1]
             nodes = tuple(number for name, _, _, _, number in stack if name not in INLINE)
-            out.append((Block(path_now(), apart, text, nodes), mark))
+            out.append((Block(path_now(), apart, text, nodes, len(PUNCTUATION.findall(text))), mark))
 
     def path_now():
         return tuple(label for name, label, _, _, _ in stack if name not in INLINE)
@@ -214,9 +215,9 @@ def path_ratios(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     """Per block the two ratios of its path: text length, and punctuation marks, of all blocks of the
     path divided by their number. Blocks set apart have none."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, _, text, _ in blocks:
+    for path, _, text, _, signs in blocks:
         length[path] += len(text)
-        marks[path] += len(PUNCTUATION.findall(text))
+        marks[path] += signs
         count[path] += 1
     inside = np.array([not b.apart for b in blocks])
     return np.array([length[b.path] / count[b.path] for b in blocks]) * inside, np.array([marks[b.path] / count[b.path] for b in blocks]) * inside
