@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limewash.catalog.cells import _PRICE_SQL, _TITLE_SQL, _WORD_CASE, sql_clean, sql_trim
+from limewash.catalog.cells import CUSTOMER_TEXT, _PRICE_SQL, _TITLE_SQL, _WORD_CASE, sql_clean, sql_trim
 from limewash.catalog.messy import messy, spread, stored, table, with_view
 from limewash.catalog.registry import query
 from limewash.catalog.tables import _ALL_RULES, _text_freq
@@ -15,7 +15,7 @@ from limewash.operators.issues import actionable_issues, detect_issues
 from limewash.operators.profiling import profile_dataset
 from limewash.plans.batch import analyse, run
 from limewash.plans.cleaner import Cleaner
-from limewash.session import scratch_path
+from limewash.session import materialise, scratch, scratch_path
 from limewash.sources.delimited import detect_separator, load_csv, preview, rejected_lines, save_csv
 
 KEEP_ALL = dict(headers=False, drop_empty=False)
@@ -112,6 +112,47 @@ def _(spark, sf):
     return Cleaner(**dict(STEP_OFF, name_case="title")).fit(df).transform(df)
 
 
+_SENTENCE = "upper(left({0}, 1)) || lower(substr({0}, 2))"
+
+
+@query("sentence_names", with_view("messy_part", f"""
+    SELECT id, title, {_SENTENCE.format('person')} AS person FROM (SELECT id, code AS title, person FROM m) AS x
+"""))
+def _(spark, sf):
+    df = messy(spark, sf, "messy_part").select("id", F.col("code").alias("title"), "person")
+    return Cleaner(**dict(STEP_OFF, name_case="sentence")).fit(df).transform(df)
+
+
+def _any(condition: str) -> str:
+    return "EXISTS (SELECT 1 FROM m WHERE " + " OR ".join(condition.format(c=c, t=sql_trim(c), v=sql_clean(c)) for c in CUSTOMER_TEXT) + ")"
+
+
+_STEP_TESTS = {
+    "trim_whitespace": _any("{c} <> {t}"),
+    "standardize_nulls": _any("{c} IS NOT NULL AND {v} IS NULL"),
+    "normalize_column_names": "EXISTS (SELECT 1 FROM (SELECT unnest({}) AS c) WHERE c <> upper(c[1]) || c[2:])".format(["id", *CUSTOMER_TEXT]),
+    "drop_empty_columns": " OR ".join(f"(SELECT count({c}) = 0 FROM m)" for c in CUSTOMER_TEXT),
+    "normalize_int_like_strings": "EXISTS (SELECT 1 FROM m WHERE regexp_matches(nation, '[A-Za-z]'))",
+    "normalize_numeric_strings": "EXISTS (SELECT 1 FROM m WHERE regexp_matches(balance, '[$,]'))",
+    "normalize_email_like_columns": f"EXISTS (SELECT 1 FROM m WHERE lower({sql_trim('email')}) <> {sql_trim('email')})",
+    "coerce_mixed_types": "(SELECT bool_and(regexp_full_match(nation, '[0-9]+')) FROM m)",
+    "drop_empty_rows": "EXISTS (SELECT 1 FROM m WHERE id IS NULL AND " + " AND ".join(f"{sql_clean(c)} IS NULL" for c in CUSTOMER_TEXT) + ")",
+    "remove_duplicates": f"(SELECT count(*) FROM m) > (SELECT count(*) FROM ({_CLEAN_CUSTOMER}))",
+}
+
+
+@query("steps_applied", with_view("messy_customer", "SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS position, step FROM (" + " UNION ALL ".join(
+    f"SELECT {o} AS o, '{step}' AS step WHERE {test}" for o, (step, test) in enumerate(_STEP_TESTS.items())
+) + ") AS s"))
+def _(spark, sf):
+    """The steps are known once the run has been written; its rows are counted by the same job."""
+    df = messy(spark, sf, "messy_customer")
+    done = Cleaner().fit(df).run(df)
+    with scratch(spark):
+        materialise(done.df, "cleaned")
+    return done.steps_table()
+
+
 @query("coerce_numeric", with_view("messy_part", "SELECT id, try_cast(weight AS DOUBLE) AS weight FROM m"))
 def _(spark, sf):
     df = messy(spark, sf, "messy_part").select("id", "weight")

@@ -362,6 +362,22 @@ def _(spark, sf):
     return found.select("id", "category", "severity", "column")
 
 
+@query("issue_suggestions", _issues_cte() + f"""
+    SELECT 'missing::' || c AS id, 0 AS position, 'drop_column' AS kind, c AS "column", false AS safe FROM facts WHERE pct >= 85
+    UNION ALL SELECT 'constant::' || c, 0, 'drop_column', c, false FROM facts WHERE n > 0 AND k = 1
+    UNION ALL SELECT 'redundant::' || col_a || '::' || col_b, o, 'drop_column', CASE o WHEN 0 THEN col_b ELSE col_a END, false
+        FROM ({_PAIRS_SQL}), (SELECT unnest([0, 1]) AS o)
+    UNION ALL SELECT id, 0, 'drop_duplicate_rows', NULL, true FROM iss WHERE category = 'duplicates'
+""")
+def _(spark, sf):
+    """What each issue proposes, in its order, and whether that may be done without asking."""
+    rows = stored(spark, sf, "messy_numeric")
+    found = detect_issues(profile_dataset(rows))
+    return found.select("id", F.posexplode("suggestions").alias("position", "s")).select(
+        "id", "position", "s.kind", F.col("s.params")["column"].alias("column"), "s.safe"
+    )
+
+
 @query("quality_score", _issues_cte() + """
     SELECT round((completeness + 100.0 + validity + uniqueness) / 4.0, 1) AS score, round(completeness, 1) AS completeness,
         100.0::DOUBLE AS consistency, CAST(validity AS DOUBLE) AS validity, round(uniqueness, 1) AS uniqueness

@@ -82,6 +82,11 @@ class CleanRun:
             steps.add("remove_duplicates")
         return [step for step in STEPS if step in steps]
 
+    def steps_table(self) -> DataFrame:
+        """(position from 1, step) of every step that changed something; one row per step."""
+        steps = list(enumerate(self.steps_applied(), 1))
+        return self.df.sparkSession.createDataFrame(steps, "position int, step string")
+
 
 @dataclass(frozen=True)
 class CleanPlan:
