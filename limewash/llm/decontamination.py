@@ -18,8 +18,10 @@ from limewash.session import materialise, release
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
-#: Bytes of distinct benchmark passages in one broadcast index; windows take about six times as much.
+#: Bytes of distinct benchmark passages and of their item ids in one broadcast index; windows take about six times as much.
 BLOCK_BYTES = 16 << 20
+#: What an entry takes beside its characters: a passage, an id.
+ENTRY, ID = 64, 16
 PIECE_WORDS = 50_000
 
 
@@ -37,10 +39,10 @@ class Index:
     groups: list[list[str]]
 
 
-def passages(benchmark: DataFrame, item: str, text: str, window: int, piece: int) -> DataFrame:
-    """Distinct (words joined by one space, window length, ids of the items that hold them).
+def passages(benchmark: DataFrame, item: str, text: str, window: int, piece: int, parts: int = 1) -> DataFrame:
+    """Distinct (words joined by one space, window length, part, ids of the items that hold them).
 
-    Long items are cut into pieces that overlap by a window less one word, so that every window is
+    The ids of a passage that very many items repeat are dealt over ``parts`` rows by their hash. Long items are cut into pieces that overlap by a window less one word, so that every window is
     in one piece; items without words give none.
     """
     words, at, passage, length = (fresh(n) for n in ("words", "at", "passage", "length"))
@@ -53,8 +55,9 @@ def passages(benchmark: DataFrame, item: str, text: str, window: int, piece: int
         "id", F.least(F.size(words), F.lit(window)).alias(length),
         F.array_join(F.slice(words, col(at) + 1, piece + window - 1), " ").alias(passage),
     )
-    return rows.groupBy(passage, length).agg(F.collect_set("id").alias("ids")).select(
-        col(passage).alias("passage"), col(length).alias("length"), "ids"
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")
+    return rows.groupBy(passage, length, part).agg(F.collect_set("id").alias("ids")).select(
+        col(passage).alias("passage"), col(length).alias("length"), "part", "ids"
     )
 
 
@@ -149,18 +152,21 @@ def find_passages(
     words; null item ids count as the empty id; repeated rows are judged alike; without benchmark
     rows nothing is hit.
 
-    Distinct passages are counted first. Up to ``block_bytes`` of them make one index that is
-    broadcast, and the rows are scanned in one pass without a shuffle. More make several indexes of
-    that size, one pass each, with the table written between passes, so memory stays bounded.
+    Distinct passages with their ids are written once and their size is taken. Up to ``block_bytes``
+    of them make one index that is broadcast, and the rows are scanned in one pass without a shuffle.
+    More make several indexes of that size, one pass each, with the table written between passes, so
+    memory stays bounded; also where one text stands under very many ids, whose list is cut for that.
     """
-    found = passages(benchmark, item, item_text, window, PIECE_WORDS)
-    size = found.agg(F.coalesce(F.sum(F.octet_length("passage") + 64), F.lit(0))).first()[0]
+    ids = benchmark.agg(F.sum(F.coalesce(F.octet_length(col(item).cast("string")), F.lit(0)) + ID)).first()[0] or 0
+    found = materialise(passages(benchmark, item, item_text, window, PIECE_WORDS, max(1, math.ceil(ids / block_bytes))), "benchmark")
+    entry = F.octet_length("passage") + ENTRY + F.octet_length(F.array_join("ids", "")) + ID * F.size("ids")
+    size = found.agg(F.sum(entry.cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    block = F.pmod(F.xxhash64("passage"), F.lit(blocks))
+    block = F.pmod(F.xxhash64("passage", "part"), F.lit(blocks))
     names = [c for c in df.columns if c not in ("n_words", "hits", "items")]
     out, last = df.select(*[col(c) for c in names]), None
     for b in range(blocks):
-        rows = [tuple(r) for r in found.where(block == b).collect()]
+        rows = [tuple(r) for r in found.where(block == b).select("passage", "length", "ids").collect()]
         index = df.sparkSession.sparkContext.broadcast(build_index(rows) if rows else None)
         out = _pass(out, names, text, index, keep_text or b < blocks - 1)
         if b < blocks - 1:
@@ -168,6 +174,7 @@ def find_passages(
             if last is not None:
                 release(last)
             last = out
+    release(found)
     return out
 
 
