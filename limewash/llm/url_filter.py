@@ -16,6 +16,8 @@ UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: this share of itself; ranks under LEAST, at the end of doubles, may change.
 TOLERANCE, RELATIVE, LEAST = 1e-9, 1e-6, 1e-300
 LOOK = 4
+#: A host with more than one in PARTS of all rows is dealt over several tasks; fewer than PARTS hosts are so heavy.
+PARTS = 1000
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^\s"'>]+)"""
 
 
@@ -53,6 +55,24 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
+def copies_of(counts: DataFrame, n: str) -> Column:
+    """Over how many tasks the rows of a host go, from the ``n`` rows of each host in ``counts``."""
+    total = counts.agg(F.sum(n)).first()[0] or 1
+    return F.greatest(F.ceil(F.col(n) * PARTS / F.lit(total)), F.lit(1)).cast("int")
+
+
+def dealt(rows: DataFrame, key: str, copies: DataFrame, by: Column) -> DataFrame:
+    """``rows`` with ``part__``: rows of a heavy host in ``copies`` (host, copies) get one of its parts by the hash ``by``."""
+    heavy = copies.where("copies > 1").select(F.col("host").alias("heavy__"), F.col("copies").alias("copies__"))
+    marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("heavy__"), "left")
+    return marked.withColumn("part__", F.pmod(by, F.coalesce("copies__", F.lit(1))).cast("int")).drop("heavy__", "copies__")
+
+
+def in_parts(table: DataFrame) -> DataFrame:
+    """A table of one row per host once for each part of the host, ``to_part__``, that its ``copies`` make."""
+    return table.withColumn("to_part__", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+
+
 def spread(edges: DataFrame, hosts: DataFrame, seed: str, damping: float, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank: (host, rank), from ``hosts`` (host, ``seed``: weights that sum to 1 or
     are all 0) over ``edges`` (src, dst, w). What reaches a host without links goes back to the seeds.
@@ -61,28 +81,37 @@ def spread(edges: DataFrame, hosts: DataFrame, seed: str, damping: float, rounds
     itself at most, so that it reaches no new host either; or for exactly ``rounds``. The total change
     shrinks by ``damping`` each round at least. Every LOOK rounds this is looked at.
     """
-    total = edges.groupBy("src").agg(F.sum("w").alias("all_w")).withColumnRenamed("src", "from_")
+    total = materialise(edges.groupBy(F.col("src").alias("host")).agg(F.sum("w").alias("all_w"), F.count(F.lit(1)).alias("n")), "sources")
+    sources = total.select("host", "all_w", copies_of(total, "n").alias("copies"))
     share = materialise(
-        edges.join(total, F.col("src") == F.col("from_")).select("src", "dst", (F.col("w") / F.col("all_w")).alias("share")), "shares"
+        dealt(edges, "src", sources, F.xxhash64("dst"))
+        .join(in_parts(sources), (F.col("src") == F.col("host")) & (F.col("part__") == F.col("to_part__")))
+        .select("src", "part__", "dst", (F.col("w") / F.col("all_w")).alias("share")),
+        "shares",
     )
-    rank = hosts.select("host", F.col(seed).alias("seed"), F.col(seed).alias("rank"))
+    start = materialise(
+        hosts.join(sources.select(F.col("host").alias("from_"), "copies"), F.col("host") == F.col("from_"), "left")
+        .select("host", F.col(seed).alias("seed"), F.coalesce("copies", F.lit(1)).alias("copies"), F.col(seed).alias("rank")),
+        "start",
+    )
+    release(total)
+    rank = start
     last, done = None, 0
     while rounds is None or done < rounds:
         sent = (
-            share.join(rank.select(F.col("host").alias("at"), "rank"), F.col("src") == F.col("at"))
+            share.join(in_parts(rank.select(F.col("host").alias("at"), "rank", "copies")), (F.col("src") == F.col("at")) & (F.col("part__") == F.col("to_part__")))
             .groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         )
         rank = materialise(  # cuts the lineage
             rank.join(sent, F.col("host") == F.col("to"), "left").select(
-                "host", "seed", F.col("rank").alias("before"),
+                "host", "seed", "copies", F.col("rank").alias("before"),
                 (F.lit(1 - damping) * F.col("seed") + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"),
             ),
             "rank",
         )
         seeds, kept = rank.agg(F.sum("seed"), F.sum("rank")).first()
         whole = F.col("rank") + F.lit((seeds or 0.0) - (kept or 0.0)) * F.col("seed")
-        if last is not None:
-            release(last)
+        release(start if last is None else last)
         last, done = rank, done + 1
         if rounds is None and done % LOOK == 0:
             change = F.abs(whole - F.col("before"))
@@ -90,7 +119,7 @@ def spread(edges: DataFrame, hosts: DataFrame, seed: str, damping: float, rounds
             settled = (total or 0.0) <= TOLERANCE and not open_
         else:
             settled = False
-        rank = rank.select("host", "seed", whole.alias("rank"))
+        rank = rank.select("host", "seed", "copies", whole.alias("rank"))
         if settled:
             break
     release(share)
@@ -112,18 +141,21 @@ def judge_urls(
     A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Null
     html has no links. Repeated rows are judged alike, and each counts as a page. Columns with names
     of results are replaced. Everything is DataFrame operations; links are counted per pair of hosts
-    where they are read, so a host with a third of all pages is one row in the graph.
+    where they are read, so a host with a third of all pages is one row in the graph. Pages of such a
+    host, and links of a host that very many are linked to, meet its ranks in several tasks.
     """
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "trust", "distrust", html)]
     match, at, source = fresh("match"), fresh("at"), fresh("src")
     judged = pages.withColumns({"host": host_of(col(url)), "path": path_of(col(url))})
     judged = judged.withColumn(match, matching_rule(F.col("host"), F.col("path"), rules))
-    counted = materialise(
-        judged.where("host <> ''").groupBy("host").agg(
+    pages_of = materialise(
+        judged.groupBy("host").agg(
+            F.count(F.lit(1)).alias("n"),
             F.sum((col(match)["verdict"] == "allow").cast("double")).alias("good"), F.sum((col(match)["verdict"] == "block").cast("double")).alias("bad")
         ),
         "hosts",
     )
+    counted = pages_of.where("host <> ''")
     if html:
         links = judged.select(F.col("host").alias(source), F.explode(F.regexp_extract_all(col(html), F.lit(LINK))).alias(at))
         links = links.select(F.col(source).alias("src"), host_of(F.concat(F.lit("://"), F.regexp_replace(at, "^(?i)(https?:)?//", ""))).alias("dst"))
@@ -145,8 +177,14 @@ def judge_urls(
         scores = trust.select("host", F.col("rank").alias("trust")).join(distrust.select("host", F.col("rank").alias("distrust")), "host")
     else:  # without links the ranks are the seeds
         scores = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    scores = scores.withColumnRenamed("host", at)
-    joined = judged.select(*[col(c) for c in names], "host", "path", match).join(scores, F.col("host") == F.col(at), "left")
+    copies = pages_of.select("host", copies_of(pages_of, "n").alias("copies"))
+    heavy = copies.where("copies > 1").select(F.col("host").alias(source), "copies")
+    scores = scores.join(F.broadcast(heavy), F.col("host") == F.col(source), "left").select(
+        F.col("host").alias(at), "trust", "distrust", F.coalesce("copies", F.lit(1)).alias("copies")
+    )
+    parted = [c for c in names if not any(kind in pages.schema[c].dataType.simpleString() for kind in ("map<", "variant"))]
+    rows = dealt(judged.select(*[col(c) for c in names], "host", "path", match), "host", copies, F.xxhash64("host", *[col(c) for c in parted]))
+    joined = rows.join(in_parts(scores), (F.col("host") == F.col(at)) & (F.col("part__") == F.col("to_part__")), "left")
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
     verdict = F.coalesce(col(match)["verdict"], F.when(distrust > bias * trust, "block").otherwise("allow"))
     return joined.select(
