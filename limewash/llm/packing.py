@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limewash.llm.common import col, fresh, numbered
+from limewash.session import materialise, release
 
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 
@@ -67,7 +68,7 @@ def pack(
     comes to the driver has at most budget / step + 1 rows, whatever the size of the input.
     """
     n, own, piece, bound, place = fresh("n"), fresh("key"), "piece", fresh("bound"), fresh("place")
-    rows = df.select(col(key).alias(own), F.coalesce(tokens, F.lit(0)).cast("long").alias(n))
+    rows = materialise(df.select(col(key).alias(own), F.coalesce(tokens, F.lit(0)).cast("long").alias(n)), "lengths")  # texts are read once
     pieces = rows.withColumn(piece, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(col(n) / budget) - 1, F.lit(0)).cast("int"))))
     start = F.col(piece).cast("long") * budget
     pieces = pieces.select(
@@ -80,6 +81,7 @@ def pack(
     for b in reversed(bounds):
         padded = F.when(rounded <= b, b).otherwise(padded)
     placed = numbered(pieces.withColumn(bound, padded.cast("int")), bound, place)
+    release(rows)
     rows_per_batch = F.floor(F.lit(budget) / col(bound)).cast("long")
     return placed.select(
         col(own).alias(key), piece, "start", "n_tokens", col(bound).alias("padded"),
