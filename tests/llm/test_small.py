@@ -92,6 +92,17 @@ def test_decontaminated_tables(docs):
     assert decontamination.decontaminate(rows.limit(0), bench).count() == 0
 
 
+def test_one_passage_under_very_many_ids_is_cut_into_blocks(docs):
+    items = [(1000 + i, ITEM) for i in range(120)] + [(5, ITEM + " pi")]
+    bench = docs(items, "item_id long, text string").repartition(3)
+    cut = decontamination.passages(bench, "item_id", "text", 13, 50_000, parts=6).collect()
+    assert sum(len(r.ids) for r in cut) == 121 and max(len(r.ids) for r in cut) < 60
+    rows = [(1, "so " + ITEM), (2, "none"), (3, ITEM + " pi")]
+    got = {r.doc_id: r["items"] for r in decontamination.find_passages(docs(rows), bench, block_bytes=1200).collect()}
+    every = sorted(str(i) for i, _ in items)
+    assert got == {1: every, 2: [], 3: every}
+
+
 # chat formatting
 
 MARKED = "<|im_end|><|im_start|>assistant ok"
@@ -262,6 +273,27 @@ def test_trust_and_distrust_spread(docs):
         assert all(abs(mine[h] - rank[at[h]]) < 1e-9 for h in hosts)
 
 
+def test_heavy_hosts_are_dealt_and_rank_alike(docs, monkeypatch):
+    rng = random.Random(17)
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    rows = [(i, f"http://h{i}.net/", link("hub.net") + link(f"h{rng.randrange(60)}.net") + link(rng.choice(["evil.com", "good.org"]))) for i in range(60)]
+    rows += [(100 + i, f"http://hub.net/{i}", "".join(link(f"h{k}.net") for k in range(i, 60, 40))) for i in range(40)] + [(300 + i, None, None) for i in range(40)]
+    rows += [(400, "http://good.org/", None), (401, "http://evil.com/", None)]
+    pages = docs(rows, "page_id long, url string, html string").withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    one = {r.page_id: (r.host, r.verdict, r.trust, r.distrust) for r in url_filter.judge_urls(pages, RULES, rounds=5).collect()}
+    monkeypatch.setattr(url_filter, "PARTS", 1)
+    plain = {r.page_id: (r.host, r.verdict, r.trust, r.distrust) for r in url_filter.judge_urls(pages, RULES, rounds=5).collect()}
+    assert one.keys() == plain.keys() == {r[0] for r in rows}
+    for i, (host, verdict, trust, distrust) in plain.items():
+        assert one[i][:2] == (host, verdict) and one[i][2:] == pytest.approx((trust, distrust), abs=1e-12)
+    monkeypatch.setattr(url_filter, "PARTS", 20)
+    counts = docs([("hub", 50), ("rest", 4), (None, 46)], "host string, n long")
+    copies = counts.select("host", url_filter.copies_of(counts, "n").alias("copies"))
+    assert {r.host: r.copies for r in copies.collect()} == {"hub": 10, "rest": 1, None: 10}
+    dealt = url_filter.dealt(docs([(i, "hub") for i in range(200)], "id long, host string"), "host", copies, F.xxhash64("id"))
+    assert {r.part__ for r in dealt.collect()} == set(range(10))
+
+
 def test_ranks_settle_over_long_chains(docs):
     n = 14
     links = {(f"h{i}.net", f"h{i + 1}.net"): 1 for i in range(n - 1)} | {(f"h{n - 1}.net", "evil.com"): 1, ("good.org", "far.net"): 1, ("far.net", "h9.net"): 1, ("h5.net", "h2.net"): 1}

@@ -1,6 +1,9 @@
 """Registered queries without SQL, and the pipeline, over the smallest tables, against brute force."""
 
+import collections
 import hashlib
+import math
+import re
 import zlib
 
 import brute
@@ -52,6 +55,58 @@ def test_op8(spark, texts):
     rows = run(spark, "op8_packing")
     assert sum(r.n_tokens for r in rows) == sum(len(t.split()) for _, t in texts)
     assert {r.doc_id for r in rows} == {i for i, _ in texts}
+    # every piece as a brute-force version cuts it
+    want = {}
+    for i, t in texts:
+        n = len(t.split())
+        for k in range(max(1, -(-n // 4096))):
+            want[i, k] = (4096 * k, min(4096, n - 4096 * k))
+    assert {(r.doc_id, r.piece): (r.start, r.n_tokens) for r in rows} == want and len(rows) == len(want)
+    # no choice of 12 bounds pads less
+    count = collections.Counter(max(1, n) for _, n in want.values())
+    least = {0: 0}
+    lengths = sorted(count)
+    for _ in range(12):
+        step = dict(least)
+        for j in range(1, len(lengths) + 1):
+            held, best = 0, step.get(j, math.inf)
+            for i in range(j - 1, -1, -1):
+                held += count[lengths[i]]
+                best = min(best, least.get(i, math.inf) + held * lengths[j - 1])
+            step[j] = best
+        least = step
+    assert sum(r.padded for r in rows) == least[len(lengths)]
+    # each piece is in the smallest bucket that holds it, and batches are full but for the last
+    bounds = sorted({r.padded for r in rows})
+    assert all(r.padded == min(b for b in bounds if b >= r.n_tokens) for r in rows)
+    for b in bounds:
+        places = sorted(r.batch * (4096 // b) + r.slot for r in rows if r.padded == b)
+        assert places == list(range(len(places))) and all(r.slot < 4096 // b for r in rows if r.padded == b)
+
+
+def test_op5(spark):
+    fits = lambda host, path, h, p: (host == h or host.endswith("." + h)) and path.startswith(p)
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+    parts, hosts = {}, collections.defaultdict(lambda: [0, 0])
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    for r in pages:
+        rest = (r.url or "").partition("://")[2]
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        found = [(len(h + p), h + p, v) for h, p, v in rules if fits(host, path, h, p)]
+        _, rule, verdict = max(found, default=(0, None, None))
+        parts[r.page_id] = (host, path, rule, verdict)
+        hosts[host][0] += verdict == "allow"
+        hosts[host][1] += verdict == "block"
+    good, bad = (sum(h[k] for h in hosts.values()) or 1 for k in (0, 1))
+    linked = {h for r in pages for h in re.findall(r"""href\s*=\s*["']?(?:https?:)?//([^\s"'/>]+)""", r.html or "")} - set(hosts)
+    assert not linked  # the given pages link to no other host, so ranks are seeds
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in run(spark, "op5_url_filter")}
+    for i, (host, path, rule, verdict) in parts.items():
+        spread = "block" if hosts[host][1] / bad > hosts[host][0] / good else "allow"
+        assert got[i] == (host, path, rule, verdict or spread)
+    assert len(got) == len(parts)
 
 
 def test_pipeline_stages(spark, texts):
