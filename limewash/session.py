@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -58,21 +59,29 @@ def _local_base() -> str:
     return tempfile.mkdtemp(prefix="limewash-")
 
 
-_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open", default=())
+_open: contextvars.ContextVar[tuple[list[str | DataFrame], ...]] = contextvars.ContextVar("open", default=())
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Own what is stored meanwhile: on leaving, all tables that ``materialise`` wrote inside are removed,
-    but for those it was told to keep. Results that are still lazy must have been used by then."""
-    paths: list[str] = []
+def scratch(spark: SparkSession) -> Iterator[list[str | DataFrame]]:
+    """Own what is stored meanwhile: on leaving, all tables that ``materialise`` wrote or ``hold`` held inside
+    are removed, but for those it was told to keep. Results that are still lazy must have been used by then."""
+    paths: list[str | DataFrame] = []
     token = _open.set((*_open.get(), paths))
     try:
         yield paths
     finally:
         _open.reset(token)
         for path in paths:
-            _remove(spark, path)
+            path.unpersist() if isinstance(path, DataFrame) else _remove(spark, path)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep the rows of a lazy result, dealt and ordered as they are, on the disks of the executors, for
+    as long as the ``scratch`` block or else the session lasts. Lost ones are computed again from the same splits."""
+    if _open.get():
+        _open.get()[-1].append(df)
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:

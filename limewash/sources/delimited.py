@@ -154,8 +154,9 @@ def export_format(df: DataFrame) -> DataFrame:
 
 
 def save_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """Write with a header; one file per partition, in a folder."""
-    df.write.option("header", True).option("sep", sep).option("escape", '"').option("emptyValue", "").csv(path)
+    """Write with a header; one file per partition, in a folder. White space around values is kept."""
+    writer = df.write.option("header", True).option("sep", sep).option("escape", '"').option("emptyValue", "")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def preview(df: DataFrame, currency: list[str] | None = None, rows: int | None = None) -> DataFrame:

@@ -6,9 +6,10 @@ outside quotes. Counting fields and reading them is the same expression, so that
 width, and what is loaded and what is rejected add up to all records.
 
 A file whose records all end with their lines is read by lines, without Python code. In any other file
-each split only tells, for both cases (it begins outside or inside quotes), where it ends up. Put
-together in the order of the splits, that tells how each of them begins. Then all splits are
-read at once; only a record that crosses from one split to another is put together from its pieces.
+each split is cut into records once, for both cases (it begins outside or inside quotes), and tells where
+it ends up. The pieces are held on disk with the split they come from. Put together in the order of the splits, the
+ends tell how each of them begins, and so which of its pieces hold; only a record that crosses from one split
+to another is put together from its pieces.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from limewash.functions.staging import sealed
 from limewash.functions.text import trim
+from limewash.session import hold
 
 #: A separator no text has, for reading whole lines.
 NEVER = "\x01"
@@ -72,6 +74,7 @@ class Batch:
     width: int  # of the widest line; 0 for broken files
     inside: dict[str, set[int]] = field(default_factory=dict)  # splits that begin inside quotes
     ends: dict[str, set[int]] = field(default_factory=dict)  # splits that end inside quotes
+    cut: DataFrame | None = None  # the pieces of all broken files
 
 
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -86,7 +89,7 @@ def _text(line: bytes, utf8: bool) -> str:
 
 def survey(spark: SparkSession, path: str, sep: str, latin1: bool = True) -> list[Batch]:
     """What the files under a path look like: one pass over their lines without Python code, and one
-    more over files with records of several lines. One row per file comes to the driver, and for
+    more over files with records of several lines, which holds their pieces. One row per file comes to the driver, and for
     files of the second kind one per split, as Spark itself holds them to plan a scan."""
     lines = _lines(spark, path)
     lines = lines.withColumns({
@@ -97,17 +100,19 @@ def survey(spark: SparkSession, path: str, sep: str, latin1: bool = True) -> lis
         F.min_by(F.col("line").cast("binary"), "at").alias("header"), F.bool_and("valid").alias("utf8"), F.bool_or("on").alias("broken"), F.max("width").alias("width")
     ).collect()
     broken = sorted(r.file for r in files if r.broken)
-    splits = {name: [] for name in broken}
+    splits, cut = {name: [] for name in broken}, None
     if broken:
-        whole = _lines(spark, path if len(broken) == len(files) else broken).select("file", "block", F.col("line").cast("binary").alias("line"))
-        for r in whole.mapInArrow(_split_ends(sep), "file string, block bigint, outside boolean, inside boolean, header binary").collect():
-            splits[r.file].append((r.block, r.outside, r.inside, r.header))
+        # Held, because another read may cut the files otherwise: by its files, and by the cores there are by then.
+        lines = _lines(spark, path if len(broken) == len(files) else broken).select("file", "block", F.col("line").cast("binary").alias("line"))
+        cut = hold(lines.mapInArrow(_cut(sep), CUT))
+        for r in cut.where(F.col("kind") == SPLIT).collect():
+            splits[r.file].append((r.block, r.outside, r.inside, r.record))
     batches: dict[tuple, Batch] = {}
     for r in sorted(files, key=lambda r: r.file):
         utf8 = r.utf8 or not latin1
         parts = sorted(splits.get(r.file, []))
         header = _text(bytes(parts[0][3] if r.broken else r.header), utf8).removeprefix("﻿")
-        batch = batches.setdefault((header, utf8, r.broken), Batch(header, utf8, r.broken, [], 0))
+        batch = batches.setdefault((header, utf8, r.broken), Batch(header, utf8, r.broken, [], 0, cut=cut if r.broken else None))
         batch.files.append(r.file)
         if not r.broken:
             batch.width = max(batch.width, r.width)
@@ -145,92 +150,102 @@ def ends_inside(line: bytes, inside: bool, sep: bytes) -> bool:
             return False
 
 
-def _split_ends(sep: str):
-    """(file, block, outside, inside, header): for every split whether it ends inside quotes if it begins
-    outside, or inside; and the first record of a file."""
+#: Kinds of pieces: a whole record, the beginning of one, its end, a split within one, and what a split tells of itself.
+WHOLE, BEGINS, ENDS, WITHIN, SPLIT = range(5)
+#: For whom a piece holds: splits that begin outside quotes, inside, or either.
+OUTSIDE, INSIDE, EITHER = 0, 1, 2
+CUT = "file string, block bigint, start int, kind int, record binary, outside boolean, inside boolean"
+_CUT = dict(zip(("file", "block", "start", "kind", "record", "outside", "inside"), (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_())))
+PIECES = "file string, block bigint, kind int, record string"
+_PIECES = dict(zip(("file", "block", "kind", "record"), (pa.string(), pa.int64(), pa.int32(), pa.string())))
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
+
+
+class _Reading:
+    """The records of a split, if it begins outside or inside quotes."""
+
+    def __init__(self, start: int, block: int):
+        self.start, self.now = start, start == INSIDE
+        self.lines: list[bytes] = []
+        self.kind, self.header = ENDS if self.now else WHOLE, block == 0
+
+    def add(self, line: bytes, sep: bytes) -> tuple | None:
+        """The piece that ends with the line, if one does and it is not the header of a file."""
+        self.lines.append(line)
+        self.now = ends_inside(line, self.now, sep) if b'"' in line else self.now
+        if self.now:
+            return None
+        piece = None if self.header else (self.start, self.kind, b"\n".join(self.lines), None, None)
+        self.lines, self.kind, self.header = [], WHOLE, False
+        return piece
+
+    def rest(self) -> tuple | None:
+        return (self.start, WITHIN if self.kind == ENDS else BEGINS, b"\n".join(self.lines), None, None) if self.lines else None
+
+
+def _cut(sep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pieces of every split, for either state it may begin in, and where it ends up. Both readings
+    are one from the first line on behind which neither is inside quotes. The piece of kind SPLIT
+    holds the first record of a file."""
     s = sep.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-        key, state, head, heading = None, [False, True], [], False
+        key, readings, head, heading = None, [], [], False
+        out: list[tuple] = []
+
+        def end() -> None:
+            out.extend((*key, *piece) for piece in [r.rest() for r in readings] if piece)
+            out.append((*key, EITHER, SPLIT, b"\n".join(head), readings[0].now, readings[-1].now))
+
         for batch in batches:
             for file, block, line in zip(*(c.to_pylist() for c in batch.columns)):
                 if (file, block) != key:
                     if key is not None:
-                        done.append((*key, *state, b"\n".join(head)))
-                    key, state, head, heading = (file, block), [False, True], [], block == 0
+                        end()
+                    key, head, heading = (file, block), [], block == 0
+                    # a file begins outside quotes
+                    readings = [_Reading(OUTSIDE, block), _Reading(INSIDE, block)] if block else [_Reading(EITHER, block)]
                 if heading:
                     head.append(line)
-                if b'"' in line:
-                    outside = ends_inside(line, state[0], s)
-                    state = [outside, outside if state[0] == state[1] else ends_inside(line, state[1], s)]
-                heading = heading and state[0]
+                out.extend((*key, *piece) for piece in [r.add(line, s) for r in readings] if piece)
+                heading = heading and readings[0].now
+                if len(readings) > 1 and not any(r.now for r in readings):
+                    readings = [readings[0]]
+                    readings[0].start = EITHER
+            yield _batch(out, _CUT)
+            out.clear()
         if key is not None:
-            done.append((*key, *state, b"\n".join(head)))
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-        columns = list(zip(*done)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "block", "outside", "inside", "header"])
+            end()
+        yield _batch(out, _CUT)
 
     return run
 
 
-#: Kinds of pieces: a whole record, the beginning of one, its end, and a split within one.
-WHOLE, BEGINS, ENDS, WITHIN = range(4)
-PIECES = "file string, block bigint, kind int, record string"
-
-
-def _pieces(inside: dict[str, set[int]], sep: str, utf8: bool, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Records that lie within a split, but for the header of a file; or else the pieces of all others."""
-    s = sep.encode()
+def _pieces(batch: Batch, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the pieces of every split those that hold, as text: whole records, or else the pieces of all others."""
+    files, inside, utf8 = set(batch.files), batch.inside, batch.utf8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lines, now, kind, header = None, [], False, WHOLE, False
-        out: list[tuple] = []
-
-        def take(kind: int) -> None:
-            if (kind == WHOLE) == whole:
-                out.append((*key, kind, _text(b"\n".join(lines), utf8)))
-
-        def flushed() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 4
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.string()))], names=["file", "block", "kind", "record"])
-            out.clear()
-            return batch
-
-        for batch in batches:
-            for file, block, line in zip(*(c.to_pylist() for c in batch.columns)):
-                if (file, block) != key:
-                    if lines:
-                        take(WITHIN if kind == ENDS else BEGINS)
-                    key, lines, header = (file, block), [], block == 0
-                    now = block in inside.get(file, ())
-                    kind = ENDS if now else WHOLE
-                lines.append(line)
-                now = ends_inside(line, now, s) if b'"' in line else now
-                if not now:
-                    if not header:
-                        take(kind)
-                    lines, kind, header = [], WHOLE, False
-            yield flushed()
-        if lines:
-            take(WITHIN if kind == ENDS else BEGINS)
-        yield flushed()
+        for part in batches:
+            yield _batch([
+                (file, block, kind, _text(record, utf8))
+                for file, block, start, kind, record in zip(*(c.to_pylist() for c in part.columns))
+                if (kind == WHOLE) == whole and file in files and start in (EITHER, INSIDE if block in inside.get(file, ()) else OUTSIDE)
+            ], _PIECES)
 
     return run
 
 
-def _broken(spark: SparkSession, batch: Batch, paths: str | list[str], sep: str) -> DataFrame:
-    lines = _lines(spark, paths).withColumn("line", F.col("line").cast("binary"))
-    records = lines.mapInArrow(_pieces(batch.inside, sep, batch.utf8, True), PIECES).select("file", "record")
-    crossing = sorted(set(batch.inside) | set(batch.ends))
-    if not crossing:
+def _broken(batch: Batch) -> DataFrame:
+    cut = batch.cut.where(F.col("kind") != SPLIT).select("file", "block", "start", "kind", "record")
+    records = cut.mapInArrow(_pieces(batch, True), PIECES).select("file", "record")
+    if not batch.inside and not batch.ends:
         return records
-    # Only splits that a record crosses are looked at once more.
-    wanted = spark.createDataFrame(
-        [(f, b) for f in crossing for b in batch.inside.get(f, set()) | batch.ends.get(f, set())], "file string, block bigint"
-    )
-    pieces = _lines(spark, crossing).withColumn("line", F.col("line").cast("binary")).join(F.broadcast(wanted), ["file", "block"], "left_semi")
-    pieces = pieces.mapInArrow(_pieces(batch.inside, sep, batch.utf8, False), PIECES).withColumn("begins", (F.col("kind") == BEGINS).cast("int"))
+    pieces = cut.where(F.col("kind") != WHOLE).mapInArrow(_pieces(batch, False), PIECES).withColumn("begins", (F.col("kind") == BEGINS).cast("int"))
     order = Window.partitionBy("file").orderBy("block", "begins")
     pieces = pieces.withColumn("at", F.sum("begins").over(order))
     parts = F.array_sort(F.collect_list(F.struct("block", "begins", "record")))
@@ -251,7 +266,7 @@ def records(spark: SparkSession, path: str, sep: str, latin1: bool = True) -> li
     found = []
     for batch in batches:
         paths = path if len(batches) == 1 else batch.files
-        df = _broken(spark, batch, paths, sep) if batch.broken else _by_lines(spark, batch, paths)
+        df = _broken(batch) if batch.broken else _by_lines(spark, batch, paths)
         found.append((batch, sealed(df.where(trim(F.col("record")) != ""), {"fields": raw_fields(F.col("record"), sep)})))
     return found
 

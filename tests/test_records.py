@@ -2,6 +2,7 @@
 
 import csv
 import io
+import itertools
 import random
 import re
 
@@ -9,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from limewash.sources import records as R
-from limewash.sources.delimited import load_csv, read_records, rejected_lines
+from limewash.sources.delimited import load_csv, read_records, rejected_lines, save_csv
 
 SF = "/root/testdata/sf0.001"
 
@@ -146,3 +147,30 @@ def test_empty_folder_of_lines(spark, tmp_path):
 
 def test_prose_has_two_columns(spark):
     assert entry.queries()["csv_prose"](spark, SF).columns == ["id", "body"]
+
+
+def test_cores_and_splits_may_change_between_reads(spark, tmp_path, monkeypatch):
+    """Whatever splits each read of the files gets, as on a cluster whose executors come late."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    body = "".join(f'{i},"{"w, " * (i % 40)}\n""{i}"" {"v" * (i % 90)}"\n' for i in range(300))
+    path = write(tmp_path, "a.csv", "id,body\n" + body)
+    sizes = itertools.count()
+    read = R._lines
+
+    def lines(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str([100000, 700, 1100, 900][next(sizes) % 4]))
+        return read(*args)
+
+    monkeypatch.setattr(R, "_lines", lines)
+    try:
+        got = load_csv(spark, path, ",")[0].collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(str(i), f'{"w, " * (i % 40)}\n"{i}" {"v" * (i % 90)}') for i in range(300)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_saved_white_space_comes_back(spark, tmp_path):
+    texts = [(str(i), t) for i, t in enumerate([" a", "a ", "\ta\t", "  ", ' "a" ', "\n a, b \n", " "])]
+    save_csv(spark.createDataFrame(texts, "id string, body string"), str(tmp_path / "out"), ",")
+    assert sorted(map(tuple, load_csv(spark, str(tmp_path / "out"), ",")[0].collect())) == texts
