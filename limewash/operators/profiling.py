@@ -25,6 +25,8 @@ from limewash.operators.quantiles import AGGREGATES_PER_JOB, SORTABLE, clean_dou
 from limewash.session import materialise
 
 PATTERN_KINDS = 80
+#: Characters of the longest text that is looked at once per value. No date is longer, and few numbers are.
+SHORT = 64
 
 PROFILE_SCHEMA = """
     ordinal int, column string, dtype string, inferred_type string,
@@ -59,19 +61,30 @@ def cell_summary(df: DataFrame, evidence: bool = True) -> DataFrame:
     with ``evidence``, numbers, dates, fractions) per column with any value, by its place, and one
     with the id ROWS for whole rows. See ``digests``."""
     cells = digests(df, df.columns, rows=True, texts=evidence)
-    flags = []
-    if evidence:
-        cells = add_dates(cells, {"as_date": F.col("value")})
-        number = to_loose_number(F.col("value"))
-        signs = {
-            "numbers": number.isNotNull(), "dates": F.col("as_date").isNotNull(),
-            "fractions": is_fraction(F.translate(F.col("value"), ", ", "")) & number.isNotNull(),
-        }
-        flags = [F.max(sign.cast("int")).alias(name) for name, sign in signs.items()]
-    kinds = cells.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), *flags)
+    if not evidence:
+        kinds = cells.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+        return kinds.groupBy("id").agg(F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct_values"))
+    # Every value is judged once, however many cells hold it. What travels with it is short: no longer text
+    # is a date, unless by its white space, and whether it is a number is told from the cell.
+    value = F.col("value")
+    number = to_loose_number(value)
+    fraction = is_fraction(F.translate(value, ", ", "")) & number.isNotNull()
+    long = F.length(value) > SHORT
+    squeezed = F.regexp_replace(value, r"\s+", " ")
+    cells = cells.select(
+        "id", "h1", "h2", F.when(~long, value).when(long & (F.length(squeezed) <= SHORT), squeezed).alias("value"),
+        F.when(long, F.when(fraction, 2).when(number.isNotNull(), 1).otherwise(0)).alias("judged"),
+    )
+    kinds = cells.groupBy("id", "h1", "h2", "value").agg(F.count(F.lit(1)).alias("n"), F.max("judged").alias("judged"))
+    kinds = add_dates(kinds, {"as_date": value})
+    judged = F.col("judged")
+    signs = {
+        "numbers": F.coalesce(judged >= 1, number.isNotNull()), "dates": F.col("as_date").isNotNull(),
+        "fractions": F.coalesce(judged == 2, fraction),
+    }
     return kinds.groupBy("id").agg(
         F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct_values"),
-        *[F.sum(F.col("n") * F.coalesce(name, F.lit(0))).alias(name) for name in ("numbers", "dates", "fractions") if evidence],
+        *[F.sum(F.when(sign, F.col("n")).otherwise(0)).alias(name) for name, sign in signs.items()],
     )
 
 
@@ -168,7 +181,8 @@ def outlier_stats(
     counts = {c: s[0] for c, s in stats.items()}
     wide = [c for c in cells if c not in quarters]
     # the estimate only decides how the exact quantiles are found
-    quartiles |= exact_quantiles(values, wide, [0.25, 0.75], counts, known, sortable=sortable) if wide else {}
+    finite = [c for c in wide if counts[c] and math.isfinite(stats[c][3]) and math.isfinite(stats[c][4])]
+    quartiles |= exact_quantiles(values, wide, [0.25, 0.75], counts, known, sortable=sortable, finite=finite) if wide else {}
     filled = [c for c in cells if counts[c]]
     bounds, outside = {}, []
     for c in filled:

@@ -59,11 +59,13 @@ def exact_quantiles(
     counts: dict[str, int],
     kinds: dict[str, int] | None = None,
     sortable: int = SORTABLE,
+    finite: Sequence[str] = (),
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column.
 
     ``counts`` are the non-null counts and ``kinds``, if known, the distinct counts; the smaller of
-    the two bounds the memory of ranking a column directly.
+    the two bounds the memory of ranking a column directly. Columns known to be ``finite`` are not
+    searched for infinities.
     """
     weight = {c: min(counts[c], (kinds or counts)[c]) for c in columns}
     small = [c for c in columns if counts[c] and weight[c] <= sortable]
@@ -81,7 +83,7 @@ def exact_quantiles(
             for p in probabilities:
                 at = p * (counts[c] - 1)
                 ranks[c, math.floor(at)] = ranks[c, math.ceil(at)] = None
-        found = _values_at(df, list(ranks), counts, sortable)
+        found = _values_at(df, list(ranks), counts, sortable, set(finite))
         for c in large:
             out[c] = [_between(found, c, p * (counts[c] - 1)) for p in probabilities]
     return out
@@ -108,12 +110,12 @@ def _between(found: dict[tuple[str, int], float], column: str, at: float) -> flo
 
 
 def _values_at(
-    df: DataFrame, ranks: list[tuple[str, int]], counts: dict[str, int], sortable: int
+    df: DataFrame, ranks: list[tuple[str, int]], counts: dict[str, int], sortable: int, finite: set[str],
 ) -> dict[tuple[str, int], float]:
     inf = float("inf")
-    names = list(dict.fromkeys(c for c, _ in ranks))
-    ends = in_chunks(df, [F.count_if(clean_double(quoted(c)) == v) for c in names for v in (-inf, inf)])
-    ends = {c: ends[2 * i:2 * i + 2] for i, c in enumerate(names)}
+    names = [c for c in dict.fromkeys(c for c, _ in ranks) if c not in finite]
+    tallies = in_chunks(df, [F.count_if(clean_double(quoted(c)) == v) for c in names for v in (-inf, inf)])
+    ends = dict.fromkeys(finite, (0, 0)) | {c: tallies[2 * i:2 * i + 2] for i, c in enumerate(names)}
     searches = []
     for c, r in ranks:  # infinities are counted; the brackets hold finite values only
         least, most = ends[c]

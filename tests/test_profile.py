@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from limewash.operators.detectors import type_evidence
 from limewash.operators.issues import actionable_issues, detect_issues, issue_batch, quality_score
 from limewash.operators.profiling import (
+    cell_summary,
     distinct_counts, infer_types, missingness_patterns, outlier_stats, profile_dataset, redundant_pairs, schema_table,
 )
 from limewash.operators.quantiles import exact_quantiles
@@ -254,3 +256,18 @@ def test_profile_reads_its_table_five_times_at_most(spark):
     assert reads.value == 5  # counts and types, moments and quartiles, outliers, patterns, pairs
     p.redundant_pairs.count()
     assert reads.value == 5
+
+
+def test_values_are_judged_once_with_long_ones_as_their_cells(frame):
+    """Dates and numbers are read behind the grouping of equal values; as cell by cell, also where texts are long."""
+    texts = ["1" * 70, "1" * 70 + ".5", "1" + " " * 70 + "January 2020", "1 " + " " * 70 + "January 2020", "1" + "\t" * 70 + "2",
+             " " * 70 + "2020-01-05" + " " * 70, "1 " * 40, "x" * 100, "5", "5", "5.5", "2020-01-05", "", None, "a" * 64 + " 1"]
+    df = frame(t=texts, u=[*texts[1:], texts[0]])
+    summary = cell_summary(df)
+    got = {r["id"]: r for r in summary.collect()}
+    for i, name in enumerate(df.columns):
+        want = type_evidence(df, [name]).first()
+        assert [got[i][x] for x in ("numbers", "dates", "fractions")] == [want[x] for x in ("numbers", "dates", "fractions")]
+        assert got[i]["present"] == 14 and got[i]["distinct_values"] == 13
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert "timestamp_ntz" in plan and "timestamp_ntz" not in plan[plan.rindex("Aggregate ["):]
