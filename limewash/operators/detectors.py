@@ -26,14 +26,17 @@ SAME, DIGITS, GONE = "same", "digits", "gone"
 def column_evidence(
     df: DataFrame, columns: Sequence[str] | None = None, *, dot3: bool = True
 ) -> DataFrame:
-    """One row of counts per text column, from a single aggregation."""
+    """One row of counts per text column, from a single read. Every value is judged once, and counts for
+    all cells that hold it."""
     cells = melt(df, list(columns if columns is not None else text_columns(df)))
+    cells = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("t", trim(F.col("value")))
     cells = cells.withColumn("v", null_if_sentinel(F.col("t"), F.col("t")))
     v, w, number = F.col("v"), F.col("w"), F.col("number")
     simple, dotted, il = F.col("simple"), F.col("dotted"), F.col("il")
     cells = cells.select(
         "column",
+        "n",
         "v",
         (F.col("t") != F.col("value")).alias("trimmed"),
         (F.col("t").isNotNull() & v.isNull()).alias("nulled"),
@@ -100,7 +103,7 @@ def column_evidence(
         "left_rewritten": left.rlike(r"^0\d"),
     }
     counts = cells.groupBy("column", "effect").agg(
-        *[F.count_if(test).alias(name) for name, test in per_effect.items()]
+        *[F.sum(F.when(test, F.col("n")).otherwise(0)).alias(name) for name, test in per_effect.items()]
     )
     return _both_branches(counts)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from limewash.operators.detectors import type_evidence
+from limewash.operators.detectors import column_evidence, type_evidence
 from limewash.operators.issues import actionable_issues, detect_issues, issue_batch, quality_score
 from limewash.operators.profiling import (
     cell_summary,
@@ -271,3 +271,13 @@ def test_values_are_judged_once_with_long_ones_as_their_cells(frame):
         assert got[i]["present"] == 14 and got[i]["distinct_values"] == 13
     plan = summary._jdf.queryExecution().optimizedPlan().toString()
     assert "timestamp_ntz" in plan and "timestamp_ntz" not in plan[plan.rindex("Aggregate ["):]
+
+
+def test_evidence_of_columns_is_weighed_by_value(frame):
+    """Repeated values count as often as they stand; they meet before dates and numbers are read."""
+    once = ["1/2/2020", "7", "x@y.zz", "N/A", " 3 ", None, "", "5c", "$ 1,000", "Ann Lee"]
+    single, many = column_evidence(frame(t=once)).first().asDict(), column_evidence(frame(t=once * 9)).first().asDict()
+    assert single["cells"] == 10 and single["nulled"] == 2
+    assert {k: v if k == "column" else 9 * v for k, v in single.items()} == many
+    plan = column_evidence(frame(t=once))._jdf.queryExecution().optimizedPlan().toString()
+    assert "timestamp_ntz" in plan and "timestamp_ntz" not in plan[plan.rindex("Aggregate ["):]
